@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strophe.llm.common import materialise, work_dir
 from strophe.llm.tokenise import encoder
 
-SALTS = 256
+SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
