@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import best_fit, decontaminate, html_text, language, lm_score, near_dedup, quality, token_files
+from strophe.llm import best_fit, decontaminate, html_text, language, lm_score, near_dedup, pii, quality, token_files, tool_calls
 from strophe.llm.common import fold, materialise, table, work_dir
 
 QUERIES = {}
@@ -65,3 +65,17 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+#: Of the registered queries; a job of one's own passes a secret.
+KEY = "strophe-registered-query"
+
+
+@query
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY).select("doc_id", "text", "n_found")
+
+
+@query
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
