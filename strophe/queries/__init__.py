@@ -30,4 +30,4 @@ def op(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from strophe.queries import corpus, features, metrics, patches, quality, sequences, streams  # noqa: F401
+    from strophe.queries import corpus, features, jobs, metrics, patches, quality, sequences, streams  # noqa: F401
