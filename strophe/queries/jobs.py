@@ -8,7 +8,7 @@ from strophe.contracts import notes_view
 from strophe.plans import jobs
 from strophe.queries import op
 from strophe.queries.corpus import HASH, TOKENS, U
-from strophe.queries.quality import CONFIG
+from strophe.queries.quality import BODIES, CONFIG, NOTES
 
 PACK, SHARD = 256, 256 * 64
 SPLIT = f"CASE WHEN {U.format(seed=42, key='doc_id')} <= {int(0.95 * 4294967296)} THEN 'train' ELSE 'val' END"
