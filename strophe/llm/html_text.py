@@ -219,7 +219,7 @@ def learn() -> crf.Crf:
             marks += [label] * (len(found) - len(marks))
             del marks[len(found) :]
         sequences.append((features(found), np.array(marks, np.int64)))
-    return crf.train(sequences, len(FEATURES) + 1, epochs=24)
+    return crf.train(sequences, len(FEATURES) + 1, epochs=40, l2=1e-4)
 
 
 def main_text(page: str | None, model: crf.Crf) -> str:

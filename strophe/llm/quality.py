@@ -30,7 +30,7 @@ SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 LEGAL = re.compile(r"licen[sc]ed? |all rights|copyright|cookie|subscribe|click here|log ?in|terms of|privacy", re.I)
 UPPER, DIGIT = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile(r"\d")
-BOILERPLATE, CONTENT = 0, 1
+CONTENT, BOILERPLATE = 0, 1  # ties go to the lower label
 KINDS, BUCKETS = 13, 16
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
@@ -95,7 +95,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 500, sample_chars: i
         for row in own.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).collect():
             lines = row["text"].split("\n")
             sequences.append((line_features(lines), np.full(len(lines), CONTENT if quality else BOILERPLATE)))
-    return crf.train(sequences, KINDS * BUCKETS + 1, epochs=12)
+    return crf.train(sequences, KINDS * BUCKETS + 1, epochs=12, batch=16)
 
 
 def judge(text: str | None, model: crf.Crf, share: float) -> tuple:
