@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from strophe.llm import best_fit, decontaminate, graph, html_text, language, lm_score, near_dedup, pii, quality, token_files, tool_calls
 from strophe.llm.common import fold, work_dir
-from strophe.llm.queries import QUERIES, tokenizer_path
+from strophe.llm.queries import QUERIES, SQL, tokenizer_path
 from strophe.llm.tokenise import encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -369,3 +369,18 @@ def test_registered_queries_run(spark, name):
     n = QUERIES[name](spark, sf).count()
     whole = spark.read.parquet(f"{sf}/{table_name}.parquet").count()
     assert n >= (1 if name in ("op3_tool_call_linking", "op9_decontamination") else whole)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    names = sorted(df.columns)
+    cursor = con.execute(SQL[name])
+    at = [[d[0] for d in cursor.description].index(c) for c in names]
+    assert sorted(str([r[c] for c in names]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in cursor.fetchall())
