@@ -50,7 +50,8 @@ def embed(df: DataFrame, load: Callable[[], Callable[[list[list[str]]], list[lis
 def hashed_bag(seq: Column, size: int = 16) -> Column:
     """Example model in SQL: counts of tokens by md5 bucket, divided by the number of tokens."""
     buckets = F.transform(seq, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)) / F.size(seq))
+    # bound by an outer transform, so that the buckets are computed once
+    return F.transform(F.array(buckets), lambda x: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(x, lambda b: b == i)) / F.size(x)))[0]
 
 
 def fit_probe(train: DataFrame, features: str = "emb", label: str = "label", **settings):

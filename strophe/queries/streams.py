@@ -120,10 +120,10 @@ def s12(t):
     return t.spark.read.schema("path long, seqs array<string>, emb array<double>").json(path).where(F.size("emb") == 64).select("path", F.size("seqs").cast("long").alias("n_seqs"))
 
 
-@op("s13_run_metrics", "SELECT CAST(user_id AS VARCHAR) AS run, CAST(count(*) AS BIGINT) AS n, CAST(round(avg(value), 6) AS DOUBLE) AS loss FROM events GROUP BY 1")
+@op("s13_run_metrics", "SELECT CAST(user_id AS VARCHAR) AS run, CAST(count(*) AS BIGINT) AS n, CAST(round(sum(value) * 100, 0) AS BIGINT) AS cents FROM events GROUP BY 1")
 def s13(t):
     path = shared_folder(t.spark, "s13") + "/loss"
     d = t("events").select(F.col("user_id").cast("string").alias("run"), F.lit(0).alias("pass"), F.lit(1).alias("batch"), F.col("event_id").alias("step"), F.lit(0).cast("long").alias("tokens_seen"), F.col("value").alias("loss"))
     records.append_metrics(d.where("step % 2 = 0"), path)
     records.append_metrics(d.where("step % 2 = 1"), path)
-    return records.read_metrics(t.spark, path, "loss").groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+    return records.read_metrics(t.spark, path, "loss").groupBy("run").agg(F.count("*").alias("n"), F.round(F.sum("loss") * 100, 0).cast("long").alias("cents"))
