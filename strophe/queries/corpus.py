@@ -31,7 +31,7 @@ def s02(t):
 def s04(t):
     docs = t("documents").select("doc_id")
     n = docs.agg(F.count("*").alias("n"))
-    return records.positional(docs, ["doc_id"], F.expr("doc_id div 1024")).where("index % 10 = 3").crossJoin(F.broadcast(n)).select("index", "doc_id", "n")
+    return records.positional(docs, ["doc_id"]).where("index % 10 = 3").crossJoin(F.broadcast(n)).select("index", "doc_id", "n")
 
 
 L, SHARD = 128, 128 * 64

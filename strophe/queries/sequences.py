@@ -206,7 +206,7 @@ def o01(t):
 def o02(t):
     from strophe.sources.records import positional
 
-    return sequence.block_shuffle(positional(t("documents").select("doc_id"), ["doc_id"], F.expr("doc_id div 1024")), "index", 30, 5).select("doc_id", "rank")
+    return sequence.block_shuffle(positional(t("documents").select("doc_id"), ["doc_id"]), "index", 30, 5).select("doc_id", "rank")
 
 
 @op("o05_rank_sharded", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42/3:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), w AS (SELECT doc_id, i FROM r UNION ALL SELECT doc_id, i + n FROM r WHERE i < (7 - n % 7) % 7) SELECT doc_id, i AS index, i % 7 AS replica FROM w")

@@ -73,11 +73,11 @@ def read_metrics(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(METRICS[kind]).option("header", True).csv(path)
 
 
-def positional(df: DataFrame, order: list[str], bucket) -> DataFrame:
-    """df with its 0-based position in the order."""
-    from strophe.operators.prefix import running_sum
+def positional(df: DataFrame, order: list[str], bucket=None) -> DataFrame:
+    """df with its 0-based position in the order, whose first column is a whole number unless a bucket is given."""
+    from strophe.operators.prefix import number_bucket, running_sum
 
-    return running_sum(df, order, F.lit(1), "index", bucket)
+    return running_sum(df, order, F.lit(1), "index", number_bucket(df, order[0]) if bucket is None else bucket)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
