@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-KEPT = 500_000
+KEPT = 200_000
 _words: dict[bytes, int] = {}
 
 

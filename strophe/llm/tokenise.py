@@ -19,7 +19,7 @@ RUNS = re.compile(r" (?=\s|$)")
 #: White space on which regular-expression libraries differ: such a piece goes to the library.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 #: Most pieces that a worker keeps; further ones are encoded each time.
-CACHED = 800_000
+CACHED = 300_000
 
 
 def _byte_chars() -> dict[int, str]:
