@@ -131,17 +131,20 @@ def weighted(hashes: list[int], weights: list[int], item: Counter, item_weights:
     return low / sum(max(own[x], item[x]) * of[x] for x in {*own, *item})
 
 
+def _blocks(benchmark: DataFrame, items_per_block: int):
+    """Broadcast item lists of bounded size, which together hold the benchmark."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    n = max(1, -(-items.count() // items_per_block))
+    for b in range(n):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, items_per_block: int = 20_000) -> DataFrame:
     """Pairs of a document and a benchmark item that one of its windows repeats."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, -(-items.count() // items_per_block))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def one(b: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-
+    def one(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, k)
             for batch in batches:
@@ -151,10 +154,19 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0
 
         return source.mapInArrow(run, HITS)
 
-    return reduce(DataFrame.unionByName, map(one, range(blocks)))
+    return reduce(DataFrame.unionByName, map(one, _blocks(benchmark, items_per_block)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, items_per_block: int = 20_000) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item: a filter, without a shuffle."""
+    at = docs.columns.index("text")
+
+    def one(left: DataFrame, sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, k)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.match(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
 
+        return left.mapInArrow(run, docs.schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null doc_id stay."""
-    hit = find(docs, benchmark, **kw).select("doc_id").distinct()
-    return docs.join(hit.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return reduce(one, _blocks(benchmark, items_per_block), docs)
