@@ -82,11 +82,9 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_tool_call_linking"] = """
-WITH RECURSIVE c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name, coalesce(text, '') AS text, 'call:' || conv_id || ':' || turn AS call_id FROM conversations WHERE role <> 'assistant'),
+WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name, coalesce(text, '') AS text, 'call:' || conv_id || ':' || turn AS call_id FROM conversations WHERE role <> 'assistant'),
  r AS (SELECT conv_id, 'call:' || conv_id || ':' || (turn - 1) AS call_id, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
- p AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.conv_id = c.conv_id AND b.turn IN (c.turn - 1, c.turn - 2)) UNION ALL SELECT c.conv_id, c.turn, p.level + 1 FROM p JOIN c ON c.conv_id = p.conv_id AND c.turn - p.turn IN (1, 2)),
- l AS (SELECT conv_id, turn, max(level) AS level FROM p GROUP BY 1, 2),
- f AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, l.level, c.text, r.content, r.call_id IS NOT NULL AS answered FROM c LEFT JOIN l USING (conv_id, turn) FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+ f AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.turn AS level, c.text, r.content, r.call_id IS NOT NULL AS answered FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
 SELECT conv_id, call_id, turn, name, level, CASE WHEN name IS NULL THEN 'no call' WHEN answered THEN 'linked' ELSE 'no result' END AS status, '' AS problems, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS copies,
  '{"arguments":' || CASE WHEN name IS NULL THEN 'null' ELSE '{"n_chars":' || length(text) || ',"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' END || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
  || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS json FROM f"""

@@ -323,13 +323,14 @@ def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
             ("c", "a", 1, "f", '{"x":1,"y":{"b":2,"a":[1,2.5]}}', []), ("c", "b", 2, "f", '{"x":"s"}', ["a"]), ("c", "d", 3, "f", "nope", ["zz"]), ("c", "e", 4, "g", "{}", ["e"]), ("c", "h", 5, "f", None, None),
-            ("c", "i", 6, "f", '{"x":2}', ["i2"]), ("c", "i2", 7, "f", '{"x":2}', ["i"]), ("c", "k", 8, "f", '{"x":3,"q":1}', ["a", "b", "l"]), ("c", "l", 9, "f", '{"x":4}', ["b", "b"]), ("c", "l", 9, "f", '{"x":4}', ["b", "b"]), (None, "a", 1, "f", "{}", []),
+            ("c", "i", 6, "f", '{"x":2}', ["i2"]), ("c", "i2", 7, "f", '{"x":2}', ["i"]), ("c", "k", 8, "f", '{"x":3,"q":1}', ["a", "b", "l"]), ("c", "l", 9, "f", '{"x":4}', ["b", "b"]), ("c", "l", 9, "f", '{"x":4}', ["b", "b"]), (None, "a", 1, "f", "{}", []), ("o", "a", 3, "f", "{}", []), ("o", "b", 5, "f", "{}", ["a", "q"]),
         ],
         CALLS,
     )
     results = spark.createDataFrame([("c", "a", 'ok "q"\n\u000bé'), ("c", "l", None), ("c", "zz", "orphan"), ("c", None, "x")], "conv_id string, call_id string, content string")
     schemas = [("f", [("x", "integer", True), ("y", "object", False)])]
-    got = {r.call_id: r for r in tool_calls.link(calls, results, schemas).collect()}
+    got = {r.call_id: r for r in tool_calls.link(calls, results, schemas).collect() if r.conv_id == "c"}
+    assert sorted((r.call_id, r.level) for r in tool_calls.link(calls, results, schemas).collect() if r.conv_id == "o") == [("a", 3), ("b", 5)]
     assert {i: (r.status, r.level, r.problems, r.copies) for i, r in got.items()} == {
         "a": ("linked", 0, "", 1), "b": ("invalid", 1, "not integer x", 1), "d": ("bad arguments", 0, "", 1), "e": ("invalid", None, "unknown tool", 1), "h": ("bad arguments", 0, "", 1),
         "i": ("cycle", None, "", 1), "i2": ("cycle", None, "", 1), "k": ("invalid", 3, "unknown q", 1), "l": ("linked", 2, "", 2), "zz": ("no call", None, "", 0),
