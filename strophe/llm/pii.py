@@ -197,7 +197,7 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal data in ``text`` replaced, and n_found: how many values were."""
     text = F.col("text")
-    hit = docs.drop("n_found").withColumn("__found", F.when(text.rlike("[0-9]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    hit = docs.drop("n_found").withColumn("__found", F.when(text.rlike("[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     new = hit.withColumn("__new", F.transform("__found", lambda v: pseudonym(v, key)))
     pieces = F.split(text, ANY, -1)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new"), i), F.get(F.col("__found"), i), F.lit("")))), "")

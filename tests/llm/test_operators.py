@@ -204,6 +204,15 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pii.pseudonymise(d, "other").first()["text"] != got[0].text
 
 
+def test_mail_address_without_any_digit(spark):
+    d = table(spark, ["write to jane.doe@example.com today", "jane.doe@example.com, room 4", "no mail @ all"])
+    got = {r.doc_id: r for r in pii.pseudonymise(d, "k").collect()}
+    new = got[1].text.removesuffix(", room 4")
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}@example\.com", new) and new != "jane.doe@example.com"
+    assert (got[0].text, got[0].n_found, got[1].n_found) == (f"write to {new} today", 1, 1)
+    assert (got[2].text, got[2].n_found) == ("no mail @ all", 0)
+
+
 def test_dates_are_permuted(spark):
     from datetime import date, timedelta
 
