@@ -301,6 +301,27 @@ def test_lm_scores(spark):
     assert lm_score.score(spark.createDataFrame([(2, "only held out")], "doc_id long, text string").where(fold() == 1)).count() <= 1
 
 
+def test_lm_counts_above_the_head(spark):
+    """More words than the head holds, each counted 10,000 times and more."""
+    from collections import Counter
+    from math import log10
+
+    names = [f"w{i}" for i in range(70)]
+    texts = [" ".join(names * 500)] * 40 + [" ".join(names[:3] * 400), "w0 w1 w69 unseen"]
+    d = table(spark, texts)
+    held = {r.doc_id: r.h for r in d.select("doc_id", (fold() == 1).alias("h")).collect()}
+    c = Counter(w for i, x in enumerate(texts) if not held[i] for w in [*x.split(), None])
+    n, v = sum(c.values()), len(c)
+    assert min(c[w] for w in names) >= 10_000
+    score = {}
+    for head in (100_000, 10, 0):
+        for r in lm_score.score(d, head=head).collect():
+            x = [*texts[r.doc_id].split(), None]
+            assert r.n_known == sum(c[w] > 0 for w in x)
+            assert r.base_score == pytest.approx(sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x))
+            assert r.score == pytest.approx(score.setdefault(r.doc_id, r.score))
+
+
 def test_quality_rules(spark):
     rng = random.Random(6)
     good = [". ".join(say(rng, 12) for _ in range(4)) for _ in range(60)]
