@@ -5,8 +5,10 @@ turned into one space), each with its open ancestors. Features are the ancestors
 block's own tag, its length, link share, marks and neighbours; the field is trained on labelled pages (``labelled_pages``:
 layouts of several kinds whose every block is marked) and decoded by Viterbi. Content blocks are joined by one space.
 
-Defined results: null or empty html, or a page without content -> empty text, n_chars 0; an unclosed comment, script or style
-reaches to the end; a cut tag at the end is dropped; a null page_id or url stays null; repeated pages are extracted alike; an
+Defined results: null or empty html, or a page without content -> empty text, n_chars 0; an unclosed comment, script, style,
+noscript, template, textarea or select reaches to the end; a head without its end tag ends before the first thing that no head
+may hold, a drawing without its own before the first tag that no drawing may hold; self-closed tags of these, but for scripts and
+styles, are skipped alone; a cut tag at the end is dropped; a null page_id or url stays null; repeated pages are extracted alike; an
 empty table gives no rows; only page_id, url and html are read.
 """
 
@@ -24,7 +26,20 @@ from pyspark.sql import functions as F
 
 from strophe.llm import crf
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|head(?=[\s>]))\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))", re.S | re.I)
+#: What a head may hold: it ends at its end tag or else before the first thing that is none of these.
+HEAD = "|".join([
+    r"\s+", r"<!--.*?(?:-->|\Z)", r"<[!?][^>]*(?:>|\Z)", r"<title\b[^>]*+>(?:(?:[^<]++|<(?!/?(?:title|head|body)\b))*+</title\s*>|[^<]*+)", r"<(?:base|basefont|bgsound|link|meta|head|html)\b[^>]*(?:>|\Z)", r"</(?!(?:head|body|html|br)\b)[a-z][^>]*(?:>|\Z)",
+    *(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\Z)" for t in ("script", "style")), *(rf"<{t}\b[^>]*+>(?:(?<=/>)|.*?(?:</{t}\s*>|\Z))" for t in ("noscript", "template", "noframes")),
+])
+#: Tags that end an open drawing, as they do in a browser.
+BREAKS = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
+SVG = "|".join([r"[^<]++|<!--.*?(?:-->|\Z)", *(rf"<{t}\b[^>]*+>(?:(?<=/>)|(?:[^<]++|<(?!/?{t}\b))*+</{t}\s*>)" for t in ("foreignObject", "style", "script", "title", "desc")), rf"<(?!/svg\b|(?:{BREAKS})(?=[\s/>]))"])
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|(?P<head><head(?=[\s>])[^>]*>(?:{HEAD})*+(?:</head\s*>)?)|(?P<svg><svg\b[^>]*+>(?:(?<=/>)|(?:{SVG})*+(?:</svg\s*>)?))"
+    r"|<(?P<skip>script|style)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<closed>noscript|template|textarea|select)\b[^>]*+>(?:(?<=/>)|.*?(?:</(?P=closed)\s*>|\Z))"
+    r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))",
+    re.S | re.I,
+)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,14 +93,14 @@ def blocks(page: str | None) -> list[Block]:
             run.append(page[at : m.start()])
             linked += in_link and m.start() - at
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
-            if m[1] and m[1].lower() not in INLINE:
+            if m["head"] or m["svg"] or m["skip"] or m["closed"]:
                 flush()
             continue
         inline = name in INLINE
         if name == "a":
-            in_link = int(not m[2])
+            in_link = int(not m["end"])
         if name in VOID:
             if not inline:
                 if name == "br":
@@ -93,7 +108,7 @@ def blocks(page: str | None) -> list[Block]:
                 else:
                     flush()
             continue
-        if m[2]:
+        if m["end"]:
             if not inline:
                 flush()
                 in_link = 0
@@ -109,9 +124,9 @@ def blocks(page: str | None) -> list[Block]:
             in_link = 0
             while len(stack) > 1 and (stack[-1][0] in INLINE or stack[-1][0] == "p" or (name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name)):
                 stack.pop()
-        if not (m[4] or "").rstrip().endswith("/"):
+        if not (m["rest"] or "").rstrip().endswith("/"):
             _, above, names = stack[-1]
-            given = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])) if m[4] and "=" in m[4] else ""
+            given = " ".join(a or b or c for a, b, c in NAMED.findall(m["rest"])) if m["rest"] and "=" in m["rest"] else ""
             if given:
                 names = names | {k for k, p in NAME_PATTERNS.items() if p.search(given)}
             stack.append((name, above | {name}, names))

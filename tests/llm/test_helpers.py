@@ -178,6 +178,19 @@ def test_main_text(page_model, page, text):
     assert html_text.main_text(page, page_model) == text
 
 
+BODY = f"<article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article>"
+OPEN = [
+    f"<html><head><meta charset=u><title>t</title><body>{BODY}", f"<head><title>t</title><style>p{{}}</style><link href=x>{BODY}", f"<head><script>var b='<body>';</script><!-- <p>no</p> --></script>\n<body>{BODY}</body>",
+    f"<svg class=x />{BODY}", f"<svg class=x />{BODY}<svg><path d='m'/></svg>", f"<svg><title>no</title><path d='m'/><g>{BODY}<svg><text>no</text></svg>", f"<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg>{BODY}",
+    f"<template id=x/>{BODY}<template><p>no</p></template>", f"<textarea name=x />{BODY}", f"<select />{BODY}", f"<noscript/>{BODY}<noscript><p>no</p></noscript>",
+]
+
+
+@pytest.mark.parametrize("page", OPEN)
+def test_open_heads_and_self_closed_tags(page_model, page):
+    assert html_text.main_text(page, page_model) == f"{PARAGRAPH} {PARAGRAPH}"
+
+
 def test_held_out_layouts(page_model):
     right = total = 0
     for page in html_text.labelled_pages(60, seed=99):
