@@ -9,23 +9,28 @@ from strophe.llm.common import materialise
 
 
 def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """(node, component) for edges (a, b) of any orderable type; component is the least node reachable.
+    """(node, component) for edges (a, b) of longs; component is the least node reachable.
 
-    Each round takes the least label among a node's neighbours, then the label of that label. Labels are written in the
-    shared folder every round, and the rounds end when none changes. Sums of rows by key are pre-aggregated; the joins are
-    plain equi-joins on the node, which AQE can split.
+    Each round contracts the graph: every node moves to the neighbour (itself included) of the least hash, edges between
+    nodes that moved together drop out, and equal edges become one. A clique or a star is one node after one round, a path
+    halves, so the edge table shrinks by a factor a round. The moves of the rounds are chained backwards, from the smallest
+    table to the largest. Tables are written in the shared folder; the joins are equi-joins on a node, which AQE can split.
     """
-    both = edges.select("a", "b").where("a <> b").distinct()
-    both = materialise(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), folder, f"{name}_edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), folder, f"{name}_0")
-    for i in range(1, 200):
-        seen = labels.select(F.col("node").alias("b"), F.col("component").alias("other"))
-        least = both.join(seen.hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("m"))
-        new = labels.join(least.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        of = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        new = new.join(of.hint("merge"), "component", "left").select("node", "old", F.least("component", F.coalesce("higher", "component")).alias("component"))
-        new = materialise(new, folder, f"{name}_{i}")
-        labels = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    left = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), folder, f"{name}_edges_0")
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        i = len(moves)
+        sides = left.select("a", "b").union(left.select("b", "a")).toDF("node", "to")
+        nearest = sides.groupBy("node").agg(F.min_by("to", F.xxhash64("to")).alias("to"))
+        moves.append(materialise(nearest.select("node", F.when(F.xxhash64("node") <= F.xxhash64("to"), F.col("node")).otherwise(F.col("to")).alias("to")), folder, f"{name}_moves_{i}"))
+        a, b = moves[-1].toDF("a", "x"), moves[-1].toDF("b", "y")
+        moved = left.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("x <> y")
+        left = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), folder, f"{name}_edges_{i + 1}")
+    if not moves:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    ends = moves.pop()
+    while moves:
+        ends = moves.pop().join(ends.toDF("to", "end").hint("merge"), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    ends = materialise(ends, folder, f"{name}_ends")
+    least = ends.groupBy("to").agg(F.min("node").alias("component"))
+    return materialise(ends.join(least.hint("merge"), "to").select("node", "component"), folder, f"{name}_components")

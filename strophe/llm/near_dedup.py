@@ -1,22 +1,27 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 1. Every text becomes its set of distinct k-word shingle hashes, a 128-bit fingerprint of that set, and a signature of
-   COORDINATES MinHash values. Equal sets collapse to one node (a partial aggregation, so a huge group of copies is cheap).
-2. Each node is posted under each (coordinate, value). Two nodes match when at least MATCHES coordinates agree. Prefix: with
-   its postings ordered by rising list length, a node needs only its first COORDINATES - MATCHES + 1 ones to meet every
-   match. Skip: lists of length one meet nobody and are left out, and the long lists of common passages come last in the
-   order, so they are not merged at all unless most of a text consists of them.
-3. The nodes that meet in a list, directly or by others, form a candidate group. Its sets are brought together once, in
-   blocks of bounded size, and every pair of blocks counts collisions of signatures, keeps pairs at or above MATCHES and
-   confirms them on the full sets. A pair inside one known component is skipped: only links that join components are
-   returned, so a group of n nodes gives fewer than 2n rows a block pair, never all pairs.
+   COORDINATES MinHash values (58 bits of value and 6 of coordinate in one long, the name of a list). Equal sets collapse to
+   one node (a partial aggregation, so a huge group of copies is cheap).
+2. Each node is posted in the list of each of its coordinate values. Two nodes match when at least MATCHES lists agree.
+   Skip: lists of length one meet nobody, and of the others each node leaves its COORDINATES - PREFIX longest out; two nodes
+   that match still meet LEAST times in what is left (MATCHES less the skipped).
+   a. Lists of at most SHORT nodes are merged: a row for each pair of a list's nodes, counted by pair. A pair stays with
+      LEAST collisions, or fewer where one of the two could have met the rest in longer lists. Its collisions in the skipped
+      lists are then looked up in the signatures, and it is kept with MATCHES in all.
+   b. Longer lists are not merged into pairs: nodes that meet in LEAST of them or more are joined to the list's least node.
+3. The kept pairs and the long lists form candidate groups. Their sets are brought together once, in blocks of bounded size;
+   every pair of blocks counts collisions of signatures and confirms those at or above MATCHES on the full sets. A pair inside
+   one known component is skipped: only links that join components are returned, so a group of n nodes gives fewer than 2n
+   rows a block pair, never all pairs.
 4. Components of the confirmed links, then of the rows.
 
 A pair of similarity 0.8 has MATCHES (34 of 64) collisions but for a chance below 1e-6.
 
-Defined results: null or empty text, or white space alone -> empty set, n_shingles 0, no link, kept; null doc_id -> own
-component (null), kept, never the representative; rows with equal doc_id are judged each by its text and share the id's
-component if linked; an empty table gives no rows; only doc_id and text are read.
+Defined results: null or empty text, or white space alone -> empty set, n_shingles 0, no link, kept, component of its own
+(its doc_id); rows with equal doc_id are judged each by its text and take the component of it; rows with a null doc_id link as
+others do, but never name a component: theirs is null, and one text of it kept, where no row of it has an id; an empty table
+gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -35,21 +40,27 @@ from strophe.llm.graph import connected_components
 from strophe.llm.shingles import mix, shingle_hashes, words
 
 COORDINATES, MATCHES = 64, 34
-PREFIX = COORDINATES - MATCHES + 1
+#: Collisions that two matching nodes have at least in their prefixes, and the length of a prefix.
+LEAST = 4
+PREFIX = COORDINATES - MATCHES + LEAST
+#: A list up to this length is merged into pairs: at most half as many rows a posting.
+SHORT = 32
 #: Nodes in a block, and shingles: a block pair's sets and its count matrix stay within some tens of MB.
 BLOCK_NODES, BLOCK_SHINGLES = 384, 400_000
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-FEATURES = "doc_id long, n_shingles long, fp string, signature binary"
+#: Names a row: its id, or its text's hash where it has none.
+KEY = "coalesce(cast(doc_id as long), xxhash64(cast(text as string)))"
+FEATURES = "doc_id long, key long, n_shingles long, fp string, signature array<long>"
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """COORDINATES 32-bit MinHash values of a set of 64-bit hashes."""
+    """COORDINATES MinHash values of a set of 64-bit hashes: 58 bits, then the coordinate's number."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     step = max(1, 1_000_000 // COORDINATES)
     for i in range(0, len(shingles), step):
         x = shingles[i : i + step, None] * _SEEDS[None, :]
         out = np.minimum(out, (x ^ (x >> np.uint64(32))).min(0))
-    return (mix(out) >> np.uint64(32)).astype("<u4")
+    return (mix(out) << np.uint64(6) | np.arange(COORDINATES, dtype=np.uint64)).astype("<u8").view("<i8")
 
 
 def fingerprint(shingles: np.ndarray) -> str:
@@ -63,43 +74,52 @@ def fingerprint(shingles: np.ndarray) -> str:
 def features(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sig = [], [], []
-            for text in batch.column(1):
+            n, fp, sig, ends = [], [], [np.empty(0, "<i8")], [0]
+            for text in batch.column(2):
                 s = np.unique(shingle_hashes(words(text.as_py()), k))
                 n.append(len(s))
                 fp.append(fingerprint(s) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.string()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "fp", "signature"])
+                if len(s):
+                    sig.append(signature(s))
+                ends.append(ends[-1] + (COORDINATES if len(s) else 0))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sig)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.string()), lists], names=["doc_id", "key", "n_shingles", "fp", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
+    return docs.select(F.col("doc_id").cast("long"), F.expr(KEY).alias("key"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(node, list) for every signature coordinate; list = coordinate and value in one long."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = np.arange(COORDINATES, dtype=np.int64) << 32
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            if len(ids):
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, COORDINATES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, COORDINATES)), pa.array((sig.astype(np.int64) | tag).ravel())], names=["node", "list"])
-
-    return nodes.select("node", "signature").mapInArrow(run, "node long, list long")
+def collisions(a: str, b: str):
+    """How many coordinates of two signatures agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
 def met(nodes: DataFrame, folder: str) -> DataFrame:
-    """Edges (a, b): each node to the least node of each of its prefix lists."""
+    """Edges (a, b) that join all nodes which match, and few others."""
     # dealt out by list once: the sizes and the join below both use it
-    posted = postings(nodes).repartition(shuffle_parts(nodes.sparkSession), "list")
+    posted = nodes.select("node", F.explode("signature").alias("list")).repartition(shuffle_parts(nodes.sparkSession), "list")
     sizes = posted.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     shared = posted.join(sizes.hint("merge"), "list")
     # the lists of length one come first in the order and meet nobody: they use up places of the prefix
     w = Window.partitionBy("node")
     ranked = shared.withColumn("rank", F.row_number().over(w.orderBy("size", "list"))).withColumn("n", F.count("*").over(w))
-    prefix = materialise(ranked.where((F.lit(COORDINATES) - F.col("n") + F.col("rank")) <= PREFIX).select("node", "list"), folder, "prefix")
-    heads = prefix.groupBy("list").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return prefix.join(heads.hint("merge"), "list").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    ranked = ranked.where((F.lit(COORDINATES) - F.col("n") + F.col("rank")) <= PREFIX)
+    ranked = ranked.withColumn("n_long", F.count(F.when(F.col("size") > SHORT, 1)).over(w)).select("node", "list", "size", "n_long")
+    prefix = materialise(ranked, folder, "prefix")
+
+    short = prefix.where(F.col("size") <= SHORT).select("list", "node", "n_long").repartition(shuffle_parts(nodes.sparkSession), "list")
+    pairs = short.toDF("list", "a", "long_a").join(short.toDF("list", "b", "long_b").hint("merge"), "list").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("long_a", "long_b")).alias("n_long")).where(F.col("n") + F.col("n_long") >= LEAST).select("a", "b")
+    own = nodes.select("node", "signature")
+    pairs = pairs.join(own.toDF("a", "sig_a").hint("merge"), "a").join(own.toDF("b", "sig_b").hint("merge"), "b")
+    pairs = pairs.where(collisions("sig_a", "sig_b") >= MATCHES).select("a", "b")
+
+    # nodes that meet in long lists alone: each to the least head of its lists, and the heads of a node to one another
+    long = prefix.where((F.col("size") > SHORT) & (F.col("n_long") >= LEAST)).select("list", "node")
+    heads = long.groupBy("list").agg(F.min("node").alias("head"))
+    headed = long.join(heads.hint("merge"), "list").select("node", "head").distinct()
+    least = headed.groupBy("node").agg(F.min("head").alias("least"))
+    tied = least.select(F.col("node").alias("a"), F.col("least").alias("b")).union(headed.join(least.hint("merge"), "node").select("head", "least").distinct())
+    return pairs.union(tied.where("a <> b"))
 
 
 class Forest:
@@ -124,7 +144,7 @@ def confirm(k: int, percent: int):
                 found[node] = block, sig, frozenset(s.tolist())
         ids = sorted(found)
         n, sides = len(ids), np.array([found[i][0] for i in ids])
-        sigs = np.frombuffer(b"".join(found[i][1] for i in ids), "<u4").reshape(n, COORDINATES)
+        sigs = np.stack([found[i][1] for i in ids]) if n else np.empty((0, COORDINATES), np.int64)
         sets = [found[i][2] for i in ids]
         sizes = np.array([len(s) for s in sets])
         forest, out = Forest(n), []
@@ -149,7 +169,7 @@ def confirm(k: int, percent: int):
 
 def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
     """Confirmed links (a, b) of nodes that join components, for candidate groups (node, component)."""
-    members = groups.join(nodes.hint("merge"), "node").select("node", F.col("component").alias("candidates"), "n_shingles", "fp", "signature")
+    members = groups.join(nodes.hint("merge"), "node").withColumnRenamed("component", "candidates").drop("doc_id")
     # sets whose sizes differ by a factor over 100 / percent cannot link: bands by size, linked to the same and the next one
     members = members.withColumn("band", F.floor(F.log(F.col("n_shingles")) / math.log(101 / percent)).cast("long"))
     sums = members.groupBy("candidates", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -159,28 +179,44 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, percent:
     other = spans.select("candidates", F.col("band").alias("other"), F.col("x").alias("y"))
     pairs = spans.join(other.hint("merge"), "candidates").where((F.col("y") >= F.col("x")) & (F.col("other") - F.col("band") <= 1))
     pairs = pairs.select("candidates", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(groups.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node", "text"])
-    full = members.join(texts.hint("merge"), "node")
+    # rows of a key with another text are told by their fingerprint
+    texts = docs.select(F.expr(KEY).alias("key"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(members.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key", "text"])
+    full = members.join(texts.hint("merge"), "key")
     work = pairs.join(full.hint("merge"), ["candidates", "block"]).select("candidates", "x", "y", "block", "node", "fp", "signature", "text")
+    # a number of its own: the work is in the tasks, not in the bytes by which Spark would put partitions together
+    work = work.repartition(shuffle_parts(docs.sparkSession), "candidates", "x", "y")
     return work.groupBy("candidates", "x", "y").applyInPandas(confirm(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, key, n_shingles, component_id, kept."""
     folder = work_dir(docs.sparkSession, "near_dedup")
     rows = materialise(features(docs, k), folder, "features")
-    # a node is a set, named by a doc_id that has it; of a doc_id's sets, one can bear its name
-    ided = rows.where("fp is not null and doc_id is not null")
-    firsts = ided.groupBy("doc_id").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
-    nodes = ided.join(firsts.hint("merge"), ["doc_id", "fp"], "left_semi").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    sets = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("any_key"), F.min("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+    sets = materialise(sets.withColumn("key", F.coalesce("doc_id", "any_key")).drop("any_key"), folder, "sets")
+    # a node is a set: named by its key or, where another set has the key too, by its fingerprint's hash
+    first = sets.groupBy("key").agg(F.min("fp").alias("first"))
+    nodes = sets.join(first.hint("merge"), "key").withColumn("node", F.when(F.col("fp") == F.col("first"), F.col("key")).otherwise(F.xxhash64("fp"))).drop("first")
     nodes = materialise(nodes, folder, "nodes")
     groups = connected_components(met(nodes, folder), folder, "candidates")
     found = materialise(links(docs, nodes, groups, k, percent, folder), folder, "links")
     components = connected_components(found, folder, "components")
-    named = nodes.join(components.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return (
-        rows.join(named.hint("merge"), "fp", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    )
+    named = materialise(nodes.select("node", "fp", "doc_id", "key").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), folder, "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("component_key"))
+    named = named.select("fp", "component").join(least.hint("merge"), "component").drop("component")
+    kept = F.when(F.col("component_key").isNull(), True).when(F.col("component_id").isNull(), F.col("key") == F.col("component_key")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    component_id = F.when(F.col("component_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(named.hint("merge"), "fp", "left").select("doc_id", "key", "n_shingles", component_id.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, k, percent).drop("key")
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs of each component; of a doc_id that is kept, each of its texts once."""
+    kept = judged(docs, k, percent).where("kept").select(F.col("key").alias("kept_key")).distinct()
+    own = docs.join(kept.hint("merge"), F.expr(KEY) == F.col("kept_key"), "left_semi")
+    return own.dropDuplicates(["doc_id", "text"]).select(*docs.columns)

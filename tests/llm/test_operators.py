@@ -64,9 +64,10 @@ def near_copies(seed, n_group):
     return texts + [f"{shared} {say(rng, 200)}" for _ in range(25)]
 
 
-@pytest.mark.parametrize(("k", "block"), [(4, 384), (5, 384), (4, 16)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block):
+@pytest.mark.parametrize(("k", "block", "short"), [(4, 384, 32), (5, 384, 1000), (4, 16, 32), (5, 16, 2)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block, short):
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", block)
+    monkeypatch.setattr(near_dedup, "SHORT", short)
     texts = near_copies(k, 60)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(table(spark, texts), k).collect()}
     truth = brute_components(list(enumerate(texts)), k)
@@ -74,11 +75,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block):
     assert all(r.n_shingles == len(shingles(texts[i], k)) and r.kept == (truth[i] == i) for i, r in got.items())
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    rng = random.Random(5)
+    base = say(rng, 300)
+    texts = [edited(rng, base, rng.randint(1, 6)) for _ in range(2000)] + [say(rng, 60) for _ in range(200)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, texts), 5).collect()}
+    assert all(got[i] == (0 if i < 2000 else i) for i in range(2200))
+
+
 def test_near_duplicates_edges(spark):
-    d = spark.createDataFrame([(1, "a b c d e f", 0, "x"), (1, "a b c d e f", 0, "x"), (1, "other words here", 1, "y"), (2, "a b c d e f", 0, "z"), (None, "a b c d e f", 0, "z"), (None, None, 0, None)], "doc_id long, text string, node int, fp string")
+    same, near = "a b c d e f", " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, same, 0, "x"), (1, same, 0, "x"), (1, "other words here", 1, "y"), (2, same, 0, "z"), (3, "other words here", 0, ""), (None, same, 0, "z"), (None, None, 0, None), (4, " ", 0, "a"),
+        (None, near, 0, ""), (None, f"{near} more", 0, ""), (5, "one only", 0, ""), (6, same + " " + say(random.Random(1), 30_000), 0, ""),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node int, fp string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(d, 5).collect())
-    assert len(got) == 6 and got[0] == (0, 0, 0, True) and got[1] == (0, 2, 0, True) and got[-1] == (2, 2, 1, False)
-    assert near_dedup.near_duplicates(table(spark, [])).count() == 0
+    assert [x[1:] for x in got if x[0] == 1] == [(1, 1, True), (2, 1, True), (2, 1, True)]
+    assert [x[1:] for x in got if x[0] in (2, 3, 4)] == [(2, 1, False), (1, 1, False), (0, 4, True)]
+    null = [x[1:] for x in got if x[0] == 0]
+    assert null[:2] == [(0, 0, True), (2, 1, False)] and sorted(x[2] for x in null[2:]) == [False, True]
+    left = [(r.doc_id, r.text) for r in near_dedup.deduplicate(d, 5).collect()]
+    assert sorted(x or 0 for x, _ in left) == [0, 0, 1, 1, 4, 5, 6] and len({t for x, t in left if x is None}) == 2
+    assert near_dedup.near_duplicates(table(spark, [])).count() == 0 == near_dedup.deduplicate(table(spark, [])).count()
 
 
 def test_components(spark):
