@@ -81,12 +81,20 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
-SQL["op3_tool_call_linking"] = """
-WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name, coalesce(text, '') AS text, 'call:' || conv_id || ':' || turn AS call_id FROM conversations WHERE role <> 'assistant'),
- r AS (SELECT conv_id, 'call:' || conv_id || ':' || (turn - 1) AS call_id, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
- f AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.turn AS level, c.text, r.content, r.call_id IS NOT NULL AS answered FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT conv_id, call_id, turn, name, level, CASE WHEN name IS NULL THEN 'no call' WHEN answered THEN 'linked' ELSE 'no result' END AS status, '' AS problems, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS copies,
- '{"arguments":' || CASE WHEN name IS NULL THEN 'null' ELSE '{"n_chars":' || length(text) || ',"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' END || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
+SQL["op3_tool_call_linking"] = r"""
+WITH RECURSIVE t AS (SELECT *, 'call:' || conv_id || ':' || turn AS call_id, CASE WHEN role = 'system' THEN 'configure' WHEN role = 'user' THEN 'reply' ELSE role END AS name FROM conversations WHERE coalesce(role, '') <> 'assistant'),
+ c AS (SELECT *, '{' || concat_ws(',', '"n_chars":' || length(text), CASE WHEN name = 'reply' AND instr(text, ',') > 0 THEN '"detail":"' || substr(text, instr(text, ',') + 1) || '"' END, '"prompt":"' || text || '"', '"turn":' || turn) || '}' AS args FROM t),
+ e AS (SELECT x.conv_id, x.turn AS turn, y.turn AS before FROM c x JOIN c y ON x.conv_id = y.conv_id AND CASE WHEN length(x.text) < 40 THEN y.turn = x.turn + 2 ELSE y.turn IN (x.turn - 1, x.turn - 2) END),
+ reach AS (SELECT conv_id, turn, before FROM e UNION SELECT reach.conv_id, reach.turn, e.before FROM reach JOIN e ON e.conv_id = reach.conv_id AND e.turn = reach.before),
+ stuck AS (SELECT DISTINCT r.conv_id, r.turn FROM reach r WHERE r.turn = r.before OR EXISTS (SELECT 1 FROM reach q WHERE q.conv_id = r.conv_id AND q.turn = r.before AND q.before = r.before)),
+ lv AS (SELECT conv_id, turn, 0 AS level FROM c ANTI JOIN stuck USING (conv_id, turn) UNION SELECT e.conv_id, e.turn, lv.level + 1 FROM lv JOIN e ON e.conv_id = lv.conv_id AND e.before = lv.turn ANTI JOIN stuck s ON s.conv_id = e.conv_id AND s.turn = e.turn),
+ l AS (SELECT conv_id, turn, max(level) AS level FROM lv GROUP BY 1, 2),
+ p AS (SELECT c.*, l.level, json_valid(args) AS good, concat_ws('; ', CASE WHEN name = 'reply' AND instr(text, ',') = 0 THEN 'missing detail' END) AS problems FROM c LEFT JOIN l USING (conv_id, turn)),
+ r AS (SELECT conv_id, 'call:' || conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS result_copies FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+ f AS (SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id, turn, name, level, good, text, args, CASE WHEN good THEN problems ELSE '' END AS problems, content, coalesce(result_copies, 0) AS result_copies FROM p FULL JOIN r ON p.conv_id = r.conv_id AND p.call_id = r.call_id)
+SELECT conv_id, call_id, turn, name, level, CASE WHEN name IS NULL THEN 'no call' WHEN NOT good THEN 'bad arguments' WHEN problems <> '' THEN 'invalid' WHEN level IS NULL THEN 'cycle' WHEN result_copies = 0 THEN 'no result' ELSE 'linked' END AS status,
+ coalesce(problems, '') AS problems, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS copies, result_copies,
+ '{"arguments":' || CASE WHEN good THEN '{' || concat_ws(',', '"detail":' || CAST(to_json(json_extract_string(args, '$.detail')) AS VARCHAR), '"n_chars":' || length(text), '"prompt":' || CAST(to_json(json_extract_string(args, '$.prompt')) AS VARCHAR), '"turn":' || turn) || '}' ELSE 'null' END || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
  || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS json FROM f"""
 
 SQL["op1_minhash_near_dedup"] = r"""

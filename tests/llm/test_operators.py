@@ -379,7 +379,7 @@ def test_tool_calls(spark):
     results = spark.createDataFrame([("c", "a", 'ok "q"\n\u000bé'), ("c", "l", None), ("c", "zz", "orphan"), ("c", None, "x")], "conv_id string, call_id string, content string")
     schemas = [("f", [("x", "integer", True), ("y", "object", False)])]
     got = {r.call_id: r for r in tool_calls.link(calls, results, schemas).collect() if r.conv_id == "c"}
-    assert sorted((r.call_id, r.level) for r in tool_calls.link(calls, results, schemas).collect() if r.conv_id == "o") == [("a", 3), ("b", 5)]
+    assert sorted((r.call_id, r.level) for r in tool_calls.link(calls, results, schemas).collect() if r.conv_id == "o") == [("a", 0), ("b", 1)]
     assert {i: (r.status, r.level, r.problems, r.copies) for i, r in got.items()} == {
         "a": ("linked", 0, "", 1), "b": ("invalid", 1, "not integer x", 1), "d": ("bad arguments", 0, "", 1), "e": ("invalid", None, "unknown tool", 1), "h": ("bad arguments", 0, "", 1),
         "i": ("cycle", None, "", 1), "i2": ("cycle", None, "", 1), "k": ("invalid", 3, "unknown q", 1), "l": ("linked", 2, "", 2), "zz": ("no call", None, "", 0),
@@ -391,6 +391,24 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_topological_levels(spark):
+    rng = random.Random(11)
+    rows, truth = [], {}
+    for conv in range(12):
+        n = 70 if conv == 0 else rng.randint(1, 25)
+        after = {i: [i + 1] if conv == 0 else [rng.randrange(n) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] for i in range(n)}
+        if conv % 2:
+            after = {i: [j for j in js if j < i] for i, js in after.items()}
+        levels = {}
+        for _ in range(n + 1):  # Kahn
+            levels |= {i: max((levels[j] + 1 for j in js if j in after), default=0) for i, js in after.items() if i not in levels and all(j in levels for j in js if j in after)}
+        truth |= {(str(conv), str(i)): levels.get(i) for i in after}
+        rows += [(str(conv), str(i), i, "f", "{}", [str(j) for j in js]) for i, js in after.items()]
+    calls = spark.createDataFrame(rows, CALLS)
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls, work_dir(spark, "t")).collect()}
+    assert {k: got.get(k) for k in truth} == truth and got.keys() <= truth.keys() and None in truth.values() and got["0", "0"] == 69
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
     texts = [say(rng, 60) for _ in range(30)]
