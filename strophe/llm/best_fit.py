@@ -1,10 +1,12 @@
 """Best-fit packing by a configuration linear program.
 
-Only the length histogram (at most ``capacity`` bins) reaches the driver. The program min sum x_p, sum_p a_pl x_p >= n_l is
-solved by multiplicative weights: a knapsack dynamic programme prices the best pattern under the present length weights, and
-each length's weight falls with what its patterns cover. Rounding down the averaged solution leaves few items, which go to
-patterns by best fit on the histogram. Pieces then find their place by their rank among the pieces of their length: ranks
-come from salted counts, so a length that holds a third of all pieces is no single task's work.
+Only the histogram of lengths reaches the driver (at most ``capacity`` bins, each in SALTS parts). The program min sum x_p,
+sum_p a_pl x_p >= n_l is solved by multiplicative weights: a knapsack dynamic programme prices the best pattern under the
+present length weights, and each length's weight falls with what its patterns cover. Rounding the averaged solution down and
+taking its full patterns leaves a smaller program. That one is priced on: each further pattern is the longest length left and
+the best knapsack beside it, fixed as often as the counts allow, so that each uses a length up. The last hundredth goes by best
+fit. Pieces then find their place by their rank among the pieces of their length: ranks come from salted counts, so a length
+that holds a third of all pieces is no single task's work.
 
 Defined results: null or empty text -> a piece with the end id alone; documents with null or equal doc_id are all packed,
 ordered by piece and crc; an empty table packs to nothing; columns beside doc_id and text are not read.
@@ -24,7 +26,12 @@ from strophe.llm.common import materialise, work_dir
 from strophe.llm.tokenise import encoder
 
 SALTS = 64
+#: Lengths in one knapsack; a rounded pattern's least fill; what best fit gets.
+PRICED, FULL, REST = 96, 0.999, 0.01
+#: (rounds, tilt) that are tried, the fewest sequences win: more rounds give finer patterns, tilt makes longer pieces worth more.
+TRIES = [(600, 1.02), (300, 1.02), (300, 1.1)]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -50,7 +57,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
 def price(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     """Counts by length of a pattern of the largest total weight, none above what is left (bounded knapsack)."""
     items: list[tuple[int, int]] = []
-    for length in np.flatnonzero((weights > 0) & (left > 0)).tolist():
+    for length in np.flatnonzero((weights[: capacity + 1] > 0) & (left[: capacity + 1] > 0)).tolist():
         most, k = min(int(left[length]), capacity // length), 1
         while most > 0:  # binary parts of the multiplicity
             items.append((length, min(k, most)))
@@ -61,7 +68,7 @@ def price(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
         v = best[: capacity + 1 - size] + k * weights[length]
         taken[n, size:] = v > best[size:]
         np.maximum(best[size:], v, out=best[size:])
-    out, c = np.zeros(capacity + 1, np.int64), capacity
+    out, c = np.zeros(len(left), np.int64), capacity
     for n in range(len(items) - 1, -1, -1):
         if taken[n, c]:
             length, k = items[n]
@@ -70,44 +77,68 @@ def price(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 160, eta: float = 0.35) -> list[tuple[np.ndarray, int]]:
-    """Patterns (counts by length) and how often each is used; together they hold exactly the given counts."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    if left[capacity]:
-        full = np.zeros(capacity + 1, np.int64)
-        full[capacity] = 1
-        out.append((full, int(left[capacity])))
-        left[capacity] = 0
-    if not left.any():
-        return out
-    have = left > 0
-    size = np.arange(capacity + 1)
-    bound = max(1.0, (left * size).sum() / capacity)
-    # multiplicative weights over the covering rows, begun at the weights that make every full pattern worth one
-    weights = np.where(have, size / capacity, 0.0)
-    patterns: dict[bytes, list] = {}
-    covered = np.zeros(capacity + 1)
-    for r in range(rounds):
+def relaxed(left: np.ndarray, capacity: int, rounds: int, tilt: float, rng: np.random.Generator, eta: float = 1.0) -> list[tuple[np.ndarray, float]]:
+    """The program's averaged solution: patterns and how often each is used. A round prices the PRICED dearest lengths."""
+    have, covered, patterns = np.flatnonzero(left), np.zeros(len(left)), {}
+    bound = max(1.0, float((left[have] * have).sum()) / capacity)
+    step, used = max(1.0, bound / rounds), 0.0
+    while used < bound:
+        ratio = np.exp(-eta * (covered[have] / left[have] - used / bound))
+        dearest = have[np.argsort(-ratio * have ** (tilt - 1) * (1 + 0.2 * rng.random(len(have))), kind="stable")[:PRICED]]
+        weights = np.zeros(len(left))
+        weights[have] = (have / capacity) ** tilt * ratio
+        weights[np.setdiff1d(have, dearest)] = 0
         p = price(weights, left, capacity)
-        step = max(1.0, bound / rounds)
         patterns.setdefault(p.tobytes(), [p, 0.0])[1] += step
         covered += step * p
-        share = np.where(have, covered / np.maximum(left, 1), 0.0) * rounds / (r + 1)
-        weights = np.where(have, size / capacity * np.exp(-eta * np.minimum(share - 1, 30.0)), 0.0)
-        top = weights.max()
-        weights /= top if top > 0 else 1.0
-    # patterns that are less full than the program's mean are not used as they are: what they hold goes to best fit
-    mean = sum(x * (p @ size) for p, x in patterns.values()) / sum(x for _, x in patterns.values())
-    for p, x in sorted(patterns.values(), key=lambda v: -v[1]):
-        used = p > 0
-        if used.any() and p @ size >= mean and (n := int(min(np.floor(x), (left[used] // p[used]).min()))) > 0:
-            out.append((p, n))
-            left -= n * p
-    out += best_fit(left, capacity)
+        used += step
+    return [(p, x) for p, x in patterns.values()]
+
+
+def rounded(counts: np.ndarray, capacity: int, rounds: int, tilt: float) -> dict[str, list[tuple[np.ndarray, int]]]:
+    """Patterns (counts by length) and how often each is used; together they hold exactly the given counts. By origin: 'whole'
+    (pieces of full length), 'rounded' (the program), 'residual' (priced after rounding), 'rest' (best fit)."""
+    left = counts.astype(np.int64).copy()
+    out: dict[str, list[tuple[np.ndarray, int]]] = {"whole": [], "rounded": [], "residual": [], "rest": []}
+    size, rng = np.arange(len(left)), np.random.default_rng(1)
+
+    def fix(kind: str, p: np.ndarray, n: int) -> None:
+        out[kind].append((p, n))
+        np.subtract(left, n * p, out=left)
+
+    if left[capacity]:
+        fix("whole", (size == capacity).astype(np.int64), int(left[capacity]))
+    total = int(left @ size)
+    if not total:
+        return out
+    for p, x in sorted(relaxed(left, capacity, rounds, tilt, rng), key=lambda v: -int(v[0] @ size)):
+        n = int(min(np.floor(x), (left[p > 0] // p[p > 0]).min())) if p.any() else 0
+        if n > 0 and p @ size >= FULL * capacity:
+            fix("rounded", p, n)
+    while int(left @ size) > REST * total:
+        longest = int(np.flatnonzero(left)[-1])
+        others = left[: capacity - longest + 1].copy()
+        if longest < len(others):
+            others[longest] -= 1
+        have = np.flatnonzero(others)
+        weights = np.zeros(len(others))
+        if len(have) > PRICED:
+            have = np.concatenate((have[-PRICED // 2 :], rng.choice(have[: -PRICED // 2], PRICED // 2, replace=False)))
+        weights[have] = (have / capacity) ** tilt
+        p = np.zeros(len(left), np.int64)
+        p[: len(others)] = price(weights, others, capacity - longest)
+        p[longest] += 1
+        fix("residual", p, int((left[p > 0] // p[p > 0]).min()))
+    out["rest"] = best_fit(left, capacity)
     return out
 
 
+def solve(counts: np.ndarray, capacity: int) -> dict[str, list[tuple[np.ndarray, int]]]:
+    """The best of TRIES."""
+    found = [rounded(counts, capacity, *t) for t in TRIES]
+    return min(found, key=lambda kinds: (sum(n for p in kinds.values() for _, n in p), -sum(n for _, n in kinds["rounded"])))
+
+
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """The rest: the longest first, each bin filled by the best-fitting total of what is left (subset sums as bit sets), and
     repeated while the counts allow."""
@@ -138,19 +169,31 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, last rank + 1, items of the length in a sequence, first sequence, offset of the first of them)."""
-    rank: dict[int, int] = {}
-    out, sequence = [], 0
-    for p, n in patterns:
-        offset = 0
-        for length in np.flatnonzero(p)[::-1].tolist():
-            a, at = int(p[length]), rank.get(length, 0)
-            out.append((length, at, at + a * n, a, sequence, offset))
-            rank[length] = at + a * n
-            offset += a * length
-        sequence += n
-    return out
+class Slots:
+    """Places of the pieces of each length by their rank, in arrays sorted by length and rank."""
+
+    def __init__(self, patterns: list[tuple[np.ndarray, int]], starts: np.ndarray):
+        """starts[length, salt]: the rank of the first piece of a salt."""
+        rank: dict[int, int] = {}
+        rows, sequence = [], 0
+        for p, n in patterns:
+            offset = 0
+            for length in np.flatnonzero(p)[::-1].tolist():
+                a, at = int(p[length]), rank.get(length, 0)
+                rows.append((length, at, a, sequence, offset))
+                rank[length] = at + a * n
+                offset += a * length
+            sequence += n
+        self.starts = starts
+        self.length, self.lo, self.a, self.sequence, self.offset = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+        self.span = max(rank.values(), default=0) + 1
+
+    def place(self, length: np.ndarray, salt: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces, by their number within length and salt."""
+        rank = self.starts[length, salt] + own
+        at = np.searchsorted(self.length * self.span + self.lo, length * self.span + rank, side="right") - 1
+        i = rank - self.lo[at]
+        return self.sequence[at] + i // self.a[at], self.offset[at] + i % self.a[at] * length
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -158,20 +201,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     spark = docs.sparkSession
     pieces = materialise(piece_table(docs, tokenizer_path, capacity, end_id), work_dir(spark, "pack"), "pieces")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = np.zeros(capacity + 1, np.int64)
-    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
-        histogram[row["length"]] = row["n"]
-    places = spark.createDataFrame(slots(solve(histogram, capacity)), "length long, lo long, hi long, a long, first_sequence long, first_offset long")
-    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    # both broadcast tables are bounded by capacity: SALTS rows a length, and a row for each length in each pattern
-    placed = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
-    s = F.broadcast(places.withColumnRenamed("length", "slot_length"))
-    found = placed.join(s, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    i = F.col("rank") - F.col("lo")
-    return found.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first_sequence") + F.floor(i / F.col("a"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + F.pmod(i, F.col("a")) * F.col("length")).cast("long").alias("offset"),
-    )
+    counts = np.zeros((capacity + 1, SALTS), np.int64)
+    found = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toArrow()  # at most capacity * SALTS rows
+    counts[found["length"].to_numpy(), found["salt"].to_numpy()] = found["n"].to_numpy()
+    patterns = [p for kind in solve(counts.sum(1), capacity).values() for p in kind]
+    # sent to the tasks: SALTS numbers a length, and a slot for each length in each pattern, of which there are a few a length
+    slots = spark.sparkContext.broadcast(Slots(patterns, np.cumsum(counts, 1) - counts))
+    numbered = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sequence, offset = slots.value.place(*(batch.column(i).to_numpy() for i in (3, 5, 6)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[f.split()[0] for f in PLACED.split(", ")])
+
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "own").mapInArrow(run, PLACED)

@@ -51,15 +51,18 @@ def test_packing_holds_every_item_once(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 129, 400) if seed else rng.choice([60, 64, 70, 128], 400)
     counts = np.bincount(lengths, minlength=129)
-    patterns = best_fit.solve(counts, 128)
+    patterns = [p for kind in best_fit.solve(counts, 128).values() for p in kind]
     assert (sum(p * n for p, n in patterns) == counts).all()
     assert all(p @ np.arange(129) <= 128 for p, _ in patterns)
-    assert sum(n for _, n in patterns) <= 1.12 * (counts @ np.arange(129)) / 128 + 20 * (seed == 0) + 1 + (seed == 0) * 200
-    seen = {}
-    for length, lo, hi, a, first, offset in best_fit.slots(patterns):
-        for r in range(lo, hi):
-            place = (first + (r - lo) // a, offset + (r - lo) % a * length)
-            seen.setdefault(place[0], []).append((place[1], length))
+    salts = rng.integers(0, best_fit.SALTS, 400)
+    per_salt = np.zeros((129, best_fit.SALTS), np.int64)
+    np.add.at(per_salt, (lengths, salts), 1)
+    slots = best_fit.Slots(patterns, np.cumsum(per_salt, 1) - per_salt)
+    own, seen = {}, {}
+    numbers = np.array([own.update({(x, s): own.get((x, s), -1) + 1}) or own[x, s] for x, s in zip(lengths.tolist(), salts.tolist(), strict=True)])
+    for q, offset, length in zip(*(x.tolist() for x in slots.place(lengths, salts, numbers)), lengths.tolist(), strict=True):
+        seen.setdefault(q, []).append((offset, length))
+    assert len(seen) == sum(n for _, n in patterns)
     for places in seen.values():
         at = 0
         for offset, length in sorted(places):
@@ -67,8 +70,20 @@ def test_packing_holds_every_item_once(seed):
             at += length
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_about_as_few_sequences_as_best_fit_alone(seed):
+    rng = np.random.default_rng(seed)
+    shape = [rng.integers(1, 513, 4000), np.minimum(rng.lognormal(4.6, 1, 4000).astype(int) + 1, 512), rng.choice(rng.integers(1, 513, 40), 4000), rng.integers(100, 300, 4000)][seed % 4]
+    counts = np.bincount(shape, minlength=513) * (1 if seed < 4 else 37)
+    kinds = best_fit.solve(counts, 512)
+    n = {kind: sum(n for _, n in p) for kind, p in kinds.items()}
+    least = -(-int(counts @ np.arange(513)) // 512)
+    assert least <= sum(n.values()) <= 1.003 * sum(n for _, n in best_fit.best_fit(counts, 512))
+    assert n["rounded"] + n["residual"] >= 0.9 * (sum(n.values()) - n["whole"])
+
+
 def test_empty_histogram():
-    assert best_fit.solve(np.zeros(17, np.int64), 16) == []
+    assert not any(best_fit.solve(np.zeros(17, np.int64), 16).values())
 
 
 def test_knapsack_is_exact():
