@@ -149,8 +149,26 @@ def test_repeated_words():
 
 def test_quality_base_counts():
     m = crf.Crf(np.zeros((quality.KINDS * quality.BUCKETS + 1, 2)), np.array([0.0, 1.0]), np.zeros((2, 2)))
-    assert quality.judge(None, m, 0.5)[:7] == quality.judge(" \n", m, 0.5)[:7] == (0, 0, 0, 0, 0, True, False)
-    assert quality.judge("é #b\n\né #b\n \n \n c|", m, 0.5)[:4] == (5, 8, 3, 1)
+    m = quality.Model(m, 0.5)
+    assert quality.judge(None, m)[:7] == quality.judge(" \n", m)[:7] == (0, 0, 0, 0, 0, True, False)
+    assert quality.judge("é #b\n\né #b\n \n \n c|", m)[:4] == (5, 8, 3, 1)
+
+
+def test_line_labels_are_inferred_from_documents():
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(["some", "plain", "words", "stand", "here", "today"]) for _ in range(9)) + "."
+    junk = lambda: " ".join(w.upper() + "!!" for w in plain().split())
+    made = []
+    for i in range(120):
+        lines = [(plain(), 0) for _ in range(rng.randint(1, 9))] + [(junk(), 1) for _ in range(rng.randint(1, 9) * (i % 2))]
+        rng.shuffle(lines)
+        made.append((lines, 1 - i % 2))
+    train, held = made[:80], made[80:]
+    m = quality.fit(["\n".join(x for x, _ in lines) for lines, _ in train], [y for _, y in train])
+    marks = [(v, y) for lines, _ in held for v, (_, y) in zip(m.field.viterbi(quality.line_features([x for x, _ in lines])), lines, strict=True)]
+    assert sum(v == y for v, y in marks) > 0.97 * len(marks)
+    shares = [quality.content_share([x for x, _ in lines], m.field) for lines, y in held if not y]
+    assert len({round(s, 1) for s in shares}) > 4 and 0 < m.share <= 1
 
 
 def test_language_judgement():
