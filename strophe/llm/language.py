@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is made of a bounded sample of labelled texts (``sample_docs`` documents
-of the lowest hash of their id, ``sample_chars`` characters of each); a text goes to the language whose dictionary
+of the lowest hash, ``sample_chars`` characters of each); a text goes to the language whose dictionary
 compresses it smallest. ``score`` = 1 - smallest size / second smallest; below ``margin`` the document is rejected.
 
 Defined results: null text, or text without a letter -> lang_pred 'und', score 0, rejected; ties -> the first language in
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 OTHERS = regex.compile(r"\P{L}+")
 LEVEL = 3
+MAX_LANGS = 1000
 
 
 def letters(text: str) -> str:
@@ -28,18 +29,21 @@ def letters(text: str) -> str:
 
 
 def learn(train: DataFrame, sample_docs: int = 500, sample_chars: int = 1500) -> dict[str, bytes]:
-    """lang -> dictionary content; at most sample_docs * sample_chars characters a language reach the driver."""
-    rows = train.where("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    limit = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= sample_docs)
-    limits = {r["lang"]: r["h"] for r in limit.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # one row a language
-    if not limits:
+    """lang -> dictionary content; at most sample_docs * sample_chars characters a language reach the driver.
+
+    Rows are counted by language first; then those below a hash that lets about twice the sample through are ranked, so that
+    no task sorts a language that holds most of the rows (and each task passes on sample_docs rows of one at most)."""
+    rows = train.where("lang is not null and text is not null").select("lang", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"), F.substring("text", 1, sample_chars).alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not counts:
         return {}
-    chosen = F.lit(False)
-    for lang, h in limits.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= h))
+    limits = train.sparkSession.createDataFrame([(x, (2**63 - 1) * min(n, 2 * sample_docs) // n) for x, n in counts.items()], "lang string, most long")
+    near = rows.join(F.broadcast(limits), "lang").where("h <= most")
+    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rn") <= sample_docs)
     texts: dict[str, list] = {}
-    sample = train.where("lang is not null and text is not null").where(chosen).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text"))
-    for r in sample.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rn") <= sample_docs).collect():
+    for r in ranked.select("lang", "h", "text").collect():
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
     return {lang: " ".join(letters(t) for _, t in sorted(x)).encode() for lang, x in sorted(texts.items())}
 

@@ -297,6 +297,29 @@ def test_language_accuracy(spark):
     assert language.learn(d.limit(0)) == {} and {r.lang_pred for r in language.identify(d, {}).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    import zstandard
+    from pyspark.sql import functions as F
+
+    d = two_languages(spark, 400).union(two_languages(spark, 40).where("doc_id < 30"))  # repeated rows, and ties in their hashes
+    contents = language.learn(d, sample_docs=12, sample_chars=50)
+    rows = d.where("lang is not null and text is not null").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h")).collect()
+    for lang in ("aa", "bb"):
+        own = sorted((r.h, r.text[:50]) for r in rows if r.lang == lang)[:12]
+        assert contents[lang] == " ".join(language.letters(t) for _, t in own).encode()
+    long = d.limit(1).withColumn("text", F.lit("ka lo mi " * 50_000))
+    for r in language.identify(d.union(long), contents).collect():
+        raw = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        raw = " ".join(raw.split()).encode()
+        sizes = []
+        for lang in ("aa", "bb") if raw else ():
+            held = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append((len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=held, write_content_size=False, write_dict_id=False).compress(raw)), lang))
+        sizes.sort()
+        truth = (sizes[0][1], 1 - sizes[0][0] / sizes[1][0]) if raw else ("und", 0.0)
+        assert (r.lang_pred, r.score) == (truth[0], pytest.approx(truth[1])) and r.rejected == (truth[1] < 0.003)
+
+
 def test_lm_scores(spark):
     rng = random.Random(5)
     zipf = WORDS[:120] * 3 + WORDS[:10] * 60
