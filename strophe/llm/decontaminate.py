@@ -9,10 +9,11 @@ weighted Jaccard similarity (sum of minima / sum of maxima) of at least ``thresh
 
 A window of similarity 0.8 lies about 10 bits from its item; RADIUS 22 is more than four deviations beyond.
 
-The index goes to the tasks in blocks of at most ``items_per_block`` items; a larger benchmark is matched block by block.
+The index goes to the tasks in blocks of at most ``items_per_block`` items. A larger benchmark is matched block by block, one
+pass over the documents each: the driver and the tasks hold one block at a time, and its hits are written before the next.
 
 Defined results: null or empty texts and items match nothing; a text or item of fewer than k words has its whole sequence as
-its one shingle; a null doc_id or item_id is kept as null; repeated documents each give their rows, repeated items too; an
+its one shingle; a null doc_id or item_id is kept as null; repeated documents each give their rows, repeated items count once; an
 empty table on either side gives no rows; only doc_id, text, item_id and text are read. Among equal windows the first wins.
 """
 
@@ -20,13 +21,13 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm.common import work_dir
 from strophe.llm.shingles import shingle_hashes, words
 
 RADIUS, BLOCKS = 22, 8
@@ -131,13 +132,15 @@ def weighted(hashes: list[int], weights: list[int], item: Counter, item_weights:
     return low / sum(max(own[x], item[x]) * of[x] for x in {*own, *item})
 
 
-def _blocks(benchmark: DataFrame, items_per_block: int):
-    """Broadcast item lists of bounded size, which together hold the benchmark."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+def _blocks(benchmark: DataFrame, items_per_block: int) -> list[DataFrame]:
+    """Parts of the benchmark, of bounded size by the hash of their rows."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
     n = max(1, -(-items.count() // items_per_block))
-    for b in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
+
+
+def _send(items: DataFrame):
+    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, items_per_block: int = 20_000) -> DataFrame:
@@ -154,19 +157,30 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0
 
         return source.mapInArrow(run, HITS)
 
-    return reduce(DataFrame.unionByName, map(one, _blocks(benchmark, items_per_block)))
+    blocks = _blocks(benchmark, items_per_block)
+    if len(blocks) == 1:
+        return one(_send(blocks[0]))
+    folder = work_dir(docs.sparkSession, "decontaminate")
+    for items in blocks:
+        sent = _send(items)
+        one(sent).write.mode("append").parquet(f"{folder}/hits")
+        sent.destroy()
+    return docs.sparkSession.read.schema(HITS).parquet(f"{folder}/hits")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, items_per_block: int = 20_000) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item: a filter, without a shuffle."""
+    """The rows of docs whose text holds no benchmark item: a filter, without a shuffle, where the benchmark is one block."""
     at = docs.columns.index("text")
-
-    def one(left: DataFrame, sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, k)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.match(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
-
-        return left.mapInArrow(run, docs.schema)
-
-    return reduce(one, _blocks(benchmark, items_per_block), docs)
+    blocks = _blocks(benchmark, items_per_block)
+    if len(blocks) > 1:
+        own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        hits = find(docs.select(own.alias("doc_id"), "text"), benchmark, k, threshold, items_per_block).select(F.col("doc_id").alias("leaking")).distinct()
+        return docs.join(hits.hint("merge"), own == F.col("leaking"), "left_anti").select(*docs.columns)
+    sent = _send(blocks[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(sent.value, k)
+        for batch in batches:
+            yield batch.filter(pa.array([not index.match(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

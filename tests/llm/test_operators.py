@@ -118,6 +118,19 @@ def test_components(spark):
     assert {r.node: r.component for r in got.collect()} == {x: find(x) for x in linked}
 
 
+def test_leaks_edges(spark):
+    item = say(random.Random(2), 30)
+    d = spark.createDataFrame([(1, f"x {item} y", "s"), (1, f"x {item} y", "s"), (2, "clean text of its own here", "s"), (None, item, "s"), (3, say(random.Random(3), 20_000) + " " + item, "s"), (4, None, None)], "doc_id long, text string, similarity string")
+    b = spark.createDataFrame([(7, item, 1), (7, item, 2), (8, item, 1), (None, item, 1)], "item_id long, text string, hamming int")
+    for size in (20_000, 1):
+        got = sorted((r.doc_id or 0, r.item_id or 0) for r in decontaminate.find(d, b, items_per_block=size).collect())
+        assert got == sorted((i, j) for i in (1, 1, 0, 3) for j in (7, 8, 0))
+        left = decontaminate.clean(d, b, items_per_block=size)
+        assert sorted(r.doc_id for r in left.collect()) == [2, 4] and left.columns == d.columns
+    assert decontaminate.find(d, b.limit(0)).count() == decontaminate.find(d.limit(0), b).count() == 0
+    assert decontaminate.clean(d, b.limit(0)).count() == 6
+
+
 def brute_leaks(docs, items, k=5):
     from collections import Counter
 
@@ -155,8 +168,9 @@ def test_leaks_equal_brute_force(spark):
     assert got.keys() == truth.keys() and all(v == pytest.approx(truth[x]) for x, v in got.items())
     blocks = {(r.doc_id, r.item_id) for r in decontaminate.find(d, b, items_per_block=5).collect()}
     assert blocks == truth.keys()
-    left = decontaminate.clean(d, b)
-    assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in truth}
+    for size in (20_000, 5):
+        left = decontaminate.clean(d, b, items_per_block=size)
+        assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in truth}
     assert decontaminate.find(d.limit(0), b).count() == decontaminate.find(d, b.limit(0)).count() == 0
 
 
