@@ -193,12 +193,14 @@ def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, key, n_shingles, component_id, kept."""
     folder = work_dir(docs.sparkSession, "near_dedup")
     rows = materialise(features(docs, k), folder, "features")
-    sets = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("any_key"), F.min("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
-    sets = materialise(sets.withColumn("key", F.coalesce("doc_id", "any_key")).drop("any_key"), folder, "sets")
-    # a node is a set: named by its key or, where another set has the key too, by its fingerprint's hash
-    first = sets.groupBy("key").agg(F.min("fp").alias("first"))
-    nodes = sets.join(first.hint("merge"), "key").withColumn("node", F.when(F.col("fp") == F.col("first"), F.col("key")).otherwise(F.xxhash64("fp"))).drop("first")
-    nodes = materialise(nodes, folder, "nodes")
+    # a node is a set: named by the least key that it has or, where that key's least set is another, by its fingerprint's hash
+    own = rows.where("fp is not null")
+    sets = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("any_key")).withColumn("key", F.coalesce("doc_id", "any_key")).drop("any_key")
+    first = own.groupBy("key").agg(F.min("fp").alias("first"))
+    sets = sets.join(first.hint("merge"), "key").select("fp", "doc_id", "key", F.when(F.col("fp") == F.col("first"), F.col("key")).otherwise(F.xxhash64("fp")).alias("node"))
+    # the signatures are dealt out once, by fingerprint
+    bearers = own.select("fp", F.col("key").alias("row_key"), "n_shingles", "signature").join(sets.hint("merge"), "fp").where("row_key = key")
+    nodes = materialise(bearers.drop("row_key").dropDuplicates(["fp"]), folder, "nodes")
     groups = connected_components(met(nodes, folder), folder, "candidates")
     found = materialise(links(docs, nodes, groups, k, percent, folder), folder, "links")
     components = connected_components(found, folder, "components")
@@ -217,6 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs of each component; of a doc_id that is kept, each of its texts once."""
-    kept = judged(docs, k, percent).where("kept").select(F.col("key").alias("kept_key")).distinct()
-    own = docs.join(kept.hint("merge"), F.expr(KEY) == F.col("kept_key"), "left_semi")
-    return own.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = judged(docs, k, percent).where("kept").select(F.col("key").alias("_near_key")).distinct()
+    # by key alone, so that the texts are dealt out once
+    own = docs.withColumn("_near_key", F.expr(KEY)).join(kept.hint("merge"), "_near_key", "left_semi")
+    return own.dropDuplicates(["_near_key", "text"]).select(*docs.columns)
