@@ -22,12 +22,14 @@ def note_content_hash(notes: DataFrame) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, hash_col: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, audit(hash, kept, duplicates)): of each hash, the row of the least order. One shuffle, no sort."""
+    """(kept rows, audit(hash, kept, duplicate)): of each hash the row of the least order stays; the audit has a row for each
+    other one, so that a very common content is no single row. Rows that agree in the order too count as one."""
     key = F.struct(*order)
-    others = [c for c in df.columns if c != hash_col]
-    kept = df.groupBy(hash_col).agg(F.min_by(F.struct(*others), key).alias("__r")).select(hash_col, "__r.*")
-    audit = df.groupBy(hash_col).agg(F.min(key).alias("kept"), F.array_sort(F.collect_list(key)).alias("all")).where("size(all) > 1")
-    return kept.select(*df.columns), audit.select(hash_col, "kept", F.slice("all", 2, 1_000_000_000).alias("duplicates"))
+    least = df.groupBy(hash_col).agg(F.min(key).alias("__k"))
+    both = df.join(least.hint("merge"), hash_col)
+    kept = both.where(key == F.col("__k")).dropDuplicates([hash_col])
+    audit = both.where(key > F.col("__k")).select(hash_col, F.col("__k").alias("kept"), key.alias("duplicate"))
+    return kept.select(*df.columns), audit
 
 
 def combine_datasets(*sources: DataFrame, hash_col: str = "hash", key: str = "id") -> DataFrame:
@@ -130,10 +132,10 @@ def attach_embeddings(seqs: DataFrame, table: DataFrame, key: str, strict: bool
 def encode_tokens(rows: DataFrame, vocabulary: DataFrame, key: str = "id", unknown: int = 0) -> DataFrame:
     """rows(key, seq) -> (key, ids): positions exploded, joined with vocabulary(token, token_id), collected in order."""
     at = rows.select(key, F.posexplode("seq").alias("pos", "token"))
-    return at.join(vocabulary, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("i")))).alias("x")).select(key, F.transform("x", lambda s: s["i"]).alias("ids"))
+    return at.join(vocabulary.hint("merge"), "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("i")))).alias("x")).select(key, F.transform("x", lambda s: s["i"]).alias("ids"))
 
 
 def decode_tokens(rows: DataFrame, vocabulary: DataFrame, key: str = "id") -> DataFrame:
     """rows(key, ids) -> (key, seq); ids without a token are dropped."""
     at = rows.select(key, F.posexplode("ids").alias("pos", "token_id"))
-    return at.join(vocabulary, "token_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select(key, F.transform("x", lambda s: s["token"]).alias("seq"))
+    return at.join(vocabulary.hint("merge"), "token_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select(key, F.transform("x", lambda s: s["token"]).alias("seq"))

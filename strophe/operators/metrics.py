@@ -91,16 +91,27 @@ def first_response(gos: DataFrame, notes: DataFrame, timeout: int) -> DataFrame:
     return gos.join(first, ["stream", "go_id"], "left").select("stream", "go_id", "at", "latency")
 
 
-def lineage(phases: DataFrame, max_depth: int = 16) -> DataFrame:
+def lineage(phases: DataFrame) -> DataFrame:
     """phases(phase, parent, steps, tokens) with start_step and start_tokens: the totals of all phases before it, by pointer
-    doubling, so that a chain of n phases takes log2 n joins."""
-    d = phases.select("phase", "steps", "tokens", F.col("parent").alias("up"), F.lit(0).cast("long").alias("start_step"), F.lit(0).cast("long").alias("start_tokens"))
-    own = phases.select(F.col("phase").alias("up"), F.col("steps").alias("us"), F.col("tokens").alias("ut"), F.col("parent").alias("next"))
-    d = d.join(own, "up", "left").select("phase", "steps", "tokens", F.coalesce("us", F.lit(0)).cast("long").alias("start_step"), F.coalesce("ut", F.lit(0)).cast("long").alias("start_tokens"), F.col("next").alias("up"))
-    reach = 1
-    while reach < max_depth:
-        hop = d.select(F.col("phase").alias("up"), F.col("start_step").alias("hs"), F.col("start_tokens").alias("ht"), F.col("steps").alias("os"), F.col("tokens").alias("ot"), F.col("up").alias("next"))
-        j = d.join(hop, "up", "left")
-        d = j.select("phase", "steps", "tokens", (F.col("start_step") + F.coalesce(F.col("hs") + F.col("os"), F.lit(0))).alias("start_step"), (F.col("start_tokens") + F.coalesce(F.col("ht") + F.col("ot"), F.lit(0))).alias("start_tokens"), F.col("next").alias("up"))
-        reach *= 2
-    return d.drop("up")
+    doubling, so that a chain of n phases takes log2 n joins. Each round is written in the shared folder. A phase on or behind
+    a cycle has no start: null."""
+    from strophe.sources.work import shared_folder
+
+    spark, folder = phases.sparkSession, shared_folder(phases.sparkSession, "lineage")
+    zero = F.lit(0).cast("long")
+    # done: the totals of the phases from here back to `up`, which is null where the chain ends
+    d = phases.select("phase", F.col("parent").alias("up"), F.col("steps").cast("long").alias("steps"), F.col("tokens").cast("long").alias("tokens"), zero.alias("start_step"), zero.alias("start_tokens"))
+    most, reach, i = phases.count(), 1, 0
+    while True:
+        d.write.parquet(f"{folder}/{i}")
+        d = spark.read.schema(d.schema).parquet(f"{folder}/{i}")
+        if reach > 2 * most or d.where("up is not null").isEmpty():
+            break
+        hop = d.select(F.col("phase").alias("up"), (F.col("start_step") + F.col("steps")).alias("hs"), (F.col("start_tokens") + F.col("tokens")).alias("ht"), F.col("up").alias("next"))
+        d = d.join(hop.hint("merge"), "up", "left").select(
+            "phase", F.col("next").alias("up"), "steps", "tokens",
+            (F.col("start_step") + F.coalesce("hs", zero)).alias("start_step"), (F.col("start_tokens") + F.coalesce("ht", zero)).alias("start_tokens"),
+        )
+        reach, i = 2 * reach, i + 1
+    known = F.col("up").isNull()
+    return d.select("phase", "steps", "tokens", F.when(known, F.col("start_step")).alias("start_step"), F.when(known, F.col("start_tokens")).alias("start_tokens"))

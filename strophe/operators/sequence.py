@@ -21,12 +21,15 @@ def complete_windows(tokens: DataFrame, key: str, pos: str = "pos", bos: str = "
 
 
 def closed_segments(seq: Column, bos: str = BOS, eos: str = EOS) -> Column:
-    """The same over an array: structs of 1-based start and end."""
-    places = F.sequence(F.lit(1), F.size(seq))
-    at = lambda token: F.filter(places, lambda i: F.element_at(seq, i) == token)
-    ends = at(eos)
-    found = F.transform(ends, lambda e, i: F.struct(F.array_max(F.filter(at(bos), lambda b: (b < e) & (b > F.coalesce(F.get(ends, i - 1), F.lit(0))))).alias("start"), e.alias("end")))
-    return F.when(F.size(seq) > 0, F.filter(found, lambda s: s["start"].isNotNull())).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    """The same over an array: structs of 1-based start and end. A segment is closed where, of all openings and ends, an end
+    comes next after an opening."""
+    marks = F.filter(F.transform(seq, lambda x, i: F.when(x == bos, -(i + 1)).when(x == eos, i + 1)), lambda m: m.isNotNull())  # openings below 0
+
+    def pairs(ms: Column) -> Column:
+        pair = lambda m, i: F.when((m > 0) & (F.get(ms, i - 1) < 0), F.struct((-F.get(ms, i - 1)).alias("start"), m.alias("end")))
+        return F.filter(F.transform(ms, pair), lambda s: s.isNotNull())
+
+    return F.transform(F.array(marks), pairs)[0]
 
 
 def apply_to_complete_windows(seq: Column, transform: Callable[[Column], Column], bos: str = BOS, eos: str = EOS, pad: str = PAD) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strophe.contracts import CATEGORY_TAGS, MANUAL_METADATA, notes_view, tag_table
 from strophe.functions.arrays import loss_tokens, tokens_of
 from strophe.operators import corpus as c
+from strophe.operators.packing import pack_separate
+from strophe.operators.prefix import number_bucket, running_sum
 from strophe.queries import op
 from strophe.queries.quality import NOTES
 from strophe.sources import records, shards
@@ -27,19 +29,22 @@ def s02(t):
     return records.parse_records(lines, "line", "k int", tolerant=True).select("event_id", "k", F.col("_corrupt_record").isNotNull().alias("bad"))
 
 
-@op("s04_record_at", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents) SELECT index, doc_id, (SELECT count(*) FROM documents) AS n FROM r WHERE index % 10 = 3")
+@op("s04_record_at", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents) SELECT index, doc_id, (SELECT count(*) FROM documents) AS n FROM r")
 def s04(t):
     docs = t("documents").select("doc_id")
     n = docs.agg(F.count("*").alias("n"))
-    return records.positional(docs, ["doc_id"]).where("index % 10 = 3").crossJoin(F.broadcast(n)).select("index", "doc_id", "n")
+    return records.positional(docs, ["doc_id"]).crossJoin(F.broadcast(n)).select("index", "doc_id", "n")
 
 
 L, SHARD = 128, 128 * 64
-SEQS = f"t AS (SELECT doc_id, {TOKENS} AS tok FROM documents), w AS (SELECT doc_id AS seq_id, list_slice(tok, 1, {L}) AS seq FROM t), s AS (SELECT seq_id, seq_id // {SHARD // L} AS shard_id, seq, greatest(0, len(seq) - 1) AS lt FROM w)"
+SEQS = f"t AS (SELECT doc_id, len(tok) AS nt, (len(tok) + {L - 1}) // {L} AS nw FROM (SELECT doc_id, {TOKENS} AS tok FROM documents)), o AS (SELECT *, sum(nw) OVER (ORDER BY doc_id) - nw AS before FROM t), w AS (SELECT before, nt, unnest(range(0, nw)) AS wi FROM o), s AS (SELECT CAST(before + wi AS BIGINT) AS seq_id, CAST((before + wi) // {SHARD // L} AS BIGINT) AS shard_id, greatest(0, least({L}, nt - wi * {L}) - 1) AS lt FROM w)"
 
 
 def seqs(t):
-    d = t("documents").select(F.col("doc_id").alias("seq_id"), F.slice(tokens_of(F.col("text")), 1, L).alias("seq"))
+    """Whole documents in ascending order of their ids, each cut into padded windows: seq_id, shard_id, seq."""
+    d = t("documents").select("doc_id", tokens_of(F.col("text")).alias("seq"))
+    d = running_sum(d, ["doc_id"], F.ceil(F.size("seq") / L), "before", number_bucket(d, "doc_id"))
+    d = pack_separate(d, L, "doc_id").select((F.col("before") + F.col("window")).alias("seq_id"), "seq")
     return shards.assign_shards(d, L, SHARD)
 
 
@@ -139,11 +144,11 @@ def f06(t):
     return c.validate_manual_metadata(e).select("doc_id", "key", "value")
 
 
-@op("f08_sample_projection", f"WITH t AS (SELECT doc_id, list_slice({TOKENS}, 1, 16) AS s FROM documents) SELECT doc_id, array_to_string(s, ' ') AS src, array_to_string(list_concat(list_slice(s, 2, 16), ['<P>']), ' ') AS tgt, CAST(len(s) - 1 AS BIGINT) AS mask_on, CAST(0 AS INT) AS emb_size FROM t")
+@op("f08_sample_projection", f"WITH t AS (SELECT doc_id, {TOKENS} AS s FROM documents) SELECT doc_id, array_to_string(s, ' ') AS src, array_to_string(list_concat(list_slice(s, 2, len(s)), ['<P>']), ' ') AS tgt, CAST(len(s) - 1 AS BIGINT) AS mask_on, CAST(0 AS INT) AS emb_size FROM t")
 def f08(t):
     from strophe.operators.packing import to_samples
 
-    d = to_samples(t("documents").select("doc_id", F.slice(tokens_of(F.col("text")), 1, 16).alias("seq")))
+    d = to_samples(t("documents").select("doc_id", tokens_of(F.col("text")).alias("seq")))
     return d.select("doc_id", F.array_join("src", " ").alias("src"), F.array_join("tgt", " ").alias("tgt"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("mask_on"), F.size("emb").alias("emb_size"))
 
 
@@ -181,17 +186,17 @@ def j04(t):
     return m.select("doc_id", *(F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("lang", "source", "quality")))
 
 
-VOCAB = f"tk AS (SELECT doc_id, unnest(list_slice({TOKENS}, 1, 32)) AS token, unnest(range(0, 32)) AS pos FROM documents), vc AS (SELECT token, row_number() OVER (ORDER BY md5('v:' || token), token) AS token_id FROM (SELECT DISTINCT token FROM tk WHERE token IS NOT NULL))"
+VOCAB = f"tk AS (SELECT doc_id, unnest({TOKENS}) AS token, unnest(range(0, len({TOKENS}))) AS pos FROM documents), vc AS (SELECT token, row_number() OVER (ORDER BY md5('v:' || token), token) AS token_id FROM (SELECT DISTINCT token FROM tk WHERE token IS NOT NULL))"
 
 
 @op("j05_encode_decode", f"WITH {VOCAB} SELECT doc_id, md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY pos)) AS ids, md5(string_agg(token, ' ' ORDER BY pos)) AS seq FROM tk JOIN vc USING (token) GROUP BY 1")
 def j05(t):
     from strophe.operators.prefix import seeded_rank
 
-    rows = t("documents").select(F.col("doc_id").alias("id"), F.slice(tokens_of(F.col("text")), 1, 32).alias("seq"))
+    rows = t("documents").select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
     vocabulary = seeded_rank(rows.select(F.explode("seq").alias("token")).distinct(), "v", "token").select("token", (F.col("rank") + 1).alias("token_id"))
     ids = c.encode_tokens(rows, vocabulary)
-    return ids.join(c.decode_tokens(ids, vocabulary), "id").select(F.col("id").alias("doc_id"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"), F.md5(F.array_join("seq", " ")).alias("seq"))
+    return ids.join(c.decode_tokens(ids, vocabulary).hint("merge"), "id").select(F.col("id").alias("doc_id"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"), F.md5(F.array_join("seq", " ")).alias("seq"))
 
 
 @op("a01_content_hash", f"SELECT doc_id, {HASH} AS hash FROM documents")
@@ -208,7 +213,8 @@ def a01n(t):
 def a02(t):
     h = t("documents").select("doc_id", c.content_hash(F.col("text")).alias("hash"))
     kept, audit = c.dedup_keep_first(h, "hash", ["doc_id"])
-    return kept.join(audit, "hash", "left").select("hash", "doc_id", F.coalesce(F.size("duplicates"), F.lit(0)).cast("long").alias("n_duplicates"))
+    n = audit.groupBy("hash").agg(F.count("*").alias("n"))
+    return kept.join(n.hint("merge"), "hash", "left").select("hash", "doc_id", F.coalesce("n", F.lit(0)).alias("n_duplicates"))
 
 
 UNION = f"SELECT 0 AS o, doc_id AS id, {HASH} AS hash FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id, {HASH} FROM documents UNION ALL SELECT 2, item_id, {HASH} FROM benchmark"
@@ -230,16 +236,14 @@ def u02(t):
     return combined(t).select("hash")
 
 
-@op("u01_union_of_paths", "SELECT url AS path, 'dir' AS origin FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT DISTINCT source, 'list' FROM documents")
+@op("u01_union_of_paths", "SELECT url AS path, 'dir' AS origin FROM pages UNION ALL SELECT DISTINCT source, 'list' FROM documents")
 def u01(t):
-    return t("pages").where("page_id % 3 = 0").select(F.col("url").alias("path"), F.lit("dir").alias("origin")).unionByName(t("documents").select(F.col("source").alias("path"), F.lit("list").alias("origin")).distinct())
+    return t("pages").select(F.col("url").alias("path"), F.lit("dir").alias("origin")).unionByName(t("documents").select(F.col("source").alias("path"), F.lit("list").alias("origin")).distinct())
 
 
 @op("o03_canonical_path_sort", "SELECT row_number() OVER (ORDER BY url, page_id) - 1 AS index, page_id FROM pages")
 def o03(t):
-    # ranged by the sort key: one bucket for each leading stretch of the path
-    d = t("pages").select("url", "page_id")
-    return records.positional(d, ["url", "page_id"], F.substring("url", 1, 16)).select("index", "page_id")
+    return records.ranged_positional(t("pages").select("url", "page_id"), ["url", "page_id"]).select("index", "page_id")
 
 
 @op("o08_ratio_split", f"SELECT doc_id, CASE WHEN {U.format(seed=42, key='doc_id')} <= {int(0.95 * 4294967296)} THEN 'train' ELSE 'val' END AS split FROM documents")

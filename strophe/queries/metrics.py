@@ -98,7 +98,7 @@ def f07(t):
 def x39(t):
     c = t("customer").groupBy(F.col("c_nationkey").alias("phase")).agg(F.count("*").alias("steps"), F.sum(F.floor("c_acctbal")).cast("long").alias("tokens"))
     p = t("nation").select(F.col("n_nationkey").alias("phase"), F.when(F.col("n_nationkey") >= 2, F.col("n_nationkey") - 2).alias("parent")).join(c, "phase", "left").fillna(0, ["steps", "tokens"])
-    return m.lineage(p, max_depth=16)
+    return m.lineage(p)
 
 
 @op("j08_first_response", "WITH g AS (SELECT user_id AS stream, event_id AS go_id, epoch_us(ts) // 1000000 AS at FROM events WHERE event_type = 'view'), n AS (SELECT user_id AS stream, epoch_us(ts) // 1000000 AS at FROM events WHERE event_type = 'click' AND floor(value) % 128 > 0) SELECT g.stream, go_id, g.at, min(n.at - g.at) AS latency FROM g LEFT JOIN n ON g.stream = n.stream AND n.at BETWEEN g.at AND g.at + 43200 GROUP BY 1, 2, 3")

@@ -16,9 +16,9 @@ def x18(t):
     return t("documents").select("doc_id", F.md5(p.transliterate(F.col("text"))).alias("h"))
 
 
-@op("x13_text_to_ids", f"WITH x AS (SELECT conv_id, turn, regexp_replace({ASCII.format('substr(text, 1, 80)')}, '[^ -~]', '', 'g') AS s FROM conversations), c AS (SELECT conv_id, turn, s, list_slice(list_concat([1], list_transform(string_split(s, ''), lambda c: ascii(c)), [2]), 1, 64) AS i FROM x), f AS (SELECT *, list_concat(i, list_transform(range(0, 64 - len(i)), lambda z: 0)) AS ids FROM c) SELECT conv_id, turn, array_to_string(ids, ',') AS ids, substr(s, 1, 63) AS back FROM f")
+@op("x13_text_to_ids", f"WITH x AS (SELECT conv_id, turn, regexp_replace({ASCII.format('text')}, '[^ -~]', '', 'g') AS s FROM conversations), c AS (SELECT conv_id, turn, s, list_slice(list_concat([1], list_transform(string_split(s, ''), lambda c: ascii(c)), [2]), 1, 64) AS i FROM x), f AS (SELECT *, list_concat(i, list_transform(range(0, 64 - len(i)), lambda z: 0)) AS ids FROM c) SELECT conv_id, turn, array_to_string(ids, ',') AS ids, substr(s, 1, 63) AS back FROM f")
 def x13(t):
-    s = F.regexp_replace(p.transliterate(F.substring("text", 1, 80)), "[^ -~]", "")
+    s = F.regexp_replace(p.transliterate(F.col("text")), "[^ -~]", "")
     d = t("conversations").select("conv_id", "turn", p.to_ids(s).alias("ids"))
     return d.select("conv_id", "turn", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), p.from_ids(F.col("ids")).alias("back"))
 

@@ -26,12 +26,12 @@ def shown(seq):
 
 
 # the same special tokens in the documents: a word with a full stop ends, a capital begins, 'de' and 'the' are dim
-MARKED = f"""{DOCS}, mk AS (SELECT doc_id, list_transform(list_slice(tok, 1, 40), lambda w: CASE WHEN w LIKE '%.' THEN '<E>' WHEN w IN ('de', 'the', 'la') THEN '<D>' WHEN regexp_matches(w, '^[A-Z]') THEN '<S>' WHEN length(w) = 2 THEN '<P>' ELSE w END) AS s FROM t)"""
+MARKED = f"""{DOCS}, mk AS (SELECT doc_id, list_transform(tok, lambda w: CASE WHEN w LIKE '%.' THEN '<E>' WHEN w IN ('de', 'the', 'la') THEN '<D>' WHEN regexp_matches(w, '^[A-Z]') THEN '<S>' WHEN length(w) = 2 THEN '<P>' ELSE w END) AS s FROM t)"""
 
 
 def marked(t):
     w = lambda x: F.when(x.endswith("."), a.EOS).when(x.isin("de", "the", "la"), a.DIM).when(x.rlike("^[A-Z]"), a.BOS).when(F.length(x) == 2, a.PAD).otherwise(x)
-    return docs(t).select("doc_id", F.transform(F.slice("seq", 1, 40), w).alias("seq"))
+    return docs(t).select("doc_id", F.transform("seq", w).alias("seq"))
 
 
 N = 24

@@ -80,6 +80,19 @@ def positional(df: DataFrame, order: list[str], bucket=None) -> DataFrame:
     return running_sum(df, order, F.lit(1), "index", number_bucket(df, order[0]) if bucket is None else bucket)
 
 
+def ranged_positional(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with its 0-based position in an order of any kind. Spark deals the rows out in ranges of the order; they are written
+    with the number of their range, which is the bucket, as another run may draw other bounds."""
+    from strophe.operators.prefix import running_sum
+    from strophe.sources.work import shared_folder
+
+    path = shared_folder(df.sparkSession, "ranged") + "/rows"
+    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    back = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    return running_sum(back, order, F.lit(1), "index", F.col("__range")).drop("__range")
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -79,6 +79,10 @@ def cumulative_shards(shards: DataFrame, order: list[str]) -> DataFrame:
 
 
 def sequence_at(indices: DataFrame, shards: DataFrame) -> DataFrame:
-    """indices(index) with the shard (start <= index < end) that holds it and the place there: a range join with the shard
-    table, which is bounded by the shard count. Indices beyond the end are dropped."""
-    return indices.join(F.broadcast(shards), (F.col("index") >= F.col("start")) & (F.col("index") < F.col("end"))).withColumn("local_index", F.col("index") - F.col("start"))
+    """indices(index) with the shard (start <= index < end) that holds it and the place there. Shards are joined by the stretches
+    of numbers that they overlap, as long as the largest shard, so that one overlaps two at most. Indices beyond the end are
+    dropped."""
+    width = shards.agg(F.max("sequence_count")).first()[0] or 1
+    overlaps = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"greatest(start, end - 1) div {width}")))
+    at = indices.withColumn("__b", F.expr(f"index div {width}")).join(shards.withColumn("__b", overlaps).hint("merge"), "__b")
+    return at.where("index >= start and index < end").drop("__b").withColumn("local_index", F.col("index") - F.col("start"))

@@ -69,7 +69,8 @@ def test_dedup_keeps_the_first_source(spark):
     got = rows(corpus.combine_datasets(mk([(5, "h"), (7, "h"), (9, "k")]), mk([(1, "h"), (2, "z")])).select("id", "hash", "source_ordinal"))
     assert sorted(got) == [(2, "z", 1), (5, "h", 0), (9, "k", 0)]
     kept, audit = corpus.dedup_keep_first(mk([(3, "h"), (1, "h"), (2, "h")]), "hash", ["id"])
-    assert rows(kept) == [(1, "h")] and [r[0] for r in audit.first()["duplicates"]] == [2, 3]
+    assert rows(kept) == [(1, "h")] and sorted((r["hash"], r["kept"][0], r["duplicate"][0]) for r in audit.collect()) == [("h", 1, 2), ("h", 1, 3)]
+    assert rows(corpus.dedup_keep_first(mk([(1, "h"), (1, "h")]), "hash", ["id"])[0]) == [(1, "h")]
     assert corpus.dedup_keep_first(kept, "hash", ["id"])[1].count() == 0
 
 
@@ -187,3 +188,18 @@ def test_strict_and_tolerant_records(spark, tmp_path):
 def test_lineage_chain(spark):
     d = spark.createDataFrame([(i, i - 1 if i else None, 10, 100) for i in range(7)], "phase int, parent int, steps long, tokens long")
     assert sorted(rows(metrics.lineage(d).select("phase", "start_step", "start_tokens"))) == [(i, 10 * i, 100 * i) for i in range(7)]
+    long = spark.createDataFrame([(i, i - 1 if i else None, 1, 2) for i in range(70)] + [(100, 101, 1, 1), (101, 100, 1, 1), (102, 999, 1, 1)], "phase int, parent int, steps long, tokens long")
+    got = {p: (s, t) for p, s, t in rows(metrics.lineage(long).select("phase", "start_step", "start_tokens"))}
+    assert all(got[i] == (i, 2 * i) for i in range(70)) and got[100] == got[101] == (None, None) and got[102] == (0, 0)
+
+
+def test_sequence_lookup_and_path_order(spark):
+    sizes = [3, 1, 0, 5, 2]
+    d = shards.cumulative_shards(spark.createDataFrame(list(enumerate(sizes)), "shard_id long, sequence_count long"), ["shard_id"])
+    found = shards.sequence_at(spark.range(-1, 14).select(F.col("id").alias("index")), d)
+    truth = [(sum(sizes[:s]) + i, s, i) for s, n in enumerate(sizes) for i in range(n)]
+    assert sorted(rows(found.select("index", "shard_id", "local_index"))) == truth
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    paths = [f"https://one.host/{i % 7}/{i}" for i in range(300)] + ["a", "", "https://one.host/3/3"]
+    got = records.ranged_positional(spark.createDataFrame(list(enumerate(paths)), "n int, path string"), ["path", "n"])
+    assert [r.n for r in sorted(got.collect(), key=lambda r: r["index"])] == [n for _, n in sorted((p, n) for n, p in enumerate(paths))]
