@@ -115,7 +115,7 @@ def met(nodes: DataFrame, folder: str) -> DataFrame:
 
     # nodes that meet in long lists alone: each to the least head of its lists, and the heads of a node to one another
     long = prefix.where((F.col("size") > SHORT) & (F.col("n_long") >= LEAST)).select("list", "node")
-    heads = long.groupBy("list").agg(F.min("node").alias("head"))
+    heads = materialise(long.groupBy("list").agg(F.min("node").alias("head")), folder, "heads")  # so that AQE can split a long list
     headed = long.join(heads.hint("merge"), "list").select("node", "head").distinct()
     least = headed.groupBy("node").agg(F.min("head").alias("least"))
     tied = least.select(F.col("node").alias("a"), F.col("least").alias("b")).union(headed.join(least.hint("merge"), "node").select("head", "least").distinct())
@@ -205,7 +205,7 @@ def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     found = materialise(links(docs, nodes, groups, k, percent, folder), folder, "links")
     components = connected_components(found, folder, "components")
     named = materialise(nodes.select("node", "fp", "doc_id", "key").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), folder, "named")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("component_key"))
+    least = materialise(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("component_key")), folder, "least")
     named = named.select("fp", "component").join(least.hint("merge"), "component").drop("component")
     kept = F.when(F.col("component_key").isNull(), True).when(F.col("component_id").isNull(), F.col("key") == F.col("component_key")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     component_id = F.when(F.col("component_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
