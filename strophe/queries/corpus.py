@@ -12,6 +12,7 @@ from strophe.operators.prefix import number_bucket, running_sum
 from strophe.queries import op
 from strophe.queries.quality import NOTES
 from strophe.sources import records, shards
+from strophe.sources.work import shared_folder
 
 HASH = r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 TOKENS = r"regexp_split_to_array(trim(text, ' '), '\s+')"
@@ -50,7 +51,9 @@ def seqs(t):
 
 @op("s05_write_shards", f"WITH {SEQS} SELECT 'shard-' || lpad(CAST(shard_id AS VARCHAR), 6, '0') AS name, count(*) AS n, min(seq_id) AS first, max(seq_id) AS last FROM s GROUP BY ALL")
 def s05(t):
-    return seqs(t).groupBy(shards.shard_name("shard_id").alias("name")).agg(F.count("*").alias("n"), F.min("seq_id").alias("first"), F.max("seq_id").alias("last"))
+    path = shared_folder(t.spark, "s05") + "/shards"
+    shards.write_shards(seqs(t), path)
+    return shards.read_shards(t.spark, path).groupBy(shards.shard_name("shard_id").alias("name")).agg(F.count("*").alias("n"), F.min("seq_id").alias("first"), F.max("seq_id").alias("last"))
 
 
 @op("s06_build_manifest", f"WITH {SEQS}, p AS (SELECT shard_id, count(*) AS n, sum(lt) AS l FROM s GROUP BY ALL) SELECT 1 AS format_version, CAST(sum(n) AS BIGINT) AS sequence_count, CAST(sum(l) AS BIGINT) AS loss_token_count, string_agg('shard-' || lpad(CAST(shard_id AS VARCHAR), 6, '0') || ':' || n || ':' || l, ',' ORDER BY shard_id) AS shards FROM p")
@@ -77,8 +80,13 @@ CUM = f"{SEQS}, p AS (SELECT shard_id % 2 AS dir, shard_id, count(*) AS sequence
 
 
 def cumulative(t):
-    per = seqs(t).groupBy("shard_id").agg(F.count("*").alias("sequence_count")).withColumn("dir", F.col("shard_id") % 2)
-    return shards.cumulative_shards(per, ["dir", "shard_id"]).select("dir", "shard_id", "sequence_count", "start", "end")
+    """Two folders of shards, the even and the odd ones, scanned one after the other."""
+    folder = shared_folder(t.spark, "dirs")
+    odd = F.col("shard_id") % 2
+    s = seqs(t)
+    for i in (0, 1):
+        shards.write_shards(s.where(odd == i), f"{folder}/{i}")
+    return shards.scan_shard_dirs(t.spark, [f"{folder}/0", f"{folder}/1"]).select(F.col("dir").cast("long").alias("dir"), "shard_id", "sequence_count", "start", "end")
 
 
 @op("s10_scan_shard_dirs", f"WITH {CUM} SELECT * FROM cum")

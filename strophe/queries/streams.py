@@ -13,45 +13,68 @@ from strophe.sources.work import shared_folder
 from strophe.streaming import live
 
 
+PARTS = 3
+
+
 def _docs(t):
-    return live.stream_of(t.spark, f"{t.dir}/documents.parquet", 2).select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
+    """Documents in three arrivals by their ids, one file a micro-batch or more."""
+    d = t("documents").select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
+    return live.stream_of(t.spark, live.arrive(d, F.pmod("id", F.lit(PARTS)), PARTS, shared_folder(t.spark, "docs")), 16)
+
+
+def _arrived(t):
+    """Events in three arrivals by their times, every third up to 80 minutes late, and in a fourth one a closing event of nobody 400
+    days on, behind which all windows and captures are ended."""
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    lo, third = F.unix_micros(F.lit(ends["lo"])), (F.unix_micros(F.lit(ends["hi"])) - F.unix_micros(F.lit(ends["lo"]))) / PARTS + 1
+    late = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 5 * 1_200_000_000).otherwise(0)
+    closing = e.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.lit("close").alias("event_type"), F.lit(PARTS).alias("part"))
+    dealt = e.withColumn("part", F.least(F.lit(PARTS - 1), F.floor((F.unix_micros("ts") + late - lo) / third)).cast("int"))
+    return live.arrive(dealt.unionByName(closing, allowMissingColumns=True), F.col("part"), PARTS + 1, shared_folder(t.spark, "events"))
 
 
-def _events(t):
-    return live.stream_of(t.spark, f"{t.dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(t, path=None):
+    return live.stream_of(t.spark, path or _arrived(t), 16)
 
 
 DOCS = f"t AS (SELECT doc_id AS id, {TOKENS} AS tok FROM documents)"
 
 
-@op("r01_slice_embed_append", f"WITH {DOCS} SELECT id, CAST(ceil(len(tok) / 64) AS BIGINT) AS slices, len(tok) AS n_tokens FROM t")
+BAGS = ", ".join(f"CAST(count(*) FILTER (b = {i}) AS VARCHAR)" for i in range(16))
+
+
+@op("r01_slice_embed_append", f"WITH {DOCS}, u AS (SELECT id, unnest(tok) AS w, generate_subscripts(tok, 1) - 1 AS p FROM t), b AS (SELECT id, CAST(p // 64 AS BIGINT) AS slice, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16 AS b FROM u) SELECT id, slice, count(*) AS n_tokens, concat_ws(',', {BAGS}) AS bag FROM b GROUP BY 1, 2")
 def r01(t):
-    out = live.slice_and_embed(_docs(t), 64, lambda s: s.withColumn("emb", embed.hashed_bag(F.col("seq"))))
-    return live.drain(out, "r01").groupBy("id").agg(F.count("*").alias("slices"), F.sum(F.size("seq")).alias("n_tokens"))
+    out = live.drain(live.slice_and_embed(_docs(t), 64, lambda s: s.withColumn("emb", embed.hashed_bag(F.col("seq")))), "r01")
+    n = F.size("seq").cast("long")
+    return out.select("id", F.col("slice").cast("long").alias("slice"), n.alias("n_tokens"), F.concat_ws(",", F.transform("emb", lambda x: F.round(x * F.size("seq")).cast("int").cast("string"))).alias("bag"))
 
 
 @op("r02_stream_dedup", "SELECT DISTINCT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def r02(t):
     e = _events(t).select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return live.drain(live.dedup(e, ["user_id", "event_type", "k"], "ts", "60 days"), "r02").select("user_id", "event_type", "k")
+    return live.drain(live.dedup(e, ["user_id", "event_type", "k"], "ts", "60 days"), "r02").where("user_id >= 0").select("user_id", "event_type", "k")
 
 
 @op("r03_tolerant_decode", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k, event_id % 7 = 0 AS bad FROM events")
 def r03(t):
-    lines = _events(t).select("event_id", F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("line"))
-    return live.drain(live.decode(lines, "line", "k int"), "r03").select("event_id", "k", F.col("_corrupt_record").isNotNull().alias("bad"))
+    lines = _events(t).where("event_id >= 0").select("event_id", F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("line"))
+    good, bad = live.decode_to(lines, "line", "k int", shared_folder(t.spark, "r03"))
+    return good.select("event_id", "k", F.lit(False).alias("bad")).unionByName(bad.select("event_id", "k", F.lit(True).alias("bad")))
 
 
 CAPTURE = "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'signup' AS stop FROM events), n AS (SELECT *, min(us) OVER (PARTITION BY user_id) AS b FROM e), r AS (SELECT *, max(stop::INT) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM n WHERE us <= b + 864000000000) SELECT user_id, us, event_id FROM r WHERE coalesce(over, 0) = 0"
 
 
 def _control(e):
-    return e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") == "signup").alias("stop"))
+    at = F.col("ts").cast("timestamp")
+    return e.select("user_id", "event_id", F.unix_micros(at).alias("us"), (F.col("event_type") == "signup").alias("stop"), at.alias("ts"))
 
 
 @op("r04_capture_stream", CAPTURE)
 def r04(t):
-    return live.drain(live.capture(_control(_events(t)), "user_id", "us", "event_id", "stop", 864_000_000_000), "r04").select("user_id", "us", "event_id")
+    return live.drain(live.capture(_control(_events(t)), "user_id", "us", "event_id", "stop", 864_000_000_000, delay="2 hours"), "r04").select("user_id", "us", "event_id")
 
 
 @op("r04_capture_batch", CAPTURE)
@@ -61,39 +84,51 @@ def r04b(t):
 
 @op("r05_density_tumbling", "SELECT user_id, epoch_us(ts) // 86400000000 AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def r05(t):
-    d = live.drain(live.density(_events(t), "ts", ["user_id"], "1 day"), "r05", "complete")
+    d = live.drain(live.density(_events(t), "ts", ["user_id"], "1 day", delay="2 hours"), "r05")
     return d.select("user_id", F.expr("unix_micros(window.start) div 86400000000").alias("day"), "n")
 
 
 @op("r05_density_sliding", "WITH w AS (SELECT epoch_us(ts) // 21600000000 - unnest([0, 1, 2, 3]) AS s FROM events) SELECT s AS start, count(*) AS n FROM w GROUP BY 1")
 def r05s(t):
-    d = live.drain(live.density(_events(t), "ts", [], "1 day", "6 hours"), "r05s", "complete")
+    d = live.drain(live.density(_events(t), "ts", [], "1 day", "6 hours", "2 hours"), "r05s")
     return d.select(F.expr("unix_micros(window.start) div 21600000000").alias("start"), "n")
 
 
 @op("r06_sessions", "WITH l AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS d FROM events), s AS (SELECT user_id, us, sum(CASE WHEN d IS NULL OR d > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS s FROM l) SELECT user_id, min(us) AS start, count(*) AS n FROM s GROUP BY user_id, s")
 def r06(t):
-    d = live.drain(live.sessions(_events(t), "ts", "user_id", "12 hours"), "r06", "complete")
+    d = live.drain(live.sessions(_events(t), "ts", "user_id", "12 hours", "2 hours"), "r06")
     return d.select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
 
 
 @op("r07_stream_responses", "WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS at FROM events WHERE event_type = 'view'), n AS (SELECT user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'click') SELECT event_id AS go_id, min(n.at - g.at) AS latency FROM g JOIN n ON g.user_id = n.user_id AND n.at BETWEEN g.at AND g.at + 43200000000 GROUP BY 1")
 def r07(t):
-    g = _events(t).where("event_type = 'view'").select(F.col("user_id").alias("stream"), F.col("event_id").alias("go_id"), F.col("ts").alias("go_ts"))
-    n = _events(t).where("event_type = 'click'").select(F.col("user_id").alias("note_stream"), F.col("ts").alias("note_ts"))
+    path = _arrived(t)
+    g = _events(t, path).where("event_type = 'view'").select(F.col("user_id").alias("stream"), F.col("event_id").alias("go_id"), F.col("ts").alias("go_ts"))
+    n = _events(t, path).where("event_type = 'click'").select(F.col("user_id").alias("note_stream"), F.col("ts").alias("note_ts"))
     pairs = live.drain(live.responses(g, n, "12 hours", "60 days"), "r07")
     return pairs.groupBy("go_id").agg(F.min(F.unix_micros("note_ts") - F.unix_micros("go_ts")).alias("latency"))
 
 
-@op("r08_resumable_progress", f"WITH {DOCS} SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(len(tok)) AS BIGINT) AS tokens FROM t")
+@op("r08_resumable_progress", f"WITH {DOCS}, n AS (SELECT CASE WHEN id % 3 = 2 THEN 1 ELSE 0 END AS run, tok FROM t) SELECT run, CAST(count(*) AS BIGINT) AS rows, CAST(sum(len(tok)) AS BIGINT) AS tokens, TRUE AS goes_on FROM n GROUP BY 1")
 def r08(t):
-    d = live.drain(_docs(t), "r08", each=lambda b, i: live.with_progress(b, i, 4))
-    return d.agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"))
-
-
-@op("r09_stream_pack", f"WITH {DOCS} SELECT id, CAST(ceil(len(tok) / 64) AS BIGINT) AS windows FROM t")
+    """Two runs of one query: the second begins with the batch after the first one's last and takes the third arrival alone."""
+    folder = shared_folder(t.spark, "r08")
+    d = t("documents").select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
+    part = F.pmod("id", F.lit(PARTS))
+    run = lambda: live.drain(live.stream_of(t.spark, f"{folder}/in", 16), "r08", each=lambda b, i: live.with_progress(b, i, 4), folder=f"{folder}/query")
+    live.arrive(d.where(part < PARTS - 1), part, PARTS - 1, f"{folder}/in")
+    before = run().agg(F.max("number")).first()[0]
+    d.where(part == PARTS - 1).write.mode("append").parquet(f"{folder}/in")
+    progress = run()
+    after = F.col("number") > before
+    steps = F.max("number") - F.min("number") + 1 == F.count("*")
+    d = progress.withColumn("run", after.cast("int")).groupBy("run").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), steps.alias("steps"), F.min("number").alias("first"))
+    return d.select("run", "rows", "tokens", (F.col("steps") & (F.col("first") == F.when(F.col("run") == 1, before + 1).otherwise(0))).alias("goes_on"))
+
+
+@op("r09_stream_pack", f"WITH {DOCS}, w AS (SELECT id, tok, unnest(range(0, CAST(ceil(len(tok) / 64) AS BIGINT))) AS \"window\" FROM t), p AS (SELECT id, \"window\", tok[\"window\" * 64 + 1:\"window\" * 64 + 64] AS s FROM w) SELECT id, \"window\", md5(array_to_string(s, ' ') || repeat(' <P>', 64 - len(s))) AS hash FROM p")
 def r09(t):
-    return live.drain(live.pack(_docs(t), 64), "r09").groupBy("id").agg(F.count("*").alias("windows"))
+    return live.drain(live.pack(_docs(t), 64), "r09").select("id", F.col("window").cast("long").alias("window"), F.md5(F.concat_ws(" ", "seq")).alias("hash"))
 
 
 @op("s03_write_records", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")

@@ -31,6 +31,21 @@ def write_shards(seqs: DataFrame, path: str, overwrite: bool = False) -> None:
     seqs.repartition("shard_id").sortWithinPartitions("shard_id", "seq_id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("shard_id").json(path)
 
 
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The sequences of a folder of shards; a folder without shards has none."""
+    return spark.read.schema("seq_id bigint, seq array<string>, shard_id bigint").json(path)
+
+
+def scan_shard_dirs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(dir, shard_id, sequence_count, start, end): the shards of several folders, in the order of the folders and then of their ids, as
+    one run of sequences."""
+    rows = None
+    for i, path in enumerate(paths):
+        own = read_shards(spark, path).groupBy("shard_id").agg(F.count("*").alias("sequence_count")).withColumn("dir", F.lit(i))
+        rows = own if rows is None else rows.unionByName(own)
+    return cumulative_shards(rows, ["dir", "shard_id"])
+
+
 def shard_counts(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("shard_id").agg(F.count("*").alias("sequence_count"), F.sum(loss_tokens(F.col("seq"))).cast("long").alias("loss_token_count"))
 

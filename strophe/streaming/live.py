@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -25,14 +25,28 @@ def stream_of(spark: SparkSession, path: str, files_per_trigger: int | None = No
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def arrive(df: DataFrame, part: Column, parts: int, folder: str) -> str:
+    """Write a table as the files of ``parts`` arrivals one after the other, each a file of its own micro-batches: rows of part 0
+    first. A file stream takes files in the order of their times."""
+    for i in range(parts):
+        df.where(part == i).write.mode("append").parquet(folder)
+    return folder
+
+
+def drain(
+    stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, folder: str | None = None,
+    side: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Run a query over all that is there now, and read its output. Every micro-batch goes to a folder named by its number, so a
-    batch that is run again replaces its own rows; in complete mode the last batch counts."""
+    batch that is run again replaces its own rows; in complete mode the last batch counts. With the folder of an earlier run the
+    query goes on where that one ended. What ``side`` takes of a batch goes to the folder's side table."""
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         (each(batch, number) if each else batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number:08d}")
+        if side:
+            side(batch).write.mode("overwrite").parquet(f"{folder}/side/batch={number:08d}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
@@ -41,6 +55,11 @@ def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[Da
     return out
 
 
+def side_table(spark: SparkSession, folder: str) -> DataFrame:
+    """What a drained query with a side table has put there."""
+    return spark.read.parquet(f"{folder}/side")
+
+
 def slice_and_embed(docs: DataFrame, n: int, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs(id, seq) -> slices of n tokens with their vectors; stateless. A document's slices stay in one micro-batch."""
     s = docs.select("id", F.posexplode(fixed_chunks(F.col("seq"), n)).alias("slice", "seq"))
@@ -54,10 +73,17 @@ def dedup(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
 
 
 def decode(lines: DataFrame, column: str, schema: str) -> DataFrame:
-    """Parsed lines, with _corrupt_record set for bad ones; a caller's foreachBatch sends these to a side table."""
+    """Parsed lines, with _corrupt_record set for bad ones, which ``decode_to`` sends to a side table."""
     return parse_records(lines, column, schema, tolerant=True)
 
 
+def decode_to(lines: DataFrame, column: str, schema: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Run the decoding over all lines that are there: good rows, and the bad ones from the side table."""
+    bad = F.col("_corrupt_record").isNotNull()
+    good = drain(decode(lines, column, schema), "decode", folder=folder, each=lambda b, i: b.where(~bad), side=lambda b: b.where(bad))
+    return good, side_table(lines.sparkSession, folder)
+
+
 def pack(stream: DataFrame, n: int, key: str = "id") -> DataFrame:
     """Each record in padded windows of n: stateless."""
     return stream.select(key, F.posexplode(padded_windows(F.col("seq"), n)).alias("window", "seq"))
@@ -81,21 +107,38 @@ def responses(gos: DataFrame, notes: DataFrame, timeout: str, delay: str = "1 ho
     return g.join(n, (F.col("stream") == F.col("note_stream")) & (F.col("note_ts") >= F.col("go_ts")) & (F.col("note_ts") <= F.col("go_ts") + F.expr(f"interval {timeout}")))
 
 
-def capture(stream: DataFrame, key: str, at: str, ident: str, stop: str, duration: int) -> DataFrame:
-    """stream(key, at long, ident long, stop boolean): each stream's events from its first on, until ``duration`` has elapsed or a stop
-    event comes, which is included. Rows are taken in order of (at, ident) within a micro-batch; state is one number pair a stream."""
+def capture(stream: DataFrame, key: str, at: str, ident: str, stop: str, duration: int, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """stream(key, at long microseconds of ts, ident long, stop boolean, ts): each stream's events from its first on, until
+    ``duration`` has elapsed or a stop event comes, which is included. Rows wait in the state until the watermark has passed
+    them and are taken in order of (at, ident) whatever batch they came in; an event-time timer lets them go in a stream that falls
+    silent. Rows later than the delay are dropped. State: the waiting rows of a delay, and one number pair a stream."""
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values([at, ident])
-        begun, done = state.get if state.exists else (int(rows[at].iloc[0]), False)
+        begun, done, *held = state.get if state.exists else (None, False, [], [], [])
+        waiting = list(zip(*held, strict=True))
         if not done:
-            kept = rows[rows[at] <= begun + duration]
-            stops = kept[stop].to_numpy().nonzero()[0]
-            done = bool(len(stops)) or len(kept) < len(rows)
-            yield kept.iloc[: stops[0] + 1 if len(stops) else None][[key, at, ident]]
-        state.update((begun, done))
-
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, {at} long, {ident} long", "begun long, done boolean", "append", GroupStateTimeout.NoTimeout)
+            for part in parts:
+                waiting += zip(part[at].tolist(), part[ident].tolist(), part[stop].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        taken = []
+        waiting.sort()
+        ready = [r for r in waiting if r[0] < passed]
+        for row in ready:
+            begun = row[0] if begun is None else begun
+            if done or row[0] > begun + duration:
+                done = True
+                break
+            taken.append(row)
+            done = row[2]
+        waiting = [] if done else waiting[len(ready) :]
+        state.update((begun, done, *([r[i] for r in waiting] for i in range(3))))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [k[0]] * len(taken), at: [r[0] for r in taken], ident: [r[1] for r in taken]})
+
+    held = "begun long, done boolean, at array<long>, ident array<long>, stop array<boolean>"
+    rows = stream.withWatermark(ts, delay).select(key, at, ident, stop, ts)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {at} long, {ident} long", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def capture_batch(events: DataFrame, key: str, at: str, ident: str, stop: str, duration: int) -> DataFrame:
