@@ -1,7 +1,8 @@
 """Global ranks and running sums without a single-partition sort.
 
-A window ordered over the whole table would meet in one task. Rows get a bucket that rises with the order key; bucket totals
-(a bounded table) are summed up in order and broadcast, and the running sum is finished inside each bucket.
+A window ordered over the whole table would meet in one task. Rows get a bucket that rises with the order key, and 4,096
+neighbouring buckets or fewer make a group. Sums run inside a bucket, over the buckets of a group, and over the groups (a bounded
+table, broadcast).
 """
 
 from __future__ import annotations
@@ -11,23 +12,31 @@ from pyspark.sql import functions as F
 
 from strophe.functions.hashing import hash_key
 
-#: Hex digits of the bucket: 4,096 buckets at most, the only rows that meet in one partition.
-DIGITS = 3
+#: Hex digits of a bucket, and of its group: a million buckets, of 100 MB each at 100 TB; 4,096 groups at most, the only rows
+#: that meet in one partition.
+DIGITS, GROUP = 5, 3
 
 
 def running_sum(df: DataFrame, order: list[str], value: Column, out: str, bucket: Column | None = None) -> DataFrame:
-    """df with ``out``: the sum of value over all rows before this one. ``order[0]`` is a hex key unless a bucket is given
-    that rises with ``order``; ties are broken by the further columns."""
-    b = F.substring(order[0], 1, DIGITS) if bucket is None else bucket
-    rows = df.withColumn("__v", value.cast("long")).withColumn("__b", b)
-    totals = rows.groupBy("__b").agg(F.sum("__v").alias("__t"))
-    before = totals.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__before"))
+    """df with ``out``: the sum of value over all rows before this one. ``order[0]`` is a hex key unless a bucket is given, a whole
+    number below 16**5 that rises with ``order``; ties are broken by the further columns; null keys come first. Rows are shuffled once, by bucket."""
+    if bucket is None:
+        b, group = F.substring(order[0], 1, DIGITS), F.substring("__b", 1, GROUP)
+    else:
+        b, group = bucket, F.expr(f"__b div {16 ** (DIGITS - GROUP)}")
+    rows = df.withColumn("__v", value.cast("long")).withColumn("__b", F.coalesce(b, F.lit("" if bucket is None else -1)))
+    totals = rows.groupBy("__b").agg(F.sum("__v").alias("__t")).withColumn("__g", group)
+    groups = totals.groupBy("__g").agg(F.sum("__t").alias("__gt"))
+    ahead = groups.select("__g", (F.sum("__gt").over(Window.orderBy("__g")) - F.col("__gt")).alias("__ahead"))
+    within = F.sum("__t").over(Window.partitionBy("__g").orderBy("__b")) - F.col("__t")
+    before = totals.withColumn("__within", within).join(F.broadcast(ahead), "__g").select("__b", (F.col("__ahead") + F.col("__within")).alias("__before"))
     own = F.sum("__v").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__v")
-    return rows.join(F.broadcast(before), "__b").withColumn(out, F.col("__before") + own).drop("__v", "__b", "__before")
+    # by merge: both sides are dealt out by bucket already
+    return rows.withColumn(out, own).join(before.hint("merge"), "__b").withColumn(out, F.col("__before") + F.col(out)).drop("__v", "__b", "__before")
 
 
 def number_bucket(df: DataFrame, column: str) -> Column:
-    """A bucket that rises with a whole-number column: its range in at most 4,096 equal parts, whatever the size of the table. Ids
+    """A bucket that rises with a whole-number column: its range in at most 16**5 equal parts, whatever the size of the table. Ids
     that crowd in a small part of their range make large buckets; a seeded order does not."""
     ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
     lo, hi = ends["lo"] or 0, ends["hi"] or 0
