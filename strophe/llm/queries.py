@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import best_fit, decontaminate, html_text, language, lm_score, near_dedup, pii, quality, token_files, tool_calls
+from strophe.llm import best_fit, decontaminate, hard_negatives, html_text, language, lm_score, near_dedup, pii, quality, token_files, tool_calls
 from strophe.llm.common import fold, materialise, table, work_dir
 
 QUERIES = {}
@@ -81,6 +81,22 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), hard_negatives.quantise("embedding").alias("vector")), F.col("vec_id") % 50 == 0)
+
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+ a AS (SELECT vec_id AS anchor_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v WHERE vec_id % 50 = 0), b AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v),
+ s AS (SELECT anchor_id, vec_id, a.label = b.label AS alike, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM a JOIN b USING (d) GROUP BY ALL),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
 SQL["op3_tool_call_linking"] = r"""
 WITH RECURSIVE t AS (SELECT *, 'call:' || conv_id || ':' || turn AS call_id, CASE WHEN role = 'system' THEN 'configure' WHEN role = 'user' THEN 'reply' ELSE role END AS name FROM conversations WHERE coalesce(role, '') <> 'assistant'),
  c AS (SELECT *, '{' || concat_ws(',', '"n_chars":' || length(text), CASE WHEN name = 'reply' AND instr(text, ',') > 0 THEN '"detail":"' || substr(text, instr(text, ',') + 1) || '"' END, '"prompt":"' || text || '"', '"turn":' || turn) || '}' AS args FROM t),
