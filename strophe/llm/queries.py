@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import best_fit, decontaminate, hard_negatives, html_text, language, lm_score, near_dedup, pii, quality, token_files, tool_calls
+from strophe.llm import best_fit, decontaminate, hard_negatives, html_text, language, lm_score, near_dedup, pii, quality, spelling, token_files, tool_calls
 from strophe.llm.common import fold, materialise, table, work_dir
 
 QUERIES = {}
@@ -81,6 +81,11 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
@@ -88,6 +93,25 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.select("vec_id", label.alias("label"), hard_negatives.quantise("embedding").alias("vector")), F.col("vec_id") % 50 == 0)
 
 
+def _crc_entry(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents), l AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS i, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM r),
+ x AS (SELECT w, hex(encode(i || w)) AS x FROM l),
+ c AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda j: CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, {[_crc_entry(i) for i in range(256)]}[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM x),
+ t AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM c),
+ v AS MATERIALIZED (SELECT word, count(*) AS n FROM t WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+ d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+ p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON d.d = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.d = v.word),
+ q AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS near, max(n) AS near_n FROM p JOIN v ON v.word = b GROUP BY 1),
+ f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN q ON a = word),
+ z AS (SELECT word, word AS o, 0 AS steps FROM f UNION ALL SELECT z.word, f.form, steps + 1 FROM z JOIN f ON f.word = z.o WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, arg_max(o, steps) AS root FROM z GROUP BY 1) USING (word)"""
+
 SQL["op13_hard_negatives"] = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
