@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import best_fit, decontaminate, hard_negatives, html_text, language, lm_score, near_dedup, pii, quality, spelling, token_files, tool_calls
+from strophe.llm import best_fit, decontaminate, hard_negatives, html_text, language, lm_score, near_dedup, pii, positive_unlabelled, quality, spelling, token_files, tool_calls
 from strophe.llm.common import fold, materialise, table, work_dir
 
 QUERIES = {}
@@ -81,6 +81,15 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold() == 0).alias("held_out"))
+    described = materialise(positive_unlabelled.features(docs), work_dir(spark, "quality_features"), "described")
+    labels = table(spark, sf_dir, "labels").where(fold() != 0)
+    model = positive_unlabelled.learn(described.where("not held_out"), positive_unlabelled.trusted_positives(labels))
+    return positive_unlabelled.score(described, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
