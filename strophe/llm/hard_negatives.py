@@ -28,7 +28,7 @@ from strophe.llm.common import materialise, shuffle_parts, work_dir
 
 #: Candidates and anchors of one score block: 2,048 x 128 numbers.
 ROWS, ANCHORS = 2048, 128
-NONE = np.iinfo(np.int64).min
+NONE = np.int64(-(2**63))
 
 
 def quantise(vector: str = "embedding", scale: int = 256) -> Column:
@@ -69,7 +69,7 @@ def best(score: np.ndarray, open_: np.ndarray, ids: np.ndarray, k: int) -> tuple
     n = len(score)
     rank = np.where(open_, score.astype(np.int64) * n + np.arange(n - 1, -1, -1)[:, None], NONE)
     at = np.argpartition(rank, n - k, axis=0)[n - k :] if n > k else np.broadcast_to(np.arange(n)[:, None], rank.shape)
-    found = np.where(np.take_along_axis(open_, at, 0), np.take_along_axis(score, at, 0), NONE)
+    found = np.where(np.take_along_axis(open_, at, 0), np.take_along_axis(score, at, 0).astype(np.int64), NONE)
     return found, ids[at]
 
 

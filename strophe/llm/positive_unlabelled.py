@@ -18,7 +18,6 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +34,6 @@ WIDTH = STATS * BINS + CLASSES * CLASSES + 1
 SCORE_BINS = 1000
 #: Partial sums that reach the driver, each of WIDTH**2 numbers.
 PARTIALS = 16
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _classes() -> bytes:
@@ -211,13 +209,15 @@ class Model:
     prior: float
 
 
-def learn(described: DataFrame, positives: DataFrame, ridge: float = 1e-4) -> Model:
-    """described(doc_id, x) are the unlabelled rows; positives(doc_id) the trusted ones among them, each once."""
+def learn(described: DataFrame, positives: DataFrame, strength: float = 3.0) -> Model:
+    """described(doc_id, x) are the unlabelled rows; positives(doc_id) the trusted ones among them, each once. The ridge is
+    ``strength`` by the number of positives, and 1e-4."""
     spark, folder = described.sparkSession, work_dir(described.sparkSession, "positive_unlabelled")
     trusted = materialise(described.select("doc_id", "x").join(positives.select("doc_id").hint("merge"), "doc_id", "left_semi"), folder, "positives")
     p, u = moments(trusted), moments(described)
     if not p[-1, -1] or not u[-1, -1]:
         return Model(np.zeros(WIDTH), 0.5)
+    ridge = 1e-4 + strength / p[-1, -1]
     p, u = p / p[-1, -1], u / u[-1, -1]
     first = fit(p, u, 0.5, ridge)
     prior = best_bin_prior(histogram(trusted, first), histogram(described, first))
