@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.arrays import BOS, EOS, PAD, pad_to
 from strophe.functions.hashing import hash_int, hash_key
-from strophe.operators.prefix import number_bucket, running_sum, seeded_rank
+from strophe.operators.prefix import numbered_sum, seeded_rank
 
 
 def complete_windows(tokens: DataFrame, key: str, pos: str = "pos", bos: str = "bos", eos: str = "eos") -> DataFrame:
@@ -127,7 +127,7 @@ def block_shuffle(df: DataFrame, index: str, size: int, seed) -> DataFrame:
 def rank_sharded(df: DataFrame, key: str, seed, epoch: int, replicas: int, shuffle: bool = True) -> DataFrame:
     """(key, index, replica): rows in the order of (seed, epoch), wrapped around at the end until all replicas have as many;
     replica = index mod replicas."""
-    ranked = seeded_rank(df, f"{seed}/{epoch}", key, "index") if shuffle else running_sum(df, [key], F.lit(1), "index", number_bucket(df, key))
+    ranked = seeded_rank(df, f"{seed}/{epoch}", key, "index") if shuffle else numbered_sum(df, [key], F.lit(1), "index")
     n = ranked.agg(F.count("*").alias("n"))
     d = ranked.crossJoin(F.broadcast(n))
     short = F.pmod(-F.col("n"), F.lit(replicas))

@@ -8,7 +8,7 @@ from strophe.contracts import CATEGORY_TAGS, MANUAL_METADATA, notes_view, tag_ta
 from strophe.functions.arrays import loss_tokens, tokens_of
 from strophe.operators import corpus as c
 from strophe.operators.packing import pack_separate
-from strophe.operators.prefix import number_bucket, running_sum
+from strophe.operators.prefix import numbered_sum
 from strophe.queries import op
 from strophe.queries.quality import NOTES
 from strophe.sources import records, shards
@@ -44,7 +44,7 @@ SEQS = f"t AS (SELECT doc_id, len(tok) AS nt, (len(tok) + {L - 1}) // {L} AS nw
 def seqs(t):
     """Whole documents in ascending order of their ids, each cut into padded windows: seq_id, shard_id, seq."""
     d = t("documents").select("doc_id", tokens_of(F.col("text")).alias("seq"))
-    d = running_sum(d, ["doc_id"], F.ceil(F.size("seq") / L), "before", number_bucket(d, "doc_id"))
+    d = numbered_sum(d, ["doc_id"], F.ceil(F.size("seq") / L), "before")
     d = pack_separate(d, L, "doc_id").select((F.col("before") + F.col("window")).alias("seq_id"), "seq")
     return shards.assign_shards(d, L, SHARD)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -73,11 +73,11 @@ def read_metrics(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(METRICS[kind]).option("header", True).csv(path)
 
 
-def positional(df: DataFrame, order: list[str], bucket=None) -> DataFrame:
-    """df with its 0-based position in the order, whose first column is a whole number unless a bucket is given."""
-    from strophe.operators.prefix import number_bucket, running_sum
+def positional(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with its 0-based position in the order, whose first column is a whole number; nulls come first."""
+    from strophe.operators.prefix import numbered_sum
 
-    return running_sum(df, order, F.lit(1), "index", number_bucket(df, order[0]) if bucket is None else bucket)
+    return numbered_sum(df, order, F.lit(1), "index")
 
 
 def ranged_positional(df: DataFrame, order: list[str]) -> DataFrame:
@@ -91,9 +91,3 @@ def ranged_positional(df: DataFrame, order: list[str]) -> DataFrame:
     ranged.write.parquet(path)
     back = df.sparkSession.read.schema(ranged.schema).parquet(path)
     return running_sum(back, order, F.lit(1), "index", F.col("__range")).drop("__range")
-
-
-def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
