@@ -74,7 +74,20 @@ def _control(e):
 
 @op("r04_capture_stream", CAPTURE)
 def r04(t):
-    return live.drain(live.capture(_control(_events(t)), "user_id", "us", "event_id", "stop", 864_000_000_000, delay="2 hours"), "r04").select("user_id", "us", "event_id")
+    return live.drain(live.capture(_control(_events(t)), "user_id", "us", "event_id", "stop", 864_000_000_000, delay="2 hours"), "r04").where("user_id >= 0").select("user_id", "us", "event_id")
+
+
+AGAIN = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'signup' AS stop FROM events),
+ c AS (SELECT user_id, min(us) AS b FROM e GROUP BY 1 UNION ALL SELECT user_id, min(us) FROM (SELECT c.user_id, c.b, coalesce(min(s.us), c.b + 86400000000) + 259200000000 AS u FROM c LEFT JOIN e s ON s.user_id = c.user_id AND s.stop AND s.us BETWEEN c.b AND c.b + 86400000000 GROUP BY 1, 2) JOIN e USING (user_id) WHERE us > u GROUP BY 1),
+ f AS (SELECT c.user_id, c.b, min((s.us, s.event_id)) AS first FROM c LEFT JOIN e s ON s.user_id = c.user_id AND s.stop AND s.us BETWEEN c.b AND c.b + 86400000000 GROUP BY 1, 2)
+SELECT e.user_id, us, event_id FROM f JOIN e ON e.user_id = f.user_id AND us BETWEEN b AND b + 86400000000 AND (first IS NULL OR (us, event_id) <= first)"""
+
+
+@op("r04_capture_again", AGAIN)
+def r04a(t):
+    """Captures of a day at most, with three days' rest after each."""
+    d = live.capture(_control(_events(t)), "user_id", "us", "event_id", "stop", 86_400_000_000, delay="2 hours", rest=259_200_000_000)
+    return live.drain(d, "r04a").where("user_id >= 0").select("user_id", "us", "event_id")
 
 
 @op("r04_capture_batch", CAPTURE)
@@ -103,10 +116,10 @@ def r06(t):
 @op("r07_stream_responses", "WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS at FROM events WHERE event_type = 'view'), n AS (SELECT user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'click') SELECT event_id AS go_id, min(n.at - g.at) AS latency FROM g JOIN n ON g.user_id = n.user_id AND n.at BETWEEN g.at AND g.at + 43200000000 GROUP BY 1")
 def r07(t):
     path = _arrived(t)
-    g = _events(t, path).where("event_type = 'view'").select(F.col("user_id").alias("stream"), F.col("event_id").alias("go_id"), F.col("ts").alias("go_ts"))
-    n = _events(t, path).where("event_type = 'click'").select(F.col("user_id").alias("note_stream"), F.col("ts").alias("note_ts"))
-    pairs = live.drain(live.responses(g, n, "12 hours", "60 days"), "r07")
-    return pairs.groupBy("go_id").agg(F.min(F.unix_micros("note_ts") - F.unix_micros("go_ts")).alias("latency"))
+    # the closing event is in both streams, so that it moves both watermarks
+    g = _events(t, path).where("event_type in ('view', 'close')").select(F.col("user_id").alias("stream"), F.col("event_id").alias("go_id"), F.col("ts").alias("go_ts"))
+    n = _events(t, path).where("event_type in ('click', 'close')").select(F.col("user_id").alias("note_stream"), F.col("ts").alias("note_ts"))
+    return live.drain(live.first_responses(g, n, "12 hours", "2 hours"), "r07").select("go_id", "latency")
 
 
 @op("r08_resumable_progress", f"WITH {DOCS}, n AS (SELECT CASE WHEN id % 3 = 2 THEN 1 ELSE 0 END AS run, tok FROM t) SELECT run, CAST(count(*) AS BIGINT) AS rows, CAST(sum(len(tok)) AS BIGINT) AS tokens, TRUE AS goes_on FROM n GROUP BY 1")

@@ -7,11 +7,12 @@ watermark; what that means for late or far-apart rows stands in each docstring.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strophe.functions.arrays import fixed_chunks, padded_windows
 from strophe.sources.records import parse_records
@@ -48,7 +49,8 @@ def drain(
         if side:
             side(batch).write.mode("overwrite").parquet(f"{folder}/side/batch={number:08d}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    with state_in_rocksdb(spark):
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     if mode == "complete":
         out = out.where(F.col("batch") == out.agg(F.max("batch").alias("b")).first()["b"])
@@ -101,44 +103,107 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str, delay: str = "1 hou
 
 
 def responses(gos: DataFrame, notes: DataFrame, timeout: str, delay: str = "1 hour") -> DataFrame:
-    """Pairs of a go (stream, go_id, go_ts) and a note (note_stream, note_ts) within the timeout; the first response is the least of
-    a go's pairs, which a second stage takes."""
+    """Pairs of a go (stream, go_id, go_ts) and a note (note_stream, note_ts) within the timeout."""
     g, n = gos.withWatermark("go_ts", delay), notes.withWatermark("note_ts", delay)
     return g.join(n, (F.col("stream") == F.col("note_stream")) & (F.col("note_ts") >= F.col("go_ts")) & (F.col("note_ts") <= F.col("go_ts") + F.expr(f"interval {timeout}")))
 
 
-def capture(stream: DataFrame, key: str, at: str, ident: str, stop: str, duration: int, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """stream(key, at long microseconds of ts, ident long, stop boolean, ts): each stream's events from its first on, until
-    ``duration`` has elapsed or a stop event comes, which is included. Rows wait in the state until the watermark has passed
-    them and are taken in order of (at, ident) whatever batch they came in; an event-time timer lets them go in a stream that falls
-    silent. Rows later than the delay are dropped. State: the waiting rows of a delay, and one number pair a stream."""
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, done, *held = state.get if state.exists else (None, False, [], [], [])
-        waiting = list(zip(*held, strict=True))
-        if not done:
-            for part in parts:
-                waiting += zip(part[at].tolist(), part[ident].tolist(), part[stop].tolist(), strict=True)
-        passed = state.getCurrentWatermarkMs() * 1000
-        taken = []
-        waiting.sort()
-        ready = [r for r in waiting if r[0] < passed]
+def first_responses(gos: DataFrame, notes: DataFrame, timeout: str, delay: str = "1 hour") -> DataFrame:
+    """(stream, go_id, go_ts, latency in microseconds): one row for each go that a note answers within the timeout. Two stateful steps in
+    one query: the interval join, and the least latency of each go, which is let out (append mode) when the watermark has
+    passed the go's time by the timeout, as no pair of it can come then. Gos and notes later than the delay are dropped; state is held for timeout
+    and delay."""
+    latency = (F.unix_micros("note_ts") - F.unix_micros("go_ts")).alias("latency")
+    pairs = responses(gos, notes, timeout, delay).select("stream", "go_id", "go_ts", latency)
+    return pairs.groupBy("stream", "go_id", "go_ts").agg(F.min("latency").alias("latency"))
+
+
+class Capture(StatefulProcessor):
+    """One stream's captures. Rows wait in a list state until the watermark has passed them and are then taken in order of (at, ident),
+    whatever batch they came in; an event-time timer stands at the least waiting row, or where nothing waits at the end of the
+    rest, when the stream's state is deleted."""
+
+    def __init__(self, columns: list[str], duration: int, rest: int):
+        self.columns, self.duration, self.rest = columns, duration, rest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, ident long, stop boolean")
+        #: The running capture's first time, if there is one; and the time up to which rows are passed over.
+        self.mark = handle.getValueState("mark", "begun long, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for part in rows:
+            new = list(zip(*(part[c].tolist() for c in self.columns), strict=True))
+            if new:
+                self.waiting.appendList(new)
+                first = min(new)[0]
+                least = first if least is None else min(least, first)
+        if least is not None:
+            self.handle.registerTimer(max(least // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        begun, until = self.mark.get() if self.mark.exists() else (None, None)
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        ready, taken = [r for r in waiting if r[0] < passed], []
         for row in ready:
-            begun = row[0] if begun is None else begun
-            if done or row[0] > begun + duration:
-                done = True
-                break
+            if begun is not None and row[0] > begun + self.duration:
+                begun, until = None, begun + self.duration + self.rest
+            if until is not None and row[0] <= until:
+                continue
+            begun, until = row[0] if begun is None else begun, None
             taken.append(row)
-            done = row[2]
-        waiting = [] if done else waiting[len(ready) :]
-        state.update((begun, done, *([r[i] for r in waiting] for i in range(3))))
+            if row[2]:
+                begun, until = None, row[0] + self.rest
+        waiting = waiting[len(ready) :]
+        if begun is not None and begun + self.duration < passed:
+            begun, until = None, begun + self.duration + self.rest
+        if until is not None and until < passed:
+            until = None
+        if begun is None and until is None:
+            self.mark.clear()
+        else:
+            self.mark.update((begun, until))
         if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({key: [k[0]] * len(taken), at: [r[0] for r in taken], ident: [r[1] for r in taken]})
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        times = [waiting[0][0]] if waiting else [begun + self.duration] if begun is not None else [until] if until is not None else []
+        for at in times:
+            self.handle.registerTimer(max(at // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        if taken:
+            yield pd.DataFrame({"key": [key[0]] * len(taken), "at": [r[0] for r in taken], "ident": [r[1] for r in taken]})
+
+    def close(self) -> None:
+        pass
 
-    held = "begun long, done boolean, at array<long>, ident array<long>, stop array<boolean>"
+
+def capture(stream: DataFrame, key: str, at: str, ident: str, stop: str, duration: int, ts: str = "ts", delay: str = "1 hour", rest: int = 2**60) -> DataFrame:
+    """stream(key, at long microseconds of ts, ident long, stop boolean, ts): each stream's events from its first on, until
+    ``duration`` has elapsed or a stop event comes, which is included. For ``rest`` microseconds after that (from the stop, or the end of the
+    duration) the stream's rows are passed over; the next row begins another capture. Rows later than the delay are dropped.
+    State, in RocksDB (``state_in_rocksdb``): the waiting rows of a delay, and two numbers a stream until the watermark has passed its rest."""
     rows = stream.withWatermark(ts, delay).select(key, at, ident, stop, ts)
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {at} long, {ident} long", held, "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy(key).transformWithStateInPandas(Capture([at, ident, stop], duration, rest), "key long, at long, ident long", "append", "eventTime")
+    return out.toDF(key, at, ident)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started meanwhile keep their state in RocksDB, as list states and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def capture_batch(events: DataFrame, key: str, at: str, ident: str, stop: str, duration: int) -> DataFrame:
