@@ -94,3 +94,54 @@ def test_first_response_is_one_row_a_go(spark):
     arrive(spark, source, [(4, 1500, 10, False), (4, 1510, 11, True)])
     arrive(spark, source, [(5, 1990, 12, False), (5, 1999, 13, True), (-1, 4000, -2, True)])
     assert first_responses(spark, source, folder) == [(-1, 0), (1, 10), (7, 0), (12, 9)]
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "hash string, id long, text string")
+
+
+@pytest.mark.parametrize("expected", [1, 100_000])
+def test_exact_dedup_over_batches(spark, expected):
+    """Equals the batch form whatever the distance of duplicates, also where the filter is far too small; a batch that is run again
+    gives the same rows and keeps what it has added."""
+    from strophe.operators import corpus
+    from strophe.streaming import seen
+
+    rng = random.Random(expected)
+    rows = [(f"{rng.randrange(900):032x}", i, f"t{i}") for i in range(3000)]
+    rows.insert(1500, rows[0])  # the very same row once more
+    folder = shared_folder(spark, "exact")
+    run = lambda n, table: sorted(tuple(r) for r in seen.dedup_exact(batch_of(spark, rows[n * 750 : (n + 1) * 750]), n, table, "hash", ["id"], f"{folder}/scratch").collect())
+    got = []
+    for n in range(3):
+        table = seen.SeenTable(spark, f"{folder}/seen", expected, parts=3)  # a new process each time
+        own = run(n, table)
+        assert run(n, table) == own
+        got += own
+    moved = seen.SeenTable(spark, f"{folder}/seen", expected, parts=3).compact(3, f"{folder}/compacted")
+    got += run(3, moved)
+    got += run(4, moved)
+    kept = corpus.dedup_keep_first(batch_of(spark, rows), "hash", ["id"])[0]
+    assert sorted(got) == sorted(tuple(r) for r in kept.collect())
+
+
+def test_filter_rules_out_nearly_all_new_hashes_and_no_old_one(spark):
+    from strophe.streaming import seen
+
+    table = seen.SeenTable(spark, shared_folder(spark, "bloom"), 4000, parts=3)
+    old, new = (spark.range(a, a + 4000).select(F.md5(F.col("id").cast("string")).alias("hash")) for a in (0, 4000))
+    table.add(old, 0)
+    assert table.maybe(old, 1).count() == 4000 and table.maybe(new, 1).count() < 40
+    assert table.maybe(old, 0).count() == 0  # what its own batch has written does not count
+    assert table.hits(new.unionByName(old.limit(7)), 1).count() == 7
+
+
+def test_exact_dedup_edges(spark):
+    from strophe.streaming import seen
+
+    folder = shared_folder(spark, "edges")
+    table = seen.SeenTable(spark, f"{folder}/seen", parts=3)
+    run = lambda n, rows: sorted((r.id, r.text) for r in seen.dedup_exact(batch_of(spark, rows), n, table, "hash", ["id"], f"{folder}/scratch").collect())
+    assert run(0, []) == []
+    assert run(1, [(None, 1, "a"), (None, 1, "a"), ("h", 5, "b"), ("h", 4, "c"), ("h", 4, "d")])[:2] == [(1, "a"), (1, "a")]
+    assert run(2, [("h", 1, "e"), (None, 2, "f"), ("g", 3, "x" * 1_000_000)]) == [(2, "f"), (3, "x" * 1_000_000)]
