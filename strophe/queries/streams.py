@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strophe.functions.arrays import tokens_of
+from strophe.functions.arrays import fixed_chunks, tokens_of
 from strophe.operators import embed
 from strophe.operators.corpus import content_hash
 from strophe.operators.prefix import numbered_sum
@@ -53,6 +53,36 @@ def r01(t):
     return out.select("id", F.col("slice").cast("long").alias("slice"), n.alias("n_tokens"), F.concat_ws(",", F.transform("emb", lambda x: F.round(x * F.size("seq")).cast("int").cast("string"))).alias("bag"))
 
 
+def _bag_model():
+    """An example hook: counts of a slice's tokens in 16 hashed buckets."""
+    import hashlib
+
+    def counts(seq):
+        out = [0.0] * 16
+        for w in seq:
+            out[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        return out
+
+    return lambda batch: [counts(seq) for seq in batch]
+
+
+@op("r01_embed_files", f"WITH {DOCS}, u AS (SELECT id, unnest(tok) AS w, len(tok) AS n FROM t), b AS (SELECT id, n, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16 AS b, w FROM u) SELECT id, CAST(ceil(max(n) / 64) AS BIGINT) AS n_slices, CAST(max(n) AS BIGINT) AS n_tokens, concat_ws(',', {BAGS}) AS bag FROM b GROUP BY 1")
+def r01f(t):
+    """Slices of a document come in different arrivals; the second run of the query takes the last ones, and with them ends most files."""
+    d = t("documents").select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
+    s = d.select("id", fixed_chunks(F.col("seq"), 64).alias("c")).select("id", F.size("c").alias("slices"), F.posexplode("c").alias("slice", "seq"))
+    folder, part = shared_folder(t.spark, "r01f"), F.pmod(F.col("id") + F.col("slice"), F.lit(PARTS))
+    s = s.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * part))
+    run = lambda: live.drain(live.embed_files(live.stream_of(t.spark, f"{folder}/in", 16), _bag_model, "id", "ts"), "r01f", each=lambda b, i: records.append_embedding_batch(b, f"{folder}/files", i), folder=f"{folder}/query")
+    live.arrive(s.where(part < PARTS - 1), part, PARTS - 1, f"{folder}/in")
+    run()
+    s.where(part == PARTS - 1).write.mode("append").parquet(f"{folder}/in")
+    run()
+    out = t.spark.read.schema("id long, seqs array<array<string>>, emb array<double>").json(f"{folder}/files")
+    bag = F.concat_ws(",", F.transform("emb", lambda x: F.round(x * F.size("seqs")).cast("int").cast("string")))
+    return out.select("id", F.size("seqs").cast("long").alias("n_slices"), F.size(F.flatten("seqs")).cast("long").alias("n_tokens"), bag.alias("bag"))
+
+
 @op("r02_stream_dedup", "SELECT DISTINCT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def r02(t):
     e = _events(t).select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -59,6 +59,13 @@ def write_embedding_dataset(slices: DataFrame, path: str, per_file: bool, key: s
     slices.write.mode("errorifexists").json(path)
 
 
+def append_embedding_batch(files: DataFrame, path: str, number: int) -> DataFrame:
+    """Append a micro-batch's rows to an embedding data set, once: a batch that is run again replaces its own. Returns what is written."""
+    own = f"{path}/batch={number:08d}"
+    files.write.mode("overwrite").json(own)
+    return files.sparkSession.read.schema(files.schema).json(own)
+
+
 METRICS = {
     "loss": "run string, pass int, batch int, step bigint, tokens_seen bigint, loss double",
     "eval": "run string, step bigint, tokens_seen bigint, avg_train_loss double, avg_val_loss double",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -191,6 +192,55 @@ def capture(stream: DataFrame, key: str, at: str, ident: str, stop: str, duratio
     return out.toDF(key, at, ident)
 
 
+class HoldFile(StatefulProcessor):
+    """One file's embedded slices, held until all have come, in whatever batches and order; a slice that comes again counts once."""
+
+    def __init__(self, hold_ms: int):
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "slice int, seq array<string>, emb array<float>, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        have = {int(r[0]): r for r in self.held.get()} if self.held.exists() else {}
+        new, total = [], None
+        for part in rows:
+            for n, of, seq, emb, at in zip(part["slice"], part["slices"], part["seq"], part["emb"], part["at"], strict=True):
+                total = int(of)
+                if int(n) not in have:
+                    have[int(n)] = (int(n), [str(w) for w in seq], [float(x) for x in emb], int(at))
+                    new.append(have[int(n)])
+        if total is not None and len(have) >= total:
+            self.held.clear()
+            whole = [have[i] for i in sorted(have)]
+            mean = np.array([r[2] for r in whole], np.float64).mean(axis=0)
+            yield pd.DataFrame({"key": [key[0]], "seqs": [[list(r[1]) for r in whole]], "emb": [mean.tolist()]})
+        elif new:
+            self.held.appendList(new)
+            self.handle.registerTimer(max(max(r[3] for r in new) + self.hold_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists() and max(r[3] for r in self.held.get()) + self.hold_ms <= timerValues.getCurrentWatermarkInMs():
+            self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def embed_files(slices: DataFrame, load: Callable, key: str, ts: str, batch_size: int = 64, delay: str = "1 hour", hold: str = "7 days") -> DataFrame:
+    """slices(key long, slice, slices, seq, ts), a stream -> (key, seqs, emb): one row for each file, when the last of its slices has come, with its
+    sequences in order and the mean of their vectors. ``load`` makes the user's model, once for a worker's stream of a partition; the model gets at most
+    batch_size sequences at a time. A file whose last slice is ``hold`` older than the watermark is given up, and slices later than the delay are dropped;
+    state is the unfinished files' slices. The slices of one file must fit a worker."""
+    from strophe.operators.embed import embed
+
+    hold_ms = int(pd.Timedelta(hold).total_seconds() * 1000)
+    rows = slices.withWatermark(ts, delay).select(key, F.col("slice").cast("int").alias("slice"), F.col("slices").cast("int").alias("slices"), "seq", ts, F.unix_millis(ts).alias("at"))
+    return embed(rows, load, batch_size).groupBy(key).transformWithStateInPandas(HoldFile(hold_ms), "key long, seqs array<array<string>>, emb array<double>", "append", "eventTime").toDF(key, "seqs", "emb")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -145,3 +145,20 @@ def test_exact_dedup_edges(spark):
     assert run(0, []) == []
     assert run(1, [(None, 1, "a"), (None, 1, "a"), ("h", 5, "b"), ("h", 4, "c"), ("h", 4, "d")])[:2] == [(1, "a"), (1, "a")]
     assert run(2, [("h", 1, "e"), (None, 2, "f"), ("g", 3, "x" * 1_000_000)]) == [(2, "f"), (3, "x" * 1_000_000)]
+
+
+def test_files_are_held_until_complete(spark):
+    """Slices out of order and over two runs; one that comes twice counts once; a file that stays unfinished is given up behind its hold."""
+    source, folder = shared_folder(spark, "slices"), shared_folder(spark, "query")
+    schema = "id long, slice int, slices int, seq array<string>, minute long"
+    _length_model = lambda: lambda batch: [[float(len(s)), float(sum(map(len, s)))] for s in batch]
+    run = lambda: sorted((r.id, r.seqs, r.emb) for r in live.drain(live.embed_files(live.stream_of(spark, source, 1), _length_model, "id", "ts", 2, hold="2 hours"), "files", folder=folder).collect())
+    arrive(spark, source, [(1, 1, 2, ["b", "bb"], 0), (2, 0, 1, ["c"], 0), (3, 0, 2, ["d"], 0), (1, 1, 2, ["b", "bb"], 1), (4, 0, 2, ["x"], 0)], schema)
+    assert run() == [(2, [["c"]], [1.0, 1.0])]
+    arrive(spark, source, [(1, 0, 2, ["a"], 30)], schema)
+    arrive(spark, source, [(9, 0, 2, ["z"], 400)], schema)
+    want = [(1, [["a"], ["b", "bb"]], [1.5, 2.0]), (2, [["c"]], [1.0, 1.0])]
+    assert run() == want
+    assert [tuple(r["key"]) for r in state(spark, folder, "held").select("key").distinct().collect()] == [(9,)]
+    arrive(spark, source, [(3, 1, 2, ["d"], 401), (9, 1, 2, ["y"], 401)], schema)  # file 3 begins anew, without its first slice
+    assert run() == [*want, (9, [["z"], ["y"]], [1.0, 1.0])]
