@@ -31,16 +31,17 @@ def letters(text: str) -> str:
 def learn(train: DataFrame, sample_docs: int = 500, sample_chars: int = 1500) -> dict[str, bytes]:
     """lang -> dictionary content; at most sample_docs * sample_chars characters a language reach the driver.
 
-    Rows are counted by language first; then those below a hash that lets about twice the sample through are ranked, so that
-    no task sorts a language that holds most of the rows (and each task passes on sample_docs rows of one at most)."""
+    Distinct rows are counted by language first (repeated ones share a hash, and count once); then those below a hash that lets about twice the
+    sample through, and the one of the least hash in any case, are ranked, so that no task sorts a language that holds most of the rows."""
     rows = train.where("lang is not null and text is not null").select("lang", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"), F.substring("text", 1, sample_chars).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least"))
+    counts = {r["lang"]: (max(1, r["n"]), r["least"]) for r in counted.limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return {}
-    limits = train.sparkSession.createDataFrame([(x, (2**63 - 1) * min(n, 2 * sample_docs) // n) for x, n in counts.items()], "lang string, most long")
-    near = rows.join(F.broadcast(limits), "lang").where("h <= most")
+    limits = train.sparkSession.createDataFrame([(x, max(least, (2**63 - 1) * min(n, 2 * sample_docs) // n)) for x, (n, least) in counts.items()], "lang string, most long")
+    near = rows.join(F.broadcast(limits), "lang").where("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))
     ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rn") <= sample_docs)
     texts: dict[str, list] = {}
     for r in ranked.select("lang", "h", "text").collect():

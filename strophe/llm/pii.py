@@ -7,6 +7,9 @@ where a * b is the format's domain. Dates walk the cycle until they are days of
 address's local part, and the body of a bank number, are shifted within their alphabets, half by half. Equal values so become
 equal pseudonyms in every document, distinct ones distinct, and whatever is not valid stays as it is.
 
+Where a grouped card or bank number fails its check at its longest, its shorter beginnings are tried, and the text behind the one that
+holds, or behind its first group, is searched again, PASSES times.
+
 Defined results: null text -> null, 0 found; text without valid candidates is unchanged; separators, and country codes of
 telephone numbers, are kept; repeated rows are treated alike; an empty table gives no rows; other columns pass, but for
 n_found, which is replaced.
@@ -25,14 +28,20 @@ _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "ip": rf"(?<![\p{{L}}\p{{N}}_.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}_])",
-    "phone": rf"(?<![\p{{L}}\p{{N}}_])(?:\+[0-9]{{1,3}}[ -]?)?\([0-9]{{3}}\) ?[0-9]{{3}}[ -][0-9]{{4}}{_E}|(?<![\p{{L}}\p{{N}}_])\+[0-9]{{1,3}}[ -][0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}{_E}",
+    "phone": rf"(?<![\p{{L}}\p{{N}}_])(?:\+[0-9]{{1,3}}[ -]?)?\([0-9]{{3}}\) ?[0-9]{{3}}[ -][0-9]{{4}}{_E}|(?<![\p{{L}}\p{{N}}_])\+[0-9]{{1,3}}[ -][0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}{_E}|(?<![\p{{L}}\p{{N}}_])\+[0-9]{{1,3}}(?:[ -][0-9]{{1,4}}){{3,6}}{_E}|{_B}[2-9][0-9]{{2}}(?<ph>[.-])[0-9]{{3}}\k<ph>[0-9]{{4}}{_E}",
     "ssn": rf"{_B}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_E}",
-    "date": rf"{_B}(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}{_E}|{_B}[0-9]{{2}}([./])[0-9]{{2}}\1(?:19|20)[0-9]{{2}}{_E}",
+    "date": rf"{_B}(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}(?:{_E}|(?=T[0-9]{{2}}:))|{_B}[0-9]{{2}}(?<dm>[./])[0-9]{{2}}\k<dm>(?:19|20)[0-9]{{2}}{_E}",
     "iban": rf"{_B}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_E}",
     "card": rf"{_B}(?:[0-9]{{13,19}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2,3}}(?:[ -][0-9]{{1,3}})?){_E}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+LATIN_LOWER, LATIN_UPPER = ("".join(chr(c) for c in range(a, b) if c not in (0xD7, 0xF7)) for a, b in ((0xDF, 0x100), (0xC0, 0xDF)))
+#: Marks of what later passes leave alone: OPEN, a kind (v: a pseudonym, w: text as it was, a and b: the marks themselves), text, CLOSE.
+OPEN, CLOSE = "\ue000", "\ue001"
+MARKED = f"{OPEN}[^{CLOSE}]*{CLOSE}"
+#: Further passes over a text in which a card or bank number's longest form is not valid.
+PASSES = 3
 
 
 def _hash(key: str, kind: str, i: Column, value: Column) -> Column:
@@ -96,9 +105,11 @@ def _card(v: Column, key: str) -> Column:
 
 def _phone(v: Column, key: str) -> Column:
     old = _only_digits(v)
-    kept = F.length(old) - 10
-    new = F.concat(F.substr(old, F.lit(1), kept), permute_digits(F.substr(old, kept + 1, F.lit(10)), key, "phone"))
-    return F.transform(F.array(new), lambda n: _refill(v, n))[0]
+    # the country code stays, and with a national number of ten digits or more all but the last ten
+    code = F.length(F.regexp_extract(v, r"^\+([0-9]{1,3})[ -]", 1))
+    kept = F.greatest(F.length(old) - 10, code)
+    new = F.concat(F.substr(old, F.lit(1), kept), permute_digits(F.substr(old, kept + 1, F.length(old) - kept), key, "phone"))
+    return F.when((F.length(old) - code).between(7, 14), F.transform(F.array(new), lambda n: _refill(v, n))[0])
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -146,7 +157,7 @@ def _shift(part: Column, by: Column, key: str, kind: str, i: Column) -> Column:
     def one(c: Column, j: Column, hexes: Column) -> Column:
         s = F.conv(F.substr(hexes, (F.pmod(j, F.lit(31)) * 2 + 1).cast("int"), F.lit(3)), 16, 10).cast("int")
         out = c
-        for alphabet in (LOWER, UPPER, DIGITS):
+        for alphabet in (LOWER, UPPER, DIGITS, LATIN_LOWER, LATIN_UPPER):
             at = F.instr(F.lit(alphabet), c) - 1
             out = F.when((at >= 0) & (c != ""), F.substr(F.lit(alphabet), (F.pmod(at + s, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
@@ -186,21 +197,60 @@ def _iban(v: Column, key: str) -> Column:
 _PERMUTERS = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "iban": _iban, "card": _card}
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     """A candidate's pseudonym; null if it is not valid."""
     out = F.lit(None).cast("string")
-    for kind in reversed(PATTERNS):
+    for kind in reversed(kinds):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), _PERMUTERS[kind](value, key)).otherwise(out)
     return out
 
 
+def _wrap(kind: str, text: Column) -> Column:
+    return F.concat(F.lit(OPEN + kind), text, F.lit(CLOSE))
+
+
+def _longest(v: Column, key: str) -> Column:
+    """A candidate with its pseudonym. Where it is not valid, and in groups: with its longest valid beginning of whole groups (of 13 digits or
+    more, or a bank number) replaced, or failing that its first group set aside. What is behind stays open for the next pass."""
+    inner = F.when(v.rlike(GROUPED), F.filter(F.sequence(F.length(v), F.lit(2), F.lit(-1)), lambda i: F.substr(v, i, F.lit(1)).isin(" ", "-"))).otherwise(F.array().cast("array<int>"))
+    part = lambda i: F.substr(v, F.lit(1), i - 1)
+    long = F.filter(inner, lambda i: part(i).rlike("^[A-Z]") | (F.length(_only_digits(part(i))) >= 13))
+    tried = F.transform(F.concat(F.array(F.length(v) + 1), long), lambda i: F.struct(i.alias("cut"), pseudonym(part(i), key).alias("new")))
+    first = F.regexp_extract(v, "^[^ -]+", 0)
+    aside = F.when(v.rlike(GROUPED), F.concat(_wrap("w", first), F.substr(v, F.length(first) + 1, F.length(v))))
+    return F.transform(F.array(F.filter(tried, lambda t: t["new"].isNotNull())), lambda g: F.when(F.size(g) > 0, F.concat(_wrap("v", g[0]["new"]), F.substr(v, g[0]["cut"], F.length(v)))).otherwise(aside))[0]
+
+
+#: A candidate in groups, whose shorter forms may be valid.
+GROUPED = "^[A-Z0-9]{4,6}[ -]"
+
+
+def _replaced(text: Column, pattern: str, found: Column, new: Column) -> Column:
+    pieces = F.split(text, pattern, -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.get(found, i), F.lit("")))), "")
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal data in ``text`` replaced, and n_found: how many values were."""
-    text = F.col("text")
-    hit = docs.drop("n_found").withColumn("__found", F.when(text.rlike("[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    new = hit.withColumn("__new", F.transform("__found", lambda v: pseudonym(v, key)))
-    pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new"), i), F.get(F.col("__found"), i), F.lit("")))), "")
-    changed = F.exists("__new", lambda x: x.isNotNull())
-    out = new.withColumn("text", F.when(changed, joined).otherwise(text)).withColumn("n_found", F.coalesce(F.size(F.filter("__new", lambda x: x.isNotNull())), F.lit(0)))
-    return out.drop("__found", "__new")
+    text, found, new, again = F.col("text"), F.col("__found"), F.col("__new"), F.col("__again")
+    others = [c for c in docs.columns if c not in ("n_found", "text")]
+    d = docs.drop("n_found").withColumn("__found", F.when(text.rlike("[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    d = d.withColumn("__new", F.transform("__found", lambda v: pseudonym(v, key)))
+    # the few texts with a grouped candidate that is not valid go on, with the marks that they hold set aside
+    open_ = F.exists(F.arrays_zip(found.alias("f"), new.alias("n")), lambda x: x["n"].isNull() & x["f"].rlike(GROUPED))
+    marked = F.regexp_replace(F.regexp_replace(text, f"{OPEN}|{CLOSE}", f"{OPEN}$0"), f"{OPEN}({OPEN}|{CLOSE})", f"{OPEN}m$1")
+    marked = F.replace(F.replace(marked, F.lit(f"{OPEN}m{OPEN}"), F.lit(f"{OPEN}a{CLOSE}")), F.lit(f"{OPEN}m{CLOSE}"), F.lit(f"{OPEN}b{CLOSE}"))
+    pattern = f"{MARKED}|{ANY}"
+
+    def once_more(t: Column, _: Column) -> Column:
+        new_of = lambda v: F.when(F.startswith(v, F.lit(OPEN)), v).otherwise(_longest(v, key))
+        return F.transform(F.array(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), lambda f: _replaced(t, pattern, f, F.transform(f, new_of)))[0]
+
+    d = d.withColumn("__again", F.when(open_, F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), marked, once_more)))
+    values = F.size(F.regexp_extract_all(again, F.lit(f"{OPEN}v"), F.lit(0)))
+    plain = F.regexp_replace(again, f"{OPEN}[vw]([^{CLOSE}]*){CLOSE}", "$1")
+    plain = F.replace(F.replace(plain, F.lit(f"{OPEN}a{CLOSE}"), F.lit(OPEN)), F.lit(f"{OPEN}b{CLOSE}"), F.lit(CLOSE))
+    count = F.size(F.filter("__new", lambda x: x.isNotNull()))
+    out = d.withColumn("__text", F.when(again.isNotNull(), plain).when(F.exists("__new", lambda x: x.isNotNull()), _replaced(text, ANY, found, new)).otherwise(text))
+    out = out.withColumn("n_found", F.coalesce(F.when(again.isNotNull(), values).otherwise(count), F.lit(0))).withColumn("text", F.col("__text"))
+    return out.select(*[c for c in docs.columns if c in others or c == "text"], "n_found")

@@ -246,6 +246,41 @@ def test_mail_address_without_any_digit(spark):
     assert (got[2].text, got[2].n_found) == ("no mail @ all", 0)
 
 
+CARD, BANK = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+
+
+BEHIND = [
+    (f"card {CARD} 123 cvv", [CARD]), (f"x {CARD} 10 items", [CARD]), (f"{CARD} 10.1.2.3", [CARD, "10.1.2.3"]), (f"{CARD}-10", [CARD]), (f"{BANK} THIS month", [BANK]), (f"{BANK} 2020 AND 2021 TOO", [BANK]),
+    (f"1234 {CARD} z", [CARD]), (f"{CARD} {CARD} 99 a@b.com", [CARD, CARD, "a@b.com"]), ("call 212-555-1234, 212.555.1234", ["212-555-1234", "212.555.1234"]), ("+44 20 7946 0958.", ["+44 20 7946 0958"]),
+    ("+1 212 555 1234 12 items", ["+1 212 555 1234"]), ("at 2024-05-06T10:00", ["2024-05-06"]), (f"\ue000v\ue001 {CARD} 1 \ue001\ue000a", [CARD]), ("1234 5678 9012 3456 7891", []), (f"{CARD} 1 " + "x" * 100_000, [CARD]),
+]
+
+
+def test_pseudonyms_of_values_with_numbers_behind(spark):
+    """Each value as it is replaced where it stands alone; all else stays. Twice, as repeated rows are treated alike."""
+    values = sorted({v for _, vs in BEHIND for v in vs})
+    got = [(r["text"], r["n_found"]) for r in pii.pseudonymise(table(spark, values + 2 * [t for t, _ in BEHIND]), "k").orderBy("doc_id").collect()]
+    alone = dict(zip(values, (t for t, _ in got), strict=False))
+    assert all(v != new for v, new in alone.items())
+    for (text, own), one, two in zip(BEHIND, got[len(values) :], got[len(values) + len(BEHIND) :], strict=False):
+        for v in dict.fromkeys(own):
+            text = text.replace(v, alone[v])
+        assert one == two == (text, len(own))
+
+
+def test_letters_beyond_ascii_in_mail_addresses(spark):
+    got = [r.text for r in pii.pseudonymise(table(spark, ["josé@x.com", "ÉÜ@x.com"]), "k").collect()]
+    assert re.fullmatch("[a-z]{3}[ß-öø-ÿ]@x.com", got[0]) and got[0][3] != "é" and re.fullmatch("[À-ÖØ-Þ]{2}@x.com", got[1])
+
+
+def test_repeated_rows_do_not_crowd_a_language_out(spark):
+    rng = random.Random(8)
+    for trial in range(3):
+        rows = [(1, f"le chat {trial} est sur la table", "fr")] * 3000 + [(i, say(rng, 20), "en") for i in range(200)] + [(7, "der Hund", "de")] * 1500 + [(i, say(rng, 5), "xx") for i in range(1000, 2500)]
+        learnt = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert sorted(learnt) == ["de", "en", "fr", "xx"] and learnt["fr"].decode() == "le chat est sur la table"
+
+
 def test_dates_are_permuted(spark):
     from datetime import date, timedelta
 
