@@ -1,7 +1,9 @@
-"""Pooling of vectors and similarity: exact sums over exploded positions."""
+"""Pooling of vectors and similarity."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from strophe.functions.arrays import cosine
 
 
 def _mean(df: DataFrame, keys: list[str], vector: str = "emb", weight: Column | None = None) -> DataFrame:
-    """(keys, vector): weighted mean by dimension, collected in order; a collected vector has one entry a dimension."""
+    """(keys, vector): weighted mean of vectors of one size, summed up before the one shuffle. A null vector counts as none, and so
+    does one of weight 0; a key without any has no row."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    long = df.select(*keys, F.posexplode(vector).alias("dim", "x"), w.alias("w"))
-    per = long.groupBy(*keys, "dim").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("m"))
-    return per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("v")).select(*keys, F.transform("v", lambda s: s["m"]).alias(vector))
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"), w.alias("w")).where("w > 0")
+    return rows.groupBy(*keys).agg(Summarizer.mean(F.col("v"), F.col("w")).alias("m")).select(*keys, vector_to_array("m").alias(vector))
 
 
 def mean_embedding(slices: DataFrame, key: str, order: str) -> DataFrame:

@@ -25,16 +25,16 @@ def first3(v: str = "emb"):
 E3 = "CAST(round(max(m) FILTER (dim = 0), 6) AS DOUBLE) AS e0, CAST(round(max(m) FILTER (dim = 1), 6) AS DOUBLE) AS e1, CAST(round(max(m) FILTER (dim = 2), 6) AS DOUBLE) AS e2"
 
 
-@op("a05_mean_embedding", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS path, dim, avg(CAST(x AS DOUBLE)) AS m FROM lg GROUP BY 1, 2), i AS (SELECT vec_id // 5 AS path, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS seqs, min_by(label, vec_id) AS label FROM embeddings GROUP BY 1) SELECT path, any_value(seqs) AS seqs, any_value(label) AS label, {E3} FROM m JOIN i USING (path) GROUP BY 1")
+@op("a05_mean_embedding", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS path, dim, avg(CAST(x AS DOUBLE)) AS m FROM lg GROUP BY 1, 2), i AS (SELECT vec_id // 5 AS path, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS seqs, min_by(label, vec_id) AS label FROM embeddings GROUP BY 1) SELECT path, any_value(seqs) AS seqs, any_value(label) AS label, {E3}, {HASHED} AS hash FROM m JOIN i USING (path) GROUP BY 1")
 def a05(t):
     s = t("embeddings").select(F.expr("vec_id div 5").alias("path"), "vec_id", F.col("vec_id").cast("string").alias("seq"), F.col("embedding").alias("emb"), F.col("label").alias("metadata"))
-    return pooling.mean_embedding(s, "path", "vec_id").select("path", F.array_join("seqs", ",").alias("seqs"), F.col("metadata").alias("label"), *first3())
+    return pooling.mean_embedding(s, "path", "vec_id").select("path", F.array_join("seqs", ",").alias("seqs"), F.col("metadata").alias("label"), *first3(), digest().alias("hash"))
 
 
-@op("a06_masked_mean", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS id, dim, avg(CAST(x AS DOUBLE)) AS m FROM lg WHERE label % 2 = 0 GROUP BY 1, 2) SELECT id, {E3} FROM m GROUP BY 1")
+@op("a06_masked_mean", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS id, dim, avg(CAST(x AS DOUBLE)) AS m FROM lg WHERE label % 2 = 0 GROUP BY 1, 2) SELECT id, {E3}, {HASHED} AS hash FROM m GROUP BY 1")
 def a06(t):
     d = t("embeddings").select(F.expr("vec_id div 5").alias("id"), F.col("embedding").alias("emb"), (F.col("label") % 2 == 0).alias("mask"))
-    return pooling.masked_mean(d, "id").select("id", *first3())
+    return pooling.masked_mean(d, "id").select("id", *first3(), digest().alias("hash"))
 
 
 @op("a07_last_valid", "WITH r AS (SELECT vec_id // 5 AS id, embedding, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id DESC) AS rn FROM embeddings WHERE label < 6) SELECT id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DOUBLE) AS e0 FROM r WHERE rn = 1")
@@ -50,15 +50,15 @@ def a07e(t):
     return pooling.at_end_token(d, ends, "id", "pos").select("id", F.round(F.col("emb")[0].cast("double"), 6).alias("e0"))
 
 
-@op("a08_weighted_mean", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS id, dim, sum(CAST(x AS DOUBLE) * (label + 1)) / sum(label + 1) AS m FROM lg GROUP BY 1, 2) SELECT id, {E3} FROM m GROUP BY 1")
+@op("a08_weighted_mean", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS id, dim, sum(CAST(x AS DOUBLE) * (label + 1)) / sum(label + 1) AS m FROM lg GROUP BY 1, 2) SELECT id, {E3}, {HASHED} AS hash FROM m GROUP BY 1")
 def a08(t):
     d = t("embeddings").select(F.expr("vec_id div 5").alias("id"), F.col("embedding").alias("emb"), (F.col("label") + 1).alias("n"))
-    return pooling.weighted_mean(d, "id", "n").select("id", *first3())
+    return pooling.weighted_mean(d, "id", "n").select("id", *first3(), digest().alias("hash"))
 
 
-@op("a09_chunk_mean", f"WITH {LONG}, m AS (SELECT vec_id % 37 AS piece_id, dim, avg(CAST(x AS DOUBLE)) AS m FROM lg GROUP BY 1, 2) SELECT piece_id, {E3} FROM m GROUP BY 1")
+@op("a09_chunk_mean", f"WITH {LONG}, m AS (SELECT vec_id % 37 AS piece_id, dim, avg(CAST(x AS DOUBLE)) AS m FROM lg GROUP BY 1, 2) SELECT piece_id, {E3}, {HASHED} AS hash FROM m GROUP BY 1")
 def a09(t):
-    return pooling.chunk_mean(t("embeddings").select((F.col("vec_id") % 37).alias("piece_id"), F.col("embedding").alias("emb")), "piece_id").select("piece_id", *first3())
+    return pooling.chunk_mean(t("embeddings").select((F.col("vec_id") % 37).alias("piece_id"), F.col("embedding").alias("emb")), "piece_id").select("piece_id", *first3(), digest().alias("hash"))
 
 
 VIEWS = "SELECT vec_id // 2 AS id, vec_id // 2 // 16 AS batch, vec_id % 2 AS view, embedding FROM embeddings"
