@@ -6,7 +6,7 @@ block's own tag, its length, link share, marks and neighbours; the field is trai
 layouts of several kinds whose every block is marked) and decoded by Viterbi. Content blocks are joined by one space.
 
 Defined results: null or empty html, or a page without content -> empty text, n_chars 0; an unclosed comment, script, style,
-noscript, template, textarea or select reaches to the end; a head without its end tag ends before the first thing that no head
+noscript or template reaches to the end, an unclosed textarea or select to the next tag of a form or region; a head without its end tag ends before the first thing that no head
 may hold, a drawing without its own before the first tag that no drawing may hold; self-closed tags of these, but for scripts and
 styles, are skipped alone; a cut tag at the end is dropped; a null page_id or url stays null; repeated pages are extracted alike; an
 empty table gives no rows; only page_id, url and html are read.
@@ -34,15 +34,19 @@ HEAD = "|".join([
 #: Tags that end an open drawing, as they do in a browser.
 BREAKS = "b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
 SVG = "|".join([r"[^<]++|<!--.*?(?:-->|\Z)", *(rf"<{t}\b[^>]*+>(?:(?<=/>)|(?:[^<]++|<(?!/?{t}\b))*+</{t}\s*>)" for t in ("foreignObject", "style", "script", "title", "desc")), rf"<(?!/svg\b|(?:{BREAKS})(?=[\s/>]))"])
+REGION = "nav|header|footer|aside|article|main|section"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|(?P<head><head(?=[\s>])[^>]*>(?:{HEAD})*+(?:</head\s*>)?)|(?P<svg><svg\b[^>]*+>(?:(?<=/>)|(?:{SVG})*+(?:</svg\s*>)?))"
-    r"|<(?P<skip>script|style)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<closed>noscript|template|textarea|select)\b[^>]*+>(?:(?<=/>)|.*?(?:</(?P=closed)\s*>|\Z))"
+    r"|<(?P<skip>script|style)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<closed>noscript|template)\b[^>]*+>(?:(?<=/>)|.*?(?:</(?P=closed)\s*>|\Z))"
+    rf"|<(?P<field>textarea|select)\b[^>]*+>.*?(?:</(?P=field)\s*>|(?=</(?:form|{REGION})\s*>|<(?:form|{REGION})[\s>])|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Formula tags, which alone close themselves with a slash here.
+FOREIGN = set("math mfrac mi mn mo mover mprescripts mroot mrow mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: Tags that end an open paragraph.
 REGIONS = "nav header footer aside form article main section ul ol table figure button dialog div body blockquote".split()
 NAMES = {
@@ -58,7 +62,9 @@ NAMES = {
     "main": r"article|content|post|entry|main|story|body|text",
 }
 NAME_PATTERNS = {k: re.compile(v, re.I) for k, v in NAMES.items()}
-OWN = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "pre", "blockquote", "div", "figcaption", "caption", "button", "option", "legend", "summary", "body"]
+OWN = ["h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "pre", "blockquote", "figcaption", "caption", "button", "option", "legend", "summary", "plain"]
+#: Elements that hold paragraphs of text alike: sites write them as p, as div, or bare.
+PLAIN = {"p", "div", "section", "article", "main", "center", "span", "body", ""}
 OTHER, CONTENT = 0, 1
 FEATURES = {x: i + 1 for i, x in enumerate([*(f"in:{r}" for r in REGIONS), *(f"named:{n}" for n in NAMES), *(f"own:{o}" for o in [*OWN, "other"]), *(f"long:{i}" for i in range(14)), *(f"links:{i}" for i in range(5)), *(f"after:{r}" for r in REGIONS), "stop", "sign", "first", "last", "early", "late"])}
 TEXTS = "page_id long, url string, text string, n_chars long"
@@ -95,7 +101,7 @@ def blocks(page: str | None) -> list[Block]:
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
-            if m["head"] or m["svg"] or m["skip"] or m["closed"]:
+            if m["head"] or m["svg"] or m["skip"] or m["closed"] or m["field"]:
                 flush()
             continue
         inline = name in INLINE
@@ -124,7 +130,7 @@ def blocks(page: str | None) -> list[Block]:
             in_link = 0
             while len(stack) > 1 and (stack[-1][0] in INLINE or stack[-1][0] == "p" or (name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name)):
                 stack.pop()
-        if not (m["rest"] or "").rstrip().endswith("/"):
+        if name not in FOREIGN or not (m["rest"] or "").rstrip().endswith("/"):  # elsewhere browsers pass over the slash
             _, above, names = stack[-1]
             given = " ".join(a or b or c for a, b, c in NAMED.findall(m["rest"])) if m["rest"] and "=" in m["rest"] else ""
             if given:
@@ -143,7 +149,7 @@ def features(found: list[Block]) -> np.ndarray:
     for i, b in enumerate(found):
         n = len(b.text)
         row = [f"in:{t}" for t in b.ancestors if f"in:{t}" in FEATURES] + [f"named:{x}" for x in b.names]
-        row += [f"own:{b.own if b.own in OWN else 'other'}", f"long:{min(13, n.bit_length())}", f"links:{min(4, 5 * b.linked // n)}"]
+        row += [f"own:{'plain' if b.own in PLAIN else b.own if b.own in OWN else 'other'}", f"long:{min(13, n.bit_length())}", f"links:{min(4, 5 * b.linked // n)}"]
         row += [f"after:{t}" for t in before if f"after:{t}" in FEATURES and t not in b.ancestors]
         row += [x for x, on in (("stop", b.text[-1] in ".?!:;\"”»"), ("sign", bool(re.search("[©®™|›»·]", b.text))), ("first", i == 0), ("last", i == len(found) - 1), ("early", 10 * i < len(found)), ("late", 10 * i >= 9 * len(found))) if on]
         rows.append([FEATURES[x] for x in row])
@@ -152,7 +158,7 @@ def features(found: list[Block]) -> np.ndarray:
     return np.array([r + [0] * (width - len(r)) for r in rows], np.int64).reshape(len(rows), width)
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, int]]]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[str, int]]]:
     """Pages as lists of (html fragment, label of its blocks): the layouts that sites use, with made-up words."""
     rng = random.Random(seed)
     words = ["".join(rng.choice(["ka", "lo", "min", "ter", "su", "ve", "ran", "do", "pi", "es", "tion", "al"]) for _ in range(rng.randint(1, 4))) for _ in range(600)]
@@ -168,14 +174,15 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, int]]]:
         return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(names)}">'
 
     def body() -> list[tuple[str, int]]:
-        out = [(f"<{h}>{say(2, 9, '')}</{h}>", CONTENT) for h in [rng.choice(["h1", "h1", "h2"])]]
+        para = rng.choice(["p", "p", "p", "div", "div", "section"])
+        out = [(f"<{h}>{say(2, 9, '')}</{h}>", CONTENT) for h in [rng.choice(["h1", "h1", "h2"])] if rng.random() < 0.85]
         for _ in range(rng.randint(1, 14)):
             r = rng.random()
             if r < 0.66:
                 open_b = "<b>" if rng.random() < 0.15 else ""
-                out.append((f"<p>{open_b}{say(1, 110)}{'<br>' if rng.random() < 0.1 else ''}{'</p>' if rng.random() < 0.8 else ''}", CONTENT))
+                out.append((f"<{para}>{open_b}{say(1, 110)}{'<br>' if rng.random() < 0.1 else ''}{f'</{para}>' if para != 'p' or rng.random() < 0.8 else ''}", CONTENT))
             elif r < 0.72:
-                out.append((f'<p>{say(4, 20, "")} <a href="/x">{say(1, 4, "")}</a> {say(3, 20)}</p>', CONTENT))
+                out.append((f'<{para}>{say(4, 20, "")} <a href="/x">{say(1, 4, "")}</a> {say(3, 20)}</{para}>', CONTENT))
             elif r < 0.78:
                 out.append((f"<h{rng.randint(2, 4)}>{say(1, 7, '')}</h{2}>", CONTENT))
             elif r < 0.84:
@@ -187,14 +194,15 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, int]]]:
             elif r < 0.95:
                 out.append((f"<pre>{say(4, 30)}</pre>", CONTENT))
             elif r < 0.98:
-                out.append((named("div", "ad", "ads", "advert", "ad-slot", "sponsored", "promo") + say(2, 25) + "</div>", OTHER))
+                out.append((named("div", "ad", "ads", "advert", "ad-slot", "sponsored", "promo", "ad", "advert", "sidebar", "related-posts", "newsletter", "share-buttons") + say(2, 25) + "</div>", OTHER))
             else:
                 out.append((f'<figure><img src="i"><figcaption>{say(3, 12)}</figcaption></figure>', CONTENT))
         return out
 
     pages = []
     for _ in range(n):
-        page: list[tuple[str, int]] = [(f"<head><title>{say(2, 6)}</title></head><body>", OTHER)]
+        bare = 0.1 if rng.random() < 0.2 else 1.0  # pages of little but the article
+        page: list[tuple[str, int]] = [(f"<head><title>{say(2, 6)}</title></head><body>" if rng.random() < bare else "", OTHER)]
         for f, chance in (
             (lambda: f"<header><a href='/'>{say(1, 3, '')}</a><p>{say(2, 8)}</p></header>", 0.4),
             (lambda: f"<nav><ul>{links(rng.randint(3, 9))}</ul></nav>", 0.75),
@@ -204,7 +212,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, int]]]:
             (lambda: f"<form action='/s'><label>{say(1, 3, '')}</label><input name=q><button>{say(1, 1, '')}</button></form>", 0.3),
             (lambda: f"<aside><h3>{say(1, 3, '')}</h3><ul>{links(3)}</ul><p>{say(4, 30)}</p></aside>", 0.3),
         ):
-            if rng.random() < chance:
+            if rng.random() < chance * bare:
                 page.append((f(), OTHER))
         tag = rng.choice(["article", "article", "article", "main", "section", named("div", "content", "post", "entry-content", "story", "article-body")[1:-1]])
         page += [(f"<{tag}>", OTHER), *body(), (f"</{tag.split()[0]}>", OTHER)]
@@ -218,7 +226,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, int]]]:
             (lambda: f"<footer><p>© {say(2, 12)}</p><ul>{links(rng.randint(0, 5))}</ul></footer>", 0.6),
             (lambda: f"<footer>{say(1, 6)} &copy; 2020 &middot; {say(1, 8)}</footer>", 0.3),
         ):
-            if rng.random() < chance:
+            if rng.random() < chance * bare:
                 page.append((f(), OTHER))
         pages.append(page)
     return pages
