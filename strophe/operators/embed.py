@@ -1,4 +1,4 @@
-"""User code over batches of records: tokenisers and embedding models; and the linear probe."""
+"""User code over batches of records: tokenisers and embedding models."""
 
 from __future__ import annotations
 
@@ -51,22 +51,4 @@ def hashed_bag(seq: Column, size: int = 16) -> Column:
     """Example model in SQL: counts of tokens by md5 bucket, divided by the number of tokens."""
     buckets = F.transform(seq, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int"))
     # bound by an outer transform, so that the buckets are computed once
-    return F.transform(F.array(buckets), lambda x: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(x, lambda b: b == i)) / F.size(x)))[0]
-
-
-def fit_probe(train: DataFrame, features: str = "emb", label: str = "label", **settings):
-    """A multinomial linear softmax on vectors."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    rows = train.select(array_to_vector(F.transform(features, lambda x: x.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=[LogisticRegression(family="multinomial", **({"maxIter": 30, "regParam": 0.01} | settings))]).fit(rows)
-
-
-def score_probe(model, rows: DataFrame, features: str = "emb") -> DataFrame:
-    """rows with pred_id and prob (of every class); ties go to the lowest class."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    d = model.transform(rows.withColumn("features", array_to_vector(F.transform(features, lambda x: x.cast("double")))))
-    return d.withColumn("prob", vector_to_array("probability")).withColumn("pred_id", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    return F.transform(F.array(buckets), lambda x: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(x, lambda b: b == i)) / F.greatest(F.size(x), F.lit(1))))[0]

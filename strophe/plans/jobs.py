@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.arrays import loss_tokens, tokens_of
-from strophe.operators import corpus, embed, metrics, packing, quality
+from strophe.operators import corpus, metrics, packing, probe, quality
 from strophe.sources import shards
 
 
@@ -34,6 +34,6 @@ def build_packed_dataset(docs: DataFrame, max_seq_len: int, shard_tokens: int, s
 
 def probe_report(vectors: DataFrame, held_out) -> DataFrame:
     """vectors(emb, label) -> a report of the probe that is fitted on the rest, over the held-out rows."""
-    model = embed.fit_probe(vectors.where(~held_out))
-    pairs = embed.score_probe(model, vectors.where(held_out)).select(F.col("label").alias("true_id"), "pred_id")
+    model = probe.fit_probe(vectors.where(~held_out))
+    pairs = probe.score_probe(model, vectors.where(held_out)).select(F.col("label").alias("true_id"), "pred_id")
     return metrics.classification_report(pairs, vectors.select(F.col("label").alias("tag_id")).distinct())

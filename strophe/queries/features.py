@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strophe.functions import arrays as a
-from strophe.operators import embed, metrics, pooling, scores
+from strophe.operators import embed, metrics, pooling, probe, scores
 from strophe.queries import op
 from strophe.queries.corpus import TOKENS, U
 
@@ -165,21 +165,39 @@ def h01h(t):
     return d.select("doc_id", F.col("emb")[0].cast("long").alias("n_tokens"))
 
 
+CLASSES = "(SELECT max(label) FROM embeddings WHERE vec_id % 5 <> 0)"
+#: The fit by accelerated descent, 300 steps from zero: at each, a row a class with its weights and, last, its intercept.
+FIT = f"""d AS (SELECT vec_id, CAST(label AS INT) AS label, list_append(CAST(embedding AS DOUBLE[]), 1.0) AS x FROM embeddings WHERE vec_id % 5 <> 0 AND label IS NOT NULL AND embedding IS NOT NULL),
+ cl AS (SELECT list(col ORDER BY j) AS cols, any_value(n) AS n FROM (SELECT j, list(v ORDER BY vec_id) AS col, CAST(count(*) AS DOUBLE) AS n FROM (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM d) GROUP BY j)),
+ it AS (SELECT 0 AS k, CAST(c AS INT) AS c, list_transform(cols, lambda z: 0.0::DOUBLE) AS w, list_transform(cols, lambda z: 0.0::DOUBLE) AS v FROM cl, (SELECT unnest(range(0, {CLASSES} + 1)) AS c)
+ UNION ALL SELECT k + 1, c, new, list_transform(new, lambda z, i: z + 0.8 * (z - w[i])) FROM (SELECT k, c, w, list_transform(v, lambda z, i: z - 1.2 * (list_dot_product(r, cols[i]) / n + CASE WHEN i < len(v) THEN 0.01 * z ELSE 0 END)) AS new FROM
+ (SELECT k, c, w, v, list(p - (label = c)::INT ORDER BY vec_id) AS r FROM (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM (SELECT k, c, w, v, vec_id, label, list_dot_product(v, x) AS z FROM it, d WHERE k < 300)) GROUP BY k, c, w, v), cl)),
+ fit AS (SELECT c, w FROM it WHERE k = 300)"""
+SCORED = f"""WITH RECURSIVE {FIT}, pr AS (SELECT CAST(label AS INT) AS true_id, arg_max(c, z) AS pred_id FROM (SELECT vec_id, label, c, list_dot_product(w, list_append(CAST(embedding AS DOUBLE[]), 1.0)) AS z FROM embeddings, fit WHERE vec_id % 5 = 0) GROUP BY vec_id, label),
+ tg AS (SELECT DISTINCT CAST(label AS INT) AS tag_id FROM embeddings), cn AS (SELECT tag_id, count(*) FILTER (true_id = tag_id AND pred_id = tag_id) AS tp, count(*) FILTER (true_id <> tag_id AND pred_id = tag_id) AS fp, count(*) FILTER (true_id = tag_id AND pred_id <> tag_id) AS fn FROM tg, pr GROUP BY 1),
+ q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM cn)
+ SELECT tag_id, tp, fp, fn, tp + fn AS support, CAST(round(p, 6) AS DOUBLE) AS precision, CAST(round(r, 6) AS DOUBLE) AS recall, CAST(round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS DOUBLE) AS f1 FROM q"""
+
+
+def shown_report(d):
+    return d.select(F.col("tag_id").cast("int").alias("tag_id"), "tp", "fp", "fn", "support", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
+
+
 def _probe(t):
     d = t("embeddings").select("vec_id", F.col("embedding").alias("emb"), "label")
-    return d, embed.fit_probe(d.where("vec_id % 5 <> 0"))
+    return d, probe.fit_probe(d.where("vec_id % 5 <> 0"))
 
 
-@op("p01_fit_probe")
+@op("p01_fit_probe", f"WITH RECURSIVE {FIT} SELECT c AS class, CAST(generate_subscripts(w, 1) - 1 AS INT) AS place, CAST(round(unnest(w), 5) AS DOUBLE) AS weight FROM fit")
 def p01(t):
-    d, model = _probe(t)
-    coefficients = model.stages[0].coefficientMatrix
-    scored = embed.score_probe(model, d)
-    return scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("pred_id") == F.col("label")).alias("hits")).withColumn("classes", F.lit(coefficients.numRows)).withColumn("dims", F.lit(coefficients.numCols))
+    """The weights of every class, and at the last place its intercept."""
+    _, model = _probe(t)
+    rows = [(c, [*map(float, w), float(b)]) for c, (w, b) in enumerate(zip(model.weights, model.intercepts, strict=True))]
+    return t.spark.createDataFrame(rows, "class int, w array<double>").select("class", F.posexplode("w").alias("place", "weight")).withColumn("weight", F.round("weight", 5))
 
 
-@op("p02_score_probe")
+@op("p02_score_probe", SCORED)
 def p02(t):
     d, model = _probe(t)
-    pairs = embed.score_probe(model, d.where("vec_id % 5 = 0")).select(F.col("label").alias("true_id"), "pred_id")
-    return metrics.classification_report(pairs, d.select(F.col("label").alias("tag_id")).distinct())
+    pairs = probe.score_probe(model, d.where("vec_id % 5 = 0")).select(F.col("label").cast("int").alias("true_id"), "pred_id")
+    return shown_report(metrics.classification_report(pairs, d.select(F.col("label").cast("int").alias("tag_id")).distinct()))

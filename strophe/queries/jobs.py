@@ -8,6 +8,7 @@ from strophe.contracts import notes_view
 from strophe.plans import jobs
 from strophe.queries import op
 from strophe.queries.corpus import HASH, TOKENS, U
+from strophe.queries.features import SCORED, shown_report
 from strophe.queries.quality import BODIES, CONFIG, NOTES
 
 PACK, SHARD = 256, 256 * 64
@@ -34,7 +35,7 @@ def e01(t):
     return jobs.build_note_corpus(notes_view(t("events")), LOOSE, ["error"], 42, 0.9)
 
 
-@op("e03_probe_report")
+@op("e03_probe_report", SCORED)
 def e03(t):
     d = t("embeddings").select("vec_id", F.col("embedding").alias("emb"), "label")
-    return jobs.probe_report(d, F.col("vec_id") % 5 == 0)
+    return shown_report(jobs.probe_report(d, F.col("vec_id") % 5 == 0))
