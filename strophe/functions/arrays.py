@@ -10,8 +10,8 @@ PAD, BOS, EOS, DIM, UNK = "<P>", "<S>", "<E>", "<D>", "<U>"
 
 
 def tokens_of(text: Column) -> Column:
-    """White-space tokens of a trimmed text."""
-    return F.split(F.trim(text), r"\s+")
+    """Tokens between white space (blank, \\t, \\n, \\v, \\f, \\r); none in an empty or blank text, null for null."""
+    return F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
 
 
 def cut(seq: Column, n) -> Column:

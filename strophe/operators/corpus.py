@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strophe.contracts import DROPPED_INSTRUMENTS, MANUAL_METADATA, TEXT_META, tag_table
 from strophe.functions.hashing import hash_int
+from strophe.operators.prefix import seeded_rank
+from strophe.sources.work import written
 
 
 def content_hash(text: Column) -> Column:
@@ -129,13 +131,47 @@ def attach_embeddings(seqs: DataFrame, table: DataFrame, key: str, strict: bool
     return joined.withColumn("emb", checked)
 
 
+#: Most characters of a token that is sent to the tasks: with 10,000 tokens, 10 MB at most.
+COMMON_CHARS = 256
+
+
+def build_vocabulary(rows: DataFrame, seed="v") -> DataFrame:
+    """rows(seq) -> (token, n, token_id): the occurrences of each distinct token, and ids from 1 in the order of md5(seed:token).
+    The table is written in the shared folder and read back, as every use of it would count all tokens again."""
+    counted = rows.select(F.explode("seq").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    numbered = seeded_rank(written(counted, "tokens"), seed, "token").select("token", "n", (F.col("rank") + 1).alias("token_id"))
+    return written(numbered, "vocabulary")
+
+
+def common_tokens(vocabulary: DataFrame, most: int = 10_000) -> DataFrame:
+    """The tokens of the largest n, ``most`` at most and none of over COMMON_CHARS characters: a table of bounded size, to broadcast."""
+    return vocabulary.where(F.length("token") <= COMMON_CHARS).orderBy(F.desc("n"), "token_id").limit(most).select("token", "token_id")
+
+
+def _looked_up(at: DataFrame, vocabulary: DataFrame, by: str, what: str, how: str) -> DataFrame:
+    """at(key, pos, by) with what. Without n in the vocabulary all rows are joined by merge; with it the common tokens, which may be
+    most of the rows, are looked up in a broadcast table, and only the rest is dealt out."""
+    if "n" not in vocabulary.columns:
+        return at.join(vocabulary.select(by, what).hint("merge"), by, how)
+    near = at.join(F.broadcast(common_tokens(vocabulary).withColumnRenamed(what, "__w")), by, "left")
+    found = near.where(F.col("__w").isNotNull() | F.col("pos").isNull()).withColumnRenamed("__w", what)
+    rest = near.where(F.col("__w").isNull() & F.col("pos").isNotNull()).drop("__w")
+    return found.unionByName(rest.join(vocabulary.select(by, what).hint("merge"), by, how))
+
+
+def _in_order(at: DataFrame, key: str, what: Column, out: str) -> DataFrame:
+    kept = F.when(F.col("pos").isNotNull() & what.isNotNull(), F.struct("pos", what.alias("w")))
+    return at.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("x")).select(key, F.transform("x", lambda s: s["w"]).alias(out))
+
+
 def encode_tokens(rows: DataFrame, vocabulary: DataFrame, key: str = "id", unknown: int = 0) -> DataFrame:
-    """rows(key, seq) -> (key, ids): positions exploded, joined with vocabulary(token, token_id), collected in order."""
-    at = rows.select(key, F.posexplode("seq").alias("pos", "token"))
-    return at.join(vocabulary.hint("merge"), "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("i")))).alias("x")).select(key, F.transform("x", lambda s: s["i"]).alias("ids"))
+    """rows(key, seq) -> (key, ids): positions exploded, looked up in vocabulary(token, token_id, n?), collected in order. A token
+    that it lacks, a null one included, becomes ``unknown``; a null or empty sequence has no ids. The key must be unique."""
+    at = rows.select(key, F.posexplode_outer("seq").alias("pos", "token"))
+    return _in_order(_looked_up(at, vocabulary, "token", "token_id", "left"), key, F.coalesce("token_id", F.lit(unknown)), "ids")
 
 
 def decode_tokens(rows: DataFrame, vocabulary: DataFrame, key: str = "id") -> DataFrame:
-    """rows(key, ids) -> (key, seq); ids without a token are dropped."""
-    at = rows.select(key, F.posexplode("ids").alias("pos", "token_id"))
-    return at.join(vocabulary.hint("merge"), "token_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select(key, F.transform("x", lambda s: s["token"]).alias("seq"))
+    """rows(key, ids) -> (key, seq); ids without a token are dropped. The key must be unique."""
+    at = rows.select(key, F.posexplode_outer("ids").alias("pos", "token_id"))
+    return _in_order(_looked_up(at, vocabulary, "token_id", "token", "left"), key, F.col("token"), "seq")

@@ -12,10 +12,10 @@ from strophe.operators.prefix import numbered_sum
 from strophe.queries import op
 from strophe.queries.quality import NOTES
 from strophe.sources import records, shards
-from strophe.sources.work import shared_folder
+from strophe.sources.work import shared_folder, written
 
 HASH = r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))"
-TOKENS = r"regexp_split_to_array(trim(text, ' '), '\s+')"
+TOKENS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 U = "CAST('0x' || substr(md5('{seed}:' || {key}), 1, 8) AS BIGINT)"
 
 
@@ -197,14 +197,13 @@ def j04(t):
 VOCAB = f"tk AS (SELECT doc_id, unnest({TOKENS}) AS token, unnest(range(0, len({TOKENS}))) AS pos FROM documents), vc AS (SELECT token, row_number() OVER (ORDER BY md5('v:' || token), token) AS token_id FROM (SELECT DISTINCT token FROM tk WHERE token IS NOT NULL))"
 
 
-@op("j05_encode_decode", f"WITH {VOCAB} SELECT doc_id, md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY pos)) AS ids, md5(string_agg(token, ' ' ORDER BY pos)) AS seq FROM tk JOIN vc USING (token) GROUP BY 1")
+@op("j05_encode_decode", f"WITH {VOCAB} SELECT d.doc_id, md5(coalesce(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY pos), '')) AS ids, md5(coalesce(string_agg(token, ' ' ORDER BY pos), '')) AS seq FROM documents d LEFT JOIN (tk JOIN vc USING (token)) USING (doc_id) GROUP BY 1")
 def j05(t):
-    from strophe.operators.prefix import seeded_rank
-
     rows = t("documents").select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
-    vocabulary = seeded_rank(rows.select(F.explode("seq").alias("token")).distinct(), "v", "token").select("token", (F.col("rank") + 1).alias("token_id"))
-    ids = c.encode_tokens(rows, vocabulary)
-    return ids.join(c.decode_tokens(ids, vocabulary).hint("merge"), "id").select(F.col("id").alias("doc_id"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"), F.md5(F.array_join("seq", " ")).alias("seq"))
+    vocabulary = c.build_vocabulary(rows)
+    ids = written(c.encode_tokens(rows, vocabulary), "ids")
+    texts = c.decode_tokens(ids, vocabulary).select("id", F.md5(F.array_join("seq", " ")).alias("seq"))
+    return ids.select("id", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids")).join(texts.hint("merge"), "id").select(F.col("id").alias("doc_id"), "ids", "seq")
 
 
 @op("a01_content_hash", f"SELECT doc_id, {HASH} AS hash FROM documents")
