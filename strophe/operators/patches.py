@@ -13,7 +13,6 @@ from strophe.functions.hashing import hash_int, hash_key
 DELIMITERS = ["|:", "::", ":|", "[|", "||", "|]", "|"]
 PAD_ID, BOS_ID, EOS_ID, MASK_ID = 0, 1, 2, 3
 PATCH_SIZE, PATCH_LENGTH = 64, 512
-MASK_RATIO = 0.45
 #: Accented Latin letters -> ASCII (a subset of transliteration).
 FROM, TO = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
@@ -29,9 +28,10 @@ def lines_of(text: Column) -> Column:
 
 def group_lines(lines: Column, size: int = PATCH_SIZE) -> Column:
     """Greedy grouping: a line joins the open patch if the patch starts with the line's first word and the rest fits in size - 2;
-    then the patch's last character gives way to a tab and the rest. A fold that carries the open patch; pieces of many thousand
-    lines are better taken through group_lines_in_python."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    then the patch's last character gives way to a tab and the rest. A fold that carries the open patch. It runs over blocks of
+    some sqrt(n) lines, so that closing a patch copies the patches of its block only, and closing a block those before it: n lines
+    cost n * sqrt(n) references in place of n squared."""
+    empty = F.array().cast("array<string>")
 
     def turn(s: Column, line: Column) -> Column:
         word = F.substring_index(line, " ", 1)
@@ -41,7 +41,14 @@ def group_lines(lines: Column, size: int = PATCH_SIZE) -> Column:
         closed = F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
         return F.struct(F.when(joins, s["done"]).otherwise(closed).alias("done"), F.when(joins, joined).otherwise(line).alias("open"))
 
-    return F.aggregate(lines, start, turn, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    def block(s: Column, own: Column) -> Column:
+        start = F.struct(empty.alias("done"), s["open"].alias("open"))
+        return F.aggregate(own, start, turn, lambda r: F.struct(F.concat(s["done"], r["done"]).alias("done"), r["open"].alias("open")))
+
+    side = F.greatest(F.ceil(F.sqrt(F.size(lines))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1)), side), lambda i: F.slice(lines, i, side))
+    begun = F.struct(empty.alias("done"), F.lit("").alias("open"))
+    return F.aggregate(blocks, begun, block, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
 def group_lines_in_python(df: DataFrame, column: str, out: str, size: int = PATCH_SIZE) -> DataFrame:

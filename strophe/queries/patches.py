@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strophe.operators import patches as p
 from strophe.queries import op
-from strophe.queries.corpus import U
+from strophe.queries.corpus import TOKENS, U
 
 ASCII = f"replace(translate({{}}, '{p.FROM}', '{p.TO}'), 'ß', 'ss')"
 
@@ -23,11 +23,15 @@ def x13(t):
     return d.select("conv_id", "turn", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), p.from_ids(F.col("ids")).alias("back"))
 
 
-@op("x14_boundary_patches", "SELECT conv_id, count(*) + 2 AS n, 64 AS first_sum, 127 AS last_sum FROM conversations GROUP BY 1")
+ROLE_IDS = "array_to_string(list_concat([1], list_transform(string_split(role, ''), lambda c: ascii(c)), [2], list_transform(range(0, 62 - length(role)), lambda z: 0)), ',')"
+
+
+@op("x14_boundary_patches", f"SELECT conv_id, count(*) + 2 AS n, md5(repeat('1,', 63) || '1;' || string_agg({ROLE_IDS}, ';' ORDER BY turn, {ROLE_IDS}) || ';1' || repeat(',2', 63)) AS patches FROM conversations GROUP BY 1")
 def x14(t):
-    d = t("conversations").groupBy("conv_id").agg(F.collect_list(p.to_ids(F.col("role"))).alias("ps")).withColumn("ps", p.with_boundaries(F.col("ps")))
-    total = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)
-    return d.select("conv_id", F.size("ps").cast("long").alias("n"), total(F.col("ps")[0]).alias("first_sum"), total(F.element_at("ps", -1)).alias("last_sum"))
+    rows = t("conversations").select("conv_id", F.struct("turn", p.to_ids(F.col("role")).alias("ids")).alias("r"))
+    d = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("rs")).withColumn("ps", p.with_boundaries(F.transform("rs", lambda r: r["ids"])))
+    shown = F.array_join(F.transform("ps", lambda q: F.array_join(F.transform(q, lambda x: x.cast("string")), ",")), ";")
+    return d.select("conv_id", F.size("ps").cast("long").alias("n"), F.md5(shown).alias("patches"))
 
 
 LINES = r"ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS idx FROM documents)"
@@ -39,23 +43,28 @@ def x17(t):
     return p.message_text(lines, "conv_id", "turn").select("conv_id", F.md5("text").alias("h"))
 
 
+#: The digest of a list of patches: md5 of the digest so far and the next patch, from an empty one on.
 GROUPED = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '([^\\n]*\\n|[^\\n]+$)', 1), lambda s: s <> '') AS ls FROM documents),
- g AS (SELECT doc_id, ls, 1 AS i, ls[1] AS open, 0 AS done FROM w WHERE len(ls) > 0 UNION ALL
- SELECT doc_id, ls, i + 1, CASE WHEN j THEN open[1:length(open) - 1] || chr(9) || rest ELSE nxt END, done + (NOT j)::INT FROM (SELECT doc_id, ls, i, open, done, ls[i + 1] AS nxt, CASE WHEN contains(ls[i + 1], ' ') THEN substr(ls[i + 1], instr(ls[i + 1], ' ') + 1) ELSE '' END AS rest,
+ g AS (SELECT doc_id, ls, 1 AS i, ls[1] AS open, 0 AS done, '' AS h FROM w WHERE len(ls) > 0 UNION ALL
+ SELECT doc_id, ls, i + 1, CASE WHEN j THEN open[1:length(open) - 1] || chr(9) || rest ELSE nxt END, done + (NOT j)::INT, CASE WHEN j THEN h ELSE md5(h || open) END FROM (SELECT doc_id, ls, i, open, done, h, ls[i + 1] AS nxt, CASE WHEN contains(ls[i + 1], ' ') THEN substr(ls[i + 1], instr(ls[i + 1], ' ') + 1) ELSE '' END AS rest,
  starts_with(open, string_split(ls[i + 1], ' ')[1]) AND length(open) + length(CASE WHEN contains(ls[i + 1], ' ') THEN substr(ls[i + 1], instr(ls[i + 1], ' ') + 1) ELSE '' END) <= 254 AS j FROM g WHERE i < len(ls)))
- SELECT doc_id, done + 1 AS n_patches, md5(open) AS last FROM g WHERE i = len(ls)"""
+ SELECT doc_id, done + 1 AS n_patches, md5(h || open) AS patches FROM g WHERE i = len(ls)"""
+
+
+def chained(ps):
+    return F.aggregate(ps, F.lit(""), lambda h, p: F.md5(F.concat(h, p)))
 
 
 @op("x11_group_lines", GROUPED)
 def x11(t):
     d = t("documents").select("doc_id", p.group_lines(p.lines_of(F.col("text")), 256).alias("ps")).where("size(ps) > 0")
-    return d.select("doc_id", F.size("ps").alias("n_patches"), F.md5(F.element_at("ps", -1)).alias("last"))
+    return d.select("doc_id", F.size("ps").alias("n_patches"), chained(F.col("ps")).alias("patches"))
 
 
 @op("x11_group_lines_in_python", GROUPED)
 def x11p(t):
     d = p.group_lines_in_python(t("documents").select("doc_id", p.lines_of(F.col("text")).alias("ls")), "ls", "ps", 256).where("size(ps) > 0")
-    return d.select("doc_id", F.size("ps").alias("n_patches"), F.md5(F.element_at("ps", -1)).alias("last"))
+    return d.select("doc_id", F.size("ps").alias("n_patches"), chained(F.col("ps")).alias("patches"))
 
 
 @op("x12_bar_patches", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS idx FROM documents), q AS (SELECT doc_id, idx, line, list_filter(string_split(regexp_replace(line, '(\|:|::|:\||\[\||\|\||\|\]|\|)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS b FROM l), h AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^\p{L}:') OR starts_with(line, '%%') THEN 1 ELSE (len(b) - CASE WHEN len(b) > 1 AND b[1] IN ('|:', '::', ':|', '[|', '||', '|]', '|') THEN 1 ELSE 0 END) // 2 END AS n FROM q) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_patches FROM h GROUP BY 1")
@@ -66,7 +75,7 @@ def x12(t):
 CHOICE, START = U.format(seed="4choice", key="doc_id"), U.format(seed="4start", key="doc_id")
 
 
-@op("x15_truncate", rf"WITH t AS (SELECT doc_id, regexp_split_to_array(trim(text, ' '), '\s+') AS w FROM documents), s AS (SELECT doc_id, w, len(w) AS n, CASE {CHOICE} % 3 WHEN 0 THEN 0 WHEN 1 THEN len(w) - 50 ELSE 1 + {START} % greatest(len(w) - 50, 1) END AS st FROM t) SELECT doc_id, md5(array_to_string(CASE WHEN n > 50 THEN list_slice(w, st + 1, st + 50) ELSE w END, ' ')) AS h FROM s")
+@op("x15_truncate", rf"WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), s AS (SELECT doc_id, w, len(w) AS n, CASE {CHOICE} % 3 WHEN 0 THEN 0 WHEN 1 THEN len(w) - 50 ELSE 1 + {START} % greatest(len(w) - 50, 1) END AS st FROM t) SELECT doc_id, md5(array_to_string(CASE WHEN n > 50 THEN list_slice(w, st + 1, st + 50) ELSE w END, ' ')) AS h FROM s")
 def x15(t):
     from strophe.functions.arrays import tokens_of
 
