@@ -45,10 +45,14 @@ def group_lines(lines: Column, size: int = PATCH_SIZE) -> Column:
         start = F.struct(empty.alias("done"), s["open"].alias("open"))
         return F.aggregate(own, start, turn, lambda r: F.struct(F.concat(s["done"], r["done"]).alias("done"), r["open"].alias("open")))
 
-    side = F.greatest(F.ceil(F.sqrt(F.size(lines))).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1)), side), lambda i: F.slice(lines, i, side))
-    begun = F.struct(empty.alias("done"), F.lit("").alias("open"))
-    return F.aggregate(blocks, begun, block, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    def grouped(own: Column) -> Column:
+        side = F.greatest(F.ceil(F.sqrt(F.size(own))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), side), lambda i: F.slice(own, i, side))
+        begun = F.struct(empty.alias("done"), F.lit("").alias("open"))
+        return F.aggregate(blocks, begun, block, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+
+    # bound by an outer transform, so that the lines are made once
+    return F.transform(F.array(lines), grouped)[0]
 
 
 def group_lines_in_python(df: DataFrame, column: str, out: str, size: int = PATCH_SIZE) -> DataFrame:
