@@ -26,12 +26,12 @@ def note_content_hash(notes: DataFrame) -> DataFrame:
 def dedup_keep_first(df: DataFrame, hash_col: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(kept rows, audit(hash, kept, duplicate)): of each hash the row of the least order stays; the audit has a row for each
     other one, so that a very common content is no single row. Rows that agree in the order too count as one."""
-    key = F.struct(*order)
-    least = df.groupBy(hash_col).agg(F.min(key).alias("__k"))
-    both = df.join(least.hint("merge"), hash_col)
-    kept = both.where(key == F.col("__k")).dropDuplicates([hash_col])
-    audit = both.where(key > F.col("__k")).select(hash_col, F.col("__k").alias("kept"), key.alias("duplicate"))
-    return kept.select(*df.columns), audit
+    rows = df.withColumn("__k", F.struct(*order))
+    least = rows.groupBy(hash_col).agg(F.min("__k").alias("__k"))
+    # by hash and order: the copies of a common content are dealt out, not met in one task, and only their keys go to the audit
+    kept = rows.join(least.hint("merge"), [hash_col, "__k"]).dropDuplicates([hash_col, "__k"])
+    audit = rows.select(hash_col, F.col("__k").alias("duplicate")).join(least.withColumnRenamed("__k", "kept").hint("merge"), hash_col)
+    return kept.select(*df.columns), audit.where("duplicate > kept").select(hash_col, "kept", "duplicate")
 
 
 def combine_datasets(*sources: DataFrame, hash_col: str = "hash", key: str = "id") -> DataFrame:

@@ -15,23 +15,23 @@ def pack_separate(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "seq"], F.posexplode(padded_windows(F.col("seq"), n)).alias("window", "seq"))
 
 
-def token_offsets(rows: DataFrame, seed, key: str = "id") -> DataFrame:
-    """rows(key, seq) with offset: the tokens of all records before it in the order of md5(seed:key)."""
+def token_offsets(rows: DataFrame, seed, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """rows(key, seq) with offset: the tokens of all records before it in the order of md5(seed:key), or of those of the same ``by``."""
     keyed = rows.withColumn("order_key", hash_key(seed, F.col(key)))
-    return running_sum(keyed, ["order_key", key], F.size("seq"), "offset")
+    return running_sum(keyed, ["order_key", key], F.size("seq"), "offset", by=by)
 
 
-def pack_concatenated(rows: DataFrame, n: int, seed, key: str = "id") -> DataFrame:
-    """(seq_id, seq): all records' tokens in the seeded order, cut into windows of n; only the last is padded. A record makes
+def pack_concatenated(rows: DataFrame, n: int, seed, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, seq_id, seq): for each value of ``by``, such as a split, all records' tokens in the seeded order, cut into windows of n; only the last is padded. A record makes
     one row for each window that it overlaps, never one for each token."""
-    at = token_offsets(rows.where(F.size("seq") > 0), seed, key)
+    at = token_offsets(rows.where(F.size("seq") > 0), seed, key, by)
     first, last = F.expr(f"offset div {n}"), F.expr(f"(offset + size(seq) - 1) div {n}")
-    parts = at.select("offset", "seq", F.explode(F.sequence(first, last)).alias("seq_id"))
+    parts = at.select(*by, "offset", "seq", F.explode(F.sequence(first, last)).alias("seq_id"))
     start = F.greatest(F.lit(0), F.col("seq_id") * n - F.col("offset"))
     end = F.least(F.size("seq").cast("long"), (F.col("seq_id") + 1) * n - F.col("offset"))
-    parts = parts.select("seq_id", F.struct(F.col("offset"), F.slice("seq", (start + 1).cast("int"), (end - start).cast("int")).alias("part")).alias("p"))
-    whole = parts.groupBy("seq_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return whole.select("seq_id", pad_to(F.flatten(F.transform("ps", lambda p: p["part"])), n).alias("seq"))
+    parts = parts.select(*by, "seq_id", F.struct(F.col("offset"), F.slice("seq", (start + 1).cast("int"), (end - start).cast("int")).alias("part")).alias("p"))
+    whole = parts.groupBy(*by, "seq_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return whole.select(*by, "seq_id", pad_to(F.flatten(F.transform("ps", lambda p: p["part"])), n).alias("seq"))
 
 
 def to_samples(seqs: DataFrame, pad: str = PAD) -> DataFrame:

@@ -17,22 +17,23 @@ from strophe.functions.hashing import hash_key
 DIGITS, GROUP = 5, 3
 
 
-def running_sum(df: DataFrame, order: list[str], value: Column, out: str, bucket: Column | None = None) -> DataFrame:
+def running_sum(df: DataFrame, order: list[str], value: Column, out: str, bucket: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """df with ``out``: the sum of value over all rows before this one. ``order[0]`` is a hex key unless a bucket is given, a whole
-    number below 16**5 that rises with ``order``; ties are broken by the further columns; null keys come first. Rows are shuffled once, by bucket."""
+    number below 16**5 that rises with ``order``; ties are broken by the further columns; null keys come first. Rows are shuffled once, by bucket. With ``by``, columns of a few
+    values none of which is null, such as a split, each of their values has sums of its own."""
     if bucket is None:
         b, group = F.substring(order[0], 1, DIGITS), F.substring("__b", 1, GROUP)
     else:
         b, group = bucket, F.expr(f"__b div {16 ** (DIGITS - GROUP)}")
     rows = df.withColumn("__v", value.cast("long")).withColumn("__b", F.coalesce(b, F.lit("" if bucket is None else -1)))
-    totals = rows.groupBy("__b").agg(F.sum("__v").alias("__t")).withColumn("__g", group)
-    groups = totals.groupBy("__g").agg(F.sum("__t").alias("__gt"))
-    ahead = groups.select("__g", (F.sum("__gt").over(Window.orderBy("__g")) - F.col("__gt")).alias("__ahead"))
-    within = F.sum("__t").over(Window.partitionBy("__g").orderBy("__b")) - F.col("__t")
-    before = totals.withColumn("__within", within).join(F.broadcast(ahead), "__g").select("__b", (F.col("__ahead") + F.col("__within")).alias("__before"))
-    own = F.sum("__v").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__v")
+    totals = rows.groupBy(*by, "__b").agg(F.sum("__v").alias("__t")).withColumn("__g", group)
+    groups = totals.groupBy(*by, "__g").agg(F.sum("__t").alias("__gt"))
+    ahead = groups.select(*by, "__g", (F.sum("__gt").over(Window.partitionBy(*by).orderBy("__g")) - F.col("__gt")).alias("__ahead"))
+    within = F.sum("__t").over(Window.partitionBy(*by, "__g").orderBy("__b")) - F.col("__t")
+    before = totals.withColumn("__within", within).join(F.broadcast(ahead), [*by, "__g"]).select(*by, "__b", (F.col("__ahead") + F.col("__within")).alias("__before"))
+    own = F.sum("__v").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__v")
     # by merge: both sides are dealt out by bucket already
-    return rows.withColumn(out, own).join(before.hint("merge"), "__b").withColumn(out, F.col("__before") + F.col(out)).drop("__v", "__b", "__before")
+    return rows.withColumn(out, own).join(before.hint("merge"), [*by, "__b"]).withColumn(out, F.col("__before") + F.col(out)).drop("__v", "__b", "__before")
 
 
 def quantile_splits(df: DataFrame, column: str, most: int = 2048, least_rows: int = 1000, k: int = 32_768) -> list[float]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strophe.functions.arrays import loss_tokens, tokens_of
 from strophe.operators import corpus, metrics, packing, probe, quality
 from strophe.sources import shards
+from strophe.sources.work import written
 
 
 def build_note_corpus(notes: DataFrame, config: dict[str, dict], dropped: list[str], seed, ratio: float) -> DataFrame:
@@ -22,14 +23,10 @@ def build_packed_dataset(docs: DataFrame, max_seq_len: int, shard_tokens: int, s
     """documents(doc_id, text) -> dedup -> split -> pack -> shard: (split, seq_id, shard_id, seq, loss_tokens)."""
     hashed = docs.select("doc_id", "text", corpus.content_hash(F.col("text")).alias("hash"))
     unique, _ = corpus.dedup_keep_first(hashed, "hash", ["doc_id"])
-    split = corpus.ratio_split(unique, "doc_id", ratio, seed)
-    out = None
-    for part in ("train", "val"):
-        rows = split.where(F.col("split") == part).select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
-        packed = shards.assign_shards(packing.pack_concatenated(rows, max_seq_len, seed), max_seq_len, shard_tokens)
-        own = packed.select(F.lit(part).alias("split"), "seq_id", "shard_id", "seq", loss_tokens(F.col("seq")).alias("loss_tokens"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    rows = corpus.ratio_split(unique, "doc_id", ratio, seed).select("split", F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
+    # written, as the packing reads its rows twice, and each reading would repeat the dedup
+    packed = packing.pack_concatenated(written(rows, "unique"), max_seq_len, seed, by=("split",))
+    return shards.assign_shards(packed, max_seq_len, shard_tokens).select("split", "seq_id", "shard_id", "seq", loss_tokens(F.col("seq")).alias("loss_tokens"))
 
 
 def probe_report(vectors: DataFrame, held_out) -> DataFrame:
