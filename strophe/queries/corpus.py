@@ -30,6 +30,23 @@ def s02(t):
     return records.parse_records(lines, "line", "k int", tolerant=True).select("event_id", "k", F.col("_corrupt_record").isNotNull().alias("bad"))
 
 
+BLOCK = 10_000
+
+
+@op("s02_tolerant_files", f"""WITH l AS (SELECT event_id, event_id // {BLOCK} AS part, row_number() OVER (PARTITION BY event_id // {BLOCK} ORDER BY event_id) AS line, CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 4) ELSE props END AS text FROM events)
+ SELECT part, line, text FROM l WHERE event_id % 7 = 0 UNION ALL SELECT part, NULL, count(*) || ':' || sum(CAST(json_extract_string(text, '$.k') AS INT)) FROM l WHERE event_id % 7 <> 0 GROUP BY 1""")
+def s02_files(t):
+    """Files of JSON lines, every seventh of which is cut off: the bad ones by file and line, and a row for the good ones of each file."""
+    path = shared_folder(t.spark, "s02") + "/lines"
+    cut = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    lines = t("events").select(F.expr(f"event_id div {BLOCK}").alias("part"), "event_id", cut.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    good, bad = records.read_records_audited(t.spark, path, "k int")
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+    n = good.groupBy(part).agg(F.concat_ws(":", F.count("*").cast("string"), F.sum("k").cast("string")).alias("text"))
+    return bad.select(part, "line", "text").unionByName(n.select("part", F.lit(None).cast("long").alias("line"), "text"))
+
+
 @op("s04_record_at", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents) SELECT index, doc_id, (SELECT count(*) FROM documents) AS n FROM r")
 def s04(t):
     docs = t("documents").select("doc_id")
@@ -62,6 +79,15 @@ def s06(t):
     return m.select("format_version", "sequence_count", "loss_token_count", F.array_join(F.transform("shards", lambda s: F.concat_ws(":", s["name"], s["sequence_count"].cast("string"), s["loss_token_count"].cast("string"))), ",").alias("shards"))
 
 
+@op("s06_manifest_parts", f"WITH {SEQS}, p AS (SELECT shard_id, count(*) AS sequence_count, CAST(sum(lt) AS BIGINT) AS loss_token_count FROM s GROUP BY ALL) SELECT shard_id, 'shard-' || lpad(CAST(shard_id AS VARCHAR), 6, '0') AS name, sequence_count, loss_token_count, CAST(sum(sequence_count) OVER (ORDER BY shard_id) - sequence_count AS BIGINT) AS start, (SELECT count(*) FROM p) AS shards, (SELECT CAST(sum(sequence_count) AS BIGINT) FROM p) AS sequences FROM p")
+def s06_parts(t):
+    """The manifest in parts, with the totals of its header in each row."""
+    path = shared_folder(t.spark, "s06") + "/manifest"
+    shards.write_manifest_parts(seqs(t), path, {"tokenizer_name": "white-space"}, L, SHARD)
+    header = t.spark.read.schema("shard_count bigint, sequence_count bigint").json(f"{path}/header").toDF("shards", "sequences")
+    return shards.read_manifest_parts(t.spark, path).crossJoin(F.broadcast(header))
+
+
 @op("s08_validate_manifests", "WITH m AS (SELECT source, CAST(max(length(text)) AS BIGINT) // 10000 AS max_seq_len, 'ws' AS tokenizer_name FROM documents GROUP BY 1), f AS (SELECT max_seq_len FROM m ORDER BY source LIMIT 1) SELECT source, 'max_seq_len' AS field, m.max_seq_len AS value, f.max_seq_len AS expected FROM m, f WHERE m.max_seq_len <> f.max_seq_len")
 def s08(t):
     m = t("documents").groupBy("source").agg(F.expr("max(length(text)) div 10000").alias("max_seq_len")).withColumn("tokenizer_name", F.lit("ws"))

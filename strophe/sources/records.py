@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,6 +39,22 @@ def parse_records(lines: DataFrame, column: str, schema: str, tolerant: bool = F
     return out.select(*lines.columns, "__p.*")
 
 
+def read_records_audited(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Files of JSON lines -> (good rows with file, audit(file, line, text) of the lines that are no JSON object of the schema; lines
+    count from 1, empty ones too, which are neither good nor bad). Rows of a block of a file lie one after the other in one task, so
+    a line's place in its block is its number less the block's least; the lines of the blocks before it are summed over a row for each
+    block. No line is shuffled but the bad ones. Both results read the files; these must not change between."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    parsed = parse_records(lines, "value", schema, tolerant=True)
+    full = F.trim("value") != ""
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("file", "block", "first", before.alias("before"))
+    bad = parsed.where(full & F.col(BAD).isNotNull()).select("file", "block", "at", F.col("value").alias("text")).join(placed.hint("merge"), ["file", "block"])
+    good = parsed.where(full & F.col(BAD).isNull()).drop("value", "block", "at", BAD)
+    return good, bad.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
+
+
 def write_records(df: DataFrame, path: str, overwrite: bool = False, kind: str = "json") -> None:
     """Refuses an existing path unless told to overwrite."""
     df.write.mode("overwrite" if overwrite else "errorifexists").format(kind).save(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.functions.arrays import loss_tokens
+from strophe.operators.prefix import numbered_sum
+from strophe.sources.work import written
 
 FORMAT_VERSION = 1
 MANIFEST = (
@@ -88,9 +90,42 @@ def check_shards(seqs: DataFrame, manifest_shards: DataFrame) -> DataFrame:
 
 
 def cumulative_shards(shards: DataFrame, order: list[str]) -> DataFrame:
-    """shards(..., sequence_count) with start and end sequence numbers over all. The table has a row for each shard."""
-    end = F.sum("sequence_count").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return shards.withColumn("end", end).withColumn("start", F.col("end") - F.col("sequence_count"))
+    """shards(..., sequence_count) with start and end sequence numbers over all, in the order of the columns: at most two, whole
+    numbers from 0, of which the last is below 2**40. The counts are written first, as each use would count the shards' rows again;
+    the sums run over ranges of the order, so that no task holds all shards."""
+    if len(order) > 2:
+        raise ValueError("an order of shards has at most two columns")
+    place = F.col(order[-1]).cast("long")
+    if len(order) == 2:
+        place = F.shiftleft(F.col(order[0]).cast("long"), 40) + place
+    rows = written(shards.withColumn("__place", place), "shards")
+    out = numbered_sum(rows, ["__place"], F.col("sequence_count"), "start").drop("__place")
+    return out.withColumn("end", F.col("start") + F.col("sequence_count"))
+
+
+#: Shards that a part of a manifest's table lists.
+PART_SHARDS = 10_000
+
+
+def write_manifest_parts(seqs: DataFrame, path: str, header: dict[str, str], max_seq_len: int, shard_tokens: int) -> None:
+    """A manifest for any number of shards: path/shards has a row for each shard (name, counts and start), in parts of PART_SHARDS by
+    their numbers, and path/header one row with the totals. Neither a row nor a task holds all shards. Refuses an existing path."""
+    counts = cumulative_shards(shard_counts(seqs), ["shard_id"])
+    rows = counts.select("shard_id", shard_name("shard_id").alias("name"), "sequence_count", "loss_token_count", "start", F.expr(f"shard_id div {PART_SHARDS}").alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "shard_id").write.partitionBy("part").parquet(f"{path}/shards")
+    total = seqs.sparkSession.read.parquet(f"{path}/shards").agg(F.count("*").alias("shard_count"), F.coalesce(F.sum("sequence_count"), F.lit(0)).alias("sequence_count"), F.coalesce(F.sum("loss_token_count"), F.lit(0)).alias("loss_token_count"))
+    fixed = [F.lit(v).alias(k) for k, v in {"format_version": FORMAT_VERSION, "max_seq_len": max_seq_len, "shard_token_capacity": shard_tokens, **header}.items()]
+    total.select(*fixed, "shard_count", "sequence_count", "loss_token_count").write.json(f"{path}/header")
+
+
+def read_manifest_parts(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(shard_id, name, sequence_count, loss_token_count, start) of the shards from first to last, or of all; parts outside are not read."""
+    rows = spark.read.schema("shard_id bigint, name string, sequence_count bigint, loss_token_count bigint, start bigint, part bigint").parquet(f"{path}/shards")
+    if first is not None:
+        rows = rows.where(f"part >= {first // PART_SHARDS} and shard_id >= {first}")
+    if last is not None:
+        rows = rows.where(f"part <= {last // PART_SHARDS} and shard_id <= {last}")
+    return rows.drop("part")
 
 
 def sequence_at(indices: DataFrame, shards: DataFrame) -> DataFrame:
