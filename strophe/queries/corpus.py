@@ -178,7 +178,7 @@ def f06(t):
     return c.validate_manual_metadata(e).select("doc_id", "key", "value")
 
 
-@op("f08_sample_projection", f"WITH t AS (SELECT doc_id, {TOKENS} AS s FROM documents) SELECT doc_id, array_to_string(s, ' ') AS src, array_to_string(list_concat(list_slice(s, 2, len(s)), ['<P>']), ' ') AS tgt, CAST(len(s) - 1 AS BIGINT) AS mask_on, CAST(0 AS INT) AS emb_size FROM t")
+@op("f08_sample_projection", f"WITH t AS (SELECT doc_id, {TOKENS} AS s FROM documents) SELECT doc_id, array_to_string(s, ' ') AS src, array_to_string(list_concat(list_slice(s, 2, len(s)), ['<P>']), ' ') AS tgt, CAST(greatest(len(s) - 1, 0) AS BIGINT) AS mask_on, CAST(0 AS INT) AS emb_size FROM t")
 def f08(t):
     from strophe.operators.packing import to_samples
 

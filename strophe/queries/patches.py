@@ -45,7 +45,7 @@ def x17(t):
 
 #: The digest of a list of patches: md5 of the digest so far and the next patch, from an empty one on.
 GROUPED = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '([^\\n]*\\n|[^\\n]+$)', 1), lambda s: s <> '') AS ls FROM documents),
- g AS (SELECT doc_id, ls, 1 AS i, ls[1] AS open, 0 AS done, '' AS h FROM w WHERE len(ls) > 0 UNION ALL
+ g AS (SELECT doc_id, ls, 1 AS i, CASE WHEN starts_with(ls[1], ' ') AND length(ls[1]) <= 255 THEN chr(9) || substr(ls[1], 2) ELSE ls[1] END AS open, 0 AS done, '' AS h FROM w WHERE len(ls) > 0 UNION ALL
  SELECT doc_id, ls, i + 1, CASE WHEN j THEN open[1:length(open) - 1] || chr(9) || rest ELSE nxt END, done + (NOT j)::INT, CASE WHEN j THEN h ELSE md5(h || open) END FROM (SELECT doc_id, ls, i, open, done, h, ls[i + 1] AS nxt, CASE WHEN contains(ls[i + 1], ' ') THEN substr(ls[i + 1], instr(ls[i + 1], ' ') + 1) ELSE '' END AS rest,
  starts_with(open, string_split(ls[i + 1], ' ')[1]) AND length(open) + length(CASE WHEN contains(ls[i + 1], ' ') THEN substr(ls[i + 1], instr(ls[i + 1], ' ') + 1) ELSE '' END) <= 254 AS j FROM g WHERE i < len(ls)))
  SELECT doc_id, done + 1 AS n_patches, md5(h || open) AS patches FROM g WHERE i = len(ls)"""

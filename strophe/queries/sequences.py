@@ -67,7 +67,7 @@ SHORT = f"list_slice(s, 1, {N})"
 ENDED = f"CASE WHEN list_contains({SHORT}, '<E>') THEN {SHORT} ELSE list_concat(list_slice({SHORT}, 1, len({SHORT}) - 1), ['<E>']) END"
 
 
-@op("x06_pad_last_token", f"WITH {MARKED}, b AS (SELECT doc_id, {ENDED} AS e FROM mk) SELECT doc_id, {JOIN.format(_pad('e'))} AS seq FROM b")
+@op("x06_pad_last_token", f"WITH {MARKED}, b AS (SELECT doc_id, s, {ENDED} AS e FROM mk) SELECT doc_id, CASE WHEN len(s) > 0 THEN {JOIN.format(_pad('e'))} END AS seq FROM b")
 def x06(t):
     return marked(t).select("doc_id", F.array_join(a.pad_last_token(F.col("seq"), N), " ").alias("seq"))
 

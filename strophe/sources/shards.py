@@ -113,7 +113,7 @@ def write_manifest_parts(seqs: DataFrame, path: str, header: dict[str, str], max
     counts = cumulative_shards(shard_counts(seqs), ["shard_id"])
     rows = counts.select("shard_id", shard_name("shard_id").alias("name"), "sequence_count", "loss_token_count", "start", F.expr(f"shard_id div {PART_SHARDS}").alias("part"))
     rows.repartition("part").sortWithinPartitions("part", "shard_id").write.partitionBy("part").parquet(f"{path}/shards")
-    total = seqs.sparkSession.read.parquet(f"{path}/shards").agg(F.count("*").alias("shard_count"), F.coalesce(F.sum("sequence_count"), F.lit(0)).alias("sequence_count"), F.coalesce(F.sum("loss_token_count"), F.lit(0)).alias("loss_token_count"))
+    total = read_manifest_parts(seqs.sparkSession, path).agg(F.count("*").alias("shard_count"), F.coalesce(F.sum("sequence_count"), F.lit(0)).alias("sequence_count"), F.coalesce(F.sum("loss_token_count"), F.lit(0)).alias("loss_token_count"))
     fixed = [F.lit(v).alias(k) for k, v in {"format_version": FORMAT_VERSION, "max_seq_len": max_seq_len, "shard_token_capacity": shard_tokens, **header}.items()]
     total.select(*fixed, "shard_count", "sequence_count", "loss_token_count").write.json(f"{path}/header")
 
