@@ -9,7 +9,7 @@ from strophe.functions.arrays import loss_tokens, tokens_of
 from strophe.operators import corpus as c
 from strophe.operators.packing import pack_separate
 from strophe.operators.prefix import numbered_sum
-from strophe.queries import op
+from strophe.queries import digest, digest_sql, op
 from strophe.queries.quality import NOTES
 from strophe.sources import records, shards
 from strophe.sources.work import shared_folder, written
@@ -130,10 +130,10 @@ def j06(t):
     return shards.sequence_at(t("events").select(F.col("event_id").alias("index")), cumulative(t)).select("index", "shard_id", "local_index")
 
 
-@op("s11_read_embedding_table", "WITH r AS (SELECT vec_id % 100 AS path, vec_id, embedding, row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id DESC) AS rn FROM embeddings) SELECT path, len(embedding) AS n, CAST(round(embedding[1], 6) AS DOUBLE) AS first FROM r WHERE rn = 1")
+@op("s11_read_embedding_table", f"WITH r AS (SELECT vec_id % 100 AS path, vec_id, embedding, row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id DESC) AS rn FROM embeddings) SELECT path, len(embedding) AS n, CAST(round(embedding[1], 6) AS DOUBLE) AS first, {digest_sql('embedding')} AS hash FROM r WHERE rn = 1")
 def s11(t):
     d = records.read_embedding_table(t("embeddings").select((F.col("vec_id") % 100).alias("path"), "vec_id", F.col("embedding").alias("emb")), "path", "vec_id")
-    return d.select("path", F.size("emb").cast("long").alias("n"), F.round(F.col("emb")[0].cast("double"), 6).alias("first"))
+    return d.select("path", F.size("emb").cast("long").alias("n"), F.round(F.col("emb")[0].cast("double"), 6).alias("first"), digest().alias("hash"))
 
 
 @op("f02_remove_instruments", f"WITH {NOTES} SELECT instrument, count(*) AS n FROM notes WHERE instrument NOT IN ('error', 'signup') GROUP BY 1")
@@ -186,11 +186,11 @@ def f08(t):
     return d.select("doc_id", F.array_join("src", " ").alias("src"), F.array_join("tgt", " ").alias("tgt"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("mask_on"), F.size("emb").alias("emb_size"))
 
 
-@op("j01_attach_embeddings", "WITH e AS (SELECT vec_id // 5 AS path, vec_id, embedding, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id DESC) AS rn FROM embeddings) SELECT doc_id, path, CAST(round(embedding[1], 6) AS DOUBLE) AS e1 FROM (SELECT doc_id, doc_id % 100 AS path FROM documents) JOIN e USING (path) WHERE rn = 1")
+@op("j01_attach_embeddings", f"WITH e AS (SELECT vec_id // 5 AS path, vec_id, embedding, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id DESC) AS rn FROM embeddings) SELECT doc_id, path, CAST(round(embedding[1], 6) AS DOUBLE) AS e1, {digest_sql('embedding')} AS hash FROM (SELECT doc_id, doc_id % 100 AS path FROM documents) JOIN e USING (path) WHERE rn = 1")
 def j01(t):
     table = records.read_embedding_table(t("embeddings").select(F.expr("vec_id div 5").alias("path"), "vec_id", F.col("embedding").alias("emb")), "path", "vec_id")
     s = t("documents").select("doc_id", (F.col("doc_id") % 100).alias("path"))
-    return c.attach_embeddings(s, table, "path").select("doc_id", "path", F.round(F.col("emb")[0].cast("double"), 6).alias("e1"))
+    return c.attach_embeddings(s, table, "path").select("doc_id", "path", F.round(F.col("emb")[0].cast("double"), 6).alias("e1"), digest().alias("hash"))
 
 
 TAGGED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'sad' WHEN 1 THEN 'calm' WHEN 2 THEN 'angry' END AS tag FROM documents"

@@ -6,18 +6,13 @@ from pyspark.sql import functions as F
 
 from strophe.functions import arrays as a
 from strophe.operators import embed, metrics, pooling, probe, scores
-from strophe.queries import op
+from strophe.queries import digest, digest_sql, op
 from strophe.queries.corpus import TOKENS, U
 
 LONG = "lg AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings)"
 HASHED = "md5(string_agg(CAST(CAST(round(m * 1000, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY dim))"
 
 
-def digest(v: str = "emb"):
-    """Vectors as md5 of entries in thousandths: summation orders differ in the last bits."""
-    return F.md5(F.array_join(F.transform(v, lambda x: F.round(x * 1000, 0).cast("long").cast("string")), ","))
-
-
 def first3(v: str = "emb"):
     return [F.round(F.col(v)[i], 6).alias(f"e{i}") for i in range(3)]
 
@@ -37,17 +32,17 @@ def a06(t):
     return pooling.masked_mean(d, "id").select("id", *first3(), digest().alias("hash"))
 
 
-@op("a07_last_valid", "WITH r AS (SELECT vec_id // 5 AS id, embedding, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id DESC) AS rn FROM embeddings WHERE label < 6) SELECT id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DOUBLE) AS e0 FROM r WHERE rn = 1")
+@op("a07_last_valid", f"WITH r AS (SELECT vec_id // 5 AS id, embedding, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id DESC) AS rn FROM embeddings WHERE label < 6) SELECT id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DOUBLE) AS e0, {digest_sql('embedding')} AS hash FROM r WHERE rn = 1")
 def a07(t):
     d = t("embeddings").select(F.expr("vec_id div 5").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("emb"), (F.col("label") < 6).alias("valid"))
-    return pooling.last_valid(d, "id", "pos", "valid").select("id", F.round(F.col("emb")[0].cast("double"), 6).alias("e0"))
+    return pooling.last_valid(d, "id", "pos", "valid").select("id", F.round(F.col("emb")[0].cast("double"), 6).alias("e0"), digest().alias("hash"))
 
 
-@op("a07_at_end_token", "WITH e AS (SELECT vec_id // 5 AS id, min(vec_id) AS pos FROM embeddings WHERE label = 3 GROUP BY 1) SELECT id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DOUBLE) AS e0 FROM e JOIN embeddings ON vec_id = pos")
+@op("a07_at_end_token", f"WITH e AS (SELECT vec_id // 5 AS id, min(vec_id) AS pos FROM embeddings WHERE label = 3 GROUP BY 1) SELECT id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DOUBLE) AS e0, {digest_sql('embedding')} AS hash FROM e JOIN embeddings ON vec_id = pos")
 def a07e(t):
     d = t("embeddings").select(F.expr("vec_id div 5").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("emb"), "label")
     ends = d.where("label = 3").groupBy("id").agg(F.min("pos").alias("pos"))
-    return pooling.at_end_token(d, ends, "id", "pos").select("id", F.round(F.col("emb")[0].cast("double"), 6).alias("e0"))
+    return pooling.at_end_token(d, ends, "id", "pos").select("id", F.round(F.col("emb")[0].cast("double"), 6).alias("e0"), digest().alias("hash"))
 
 
 @op("a08_weighted_mean", f"WITH {LONG}, m AS (SELECT vec_id // 5 AS id, dim, sum(CAST(x AS DOUBLE) * (label + 1)) / sum(label + 1) AS m FROM lg GROUP BY 1, 2) SELECT id, {E3}, {HASHED} AS hash FROM m GROUP BY 1")
@@ -65,26 +60,24 @@ VIEWS = "SELECT vec_id // 2 AS id, vec_id // 2 // 16 AS batch, vec_id % 2 AS vie
 SIM = f"vw AS ({VIEWS}), sim AS (SELECT a.batch, a.id AS i, b.id AS j, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM vw a JOIN vw b ON a.batch = b.batch AND a.view = 0 AND b.view = 1)"
 
 
-def similarities(t):
-    v = F.col("vec_id")
-    d = t("embeddings").select(F.expr("vec_id div 2").alias("id"), F.expr("vec_id div 2 div 16").alias("batch"), (v % 2).alias("view"), F.col("embedding").alias("emb"))
-    return pooling.pairs_in_batch(d, "batch", "id", "view")
+def views(t):
+    return t("embeddings").select(F.expr("vec_id div 2").alias("id"), F.expr("vec_id div 2 div 16").alias("batch"), (F.col("vec_id") % 2).alias("view"), F.col("embedding").alias("emb"))
 
 
 @op("j07_pairs_in_batch", f"WITH {SIM} SELECT batch, i, j, CAST(round(s, 6) AS DOUBLE) AS similarity FROM sim")
 def j07(t):
-    return similarities(t).withColumn("similarity", F.round("similarity", 6))
+    return pooling.pairs_in_batch(views(t), "batch", "id", "view").withColumn("similarity", F.round("similarity", 6))
 
 
 @op("x35_contrastive_loss", f"WITH {SIM}, z AS (SELECT batch, i, j, s / 0.1 AS z FROM sim), r AS (SELECT batch, i, ln(sum(exp(z))) - max(z) FILTER (i = j) AS l FROM z GROUP BY 1, 2), c AS (SELECT batch, j, ln(sum(exp(z))) - max(z) FILTER (i = j) AS l FROM z GROUP BY 1, 2) SELECT batch, CAST(round((a.l + b.l) / 2, 6) AS DOUBLE) AS loss FROM (SELECT batch, avg(l) AS l FROM r GROUP BY 1) a JOIN (SELECT batch, avg(l) AS l FROM c GROUP BY 1) b USING (batch)")
 def x35(t):
-    return pooling.contrastive_loss(similarities(t), "batch").withColumn("loss", F.round("loss", 6))
+    return pooling.batch_contrastive_loss(views(t), "batch", "id", "view").withColumn("loss", F.round("loss", 6))
 
 
-@op("x29_l2_normalise", "WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS l FROM embeddings) SELECT vec_id, CAST(round(embedding[1] / l, 6) AS DOUBLE) AS e0, CAST(round(embedding[2] / l, 6) AS DOUBLE) AS e1 FROM n")
+@op("x29_l2_normalise", f"WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS l FROM embeddings) SELECT vec_id, CAST(round(embedding[1] / l, 6) AS DOUBLE) AS e0, CAST(round(embedding[2] / l, 6) AS DOUBLE) AS e1, {digest_sql('list_transform(embedding, lambda y: y / l)')} AS hash FROM n")
 def x29(t):
     v = a.l2_normalise(F.col("embedding"))
-    return t("embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.col("v")[0].cast("double"), 6).alias("e0"), F.round(F.col("v")[1].cast("double"), 6).alias("e1"))
+    return t("embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.col("v")[0].cast("double"), 6).alias("e0"), F.round(F.col("v")[1].cast("double"), 6).alias("e1"), digest("v").alias("hash"))
 
 
 # score table: one group for each order, the lines' quantities as scores of their line numbers
@@ -148,10 +141,10 @@ def x34(t):
     return targets.join(d, "group_id").select("group_id", "class_id", F.round("loss", 6).alias("loss"))
 
 
-@op("h01_embed", f"WITH t AS (SELECT doc_id, {TOKENS} AS tok FROM documents), w AS (SELECT doc_id, len(tok) AS n, CAST('0x' || substr(md5(unnest(tok)), 1, 8) AS BIGINT) % 16 AS b FROM t) SELECT doc_id, CAST(round(count(*) FILTER (b = 0) / max(n), 6) AS DOUBLE) AS e0, CAST(round(count(*) FILTER (b = 1) / max(n), 6) AS DOUBLE) AS e1, CAST(round(count(*) FILTER (b = 2) / max(n), 6) AS DOUBLE) AS e2 FROM w GROUP BY 1")
+@op("h01_embed", f"WITH t AS (SELECT doc_id, {TOKENS} AS tok FROM documents), w AS (SELECT doc_id, len(tok) AS n, CAST('0x' || substr(md5(unnest(tok)), 1, 8) AS BIGINT) % 16 AS b FROM t) SELECT doc_id, CAST(round(count(*) FILTER (b = 0) / max(n), 6) AS DOUBLE) AS e0, CAST(round(count(*) FILTER (b = 1) / max(n), 6) AS DOUBLE) AS e1, CAST(round(count(*) FILTER (b = 2) / max(n), 6) AS DOUBLE) AS e2, {digest_sql('list_transform(range(0, 16), lambda i: len(list_filter(list(b), lambda y: y = i)) / max(n))')} AS hash FROM w GROUP BY 1")
 def h01(t):
     d = t("documents").select("doc_id", a.tokens_of(F.col("text")).alias("seq"))
-    return d.select("doc_id", embed.hashed_bag(F.col("seq")).alias("emb")).select("doc_id", *first3())
+    return d.select("doc_id", embed.hashed_bag(F.col("seq")).alias("emb")).select("doc_id", *first3(), digest().alias("hash"))
 
 
 def _length_model():
