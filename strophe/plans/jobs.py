@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.arrays import loss_tokens, tokens_of
 from strophe.operators import corpus, metrics, packing, probe, quality
+from strophe.operators.prefix import numbered_sum
 from strophe.sources import shards
 from strophe.sources.work import written
 
@@ -29,6 +30,28 @@ def build_packed_dataset(docs: DataFrame, max_seq_len: int, shard_tokens: int, s
     return shards.assign_shards(packed, max_seq_len, shard_tokens).select("split", "seq_id", "shard_id", "seq", loss_tokens(F.col("seq")).alias("loss_tokens"))
 
 
+def write_packed_files(files: DataFrame, folder: str, max_seq_len: int, shard_tokens: int, separate: bool = True, vectors: DataFrame | None = None, seed=0) -> None:
+    """files(id, seq) -> folder/shards and folder/manifest. Separate: each file alone in padded windows, in the order of the ids
+    (whole numbers), with the vector of its file where vectors(id, emb) are given; else one run of tokens in the seeded order. A file
+    without a vector fails the job, vectors in one run are refused, and so is an existing folder."""
+    if vectors is not None and not separate:
+        raise ValueError("vectors of files need separate sequences")
+    if separate:
+        # written, as the places are found in two passes over the files
+        placed = numbered_sum(written(files.where(F.size("seq") > 0).select("id", "seq"), "files"), ["id"], F.ceil(F.size("seq") / max_seq_len), "before")
+        rows = packing.pack_separate(placed, max_seq_len).select("id", (F.col("before") + F.col("window")).alias("seq_id"), "seq")
+        size = 0
+        if vectors is not None:
+            size = vectors.agg(F.max(F.size("emb"))).first()[0] or 0
+            rows = corpus.attach_embeddings(rows, vectors.select("id", "emb").hint("shuffle_hash"), "id")
+        rows = rows.drop("id")
+    else:
+        rows, size = packing.pack_concatenated(written(files, "files"), max_seq_len, seed), 0
+    shards.write_shards(shards.assign_shards(rows, max_seq_len, shard_tokens), f"{folder}/shards")
+    header = {"separate_sequences": separate, "embedding_size": size}
+    shards.write_manifest_parts(shards.read_shards(files.sparkSession, f"{folder}/shards"), f"{folder}/manifest", header, max_seq_len, shard_tokens)
+
+
 def probe_report(vectors: DataFrame, held_out) -> DataFrame:
     """vectors(emb, label) -> a report of the probe that is fitted on the rest, over the held-out rows."""
     model = probe.fit_probe(vectors.where(~held_out))

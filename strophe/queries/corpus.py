@@ -24,6 +24,27 @@ def s01(t):
     return records.discover_files(t.spark, t.dir, extensions=("parquet",)).select(F.regexp_extract("path", r"([^/]+/?[^/]*)$", 1).alias("name"), "length")
 
 
+@op("s01_discover_modes", """WITH f AS (SELECT DISTINCT doc_id % 7 AS part FROM documents), m AS (SELECT 'all' AS mode, part FROM f UNION ALL SELECT 'flat', part FROM f WHERE part = 3 UNION ALL SELECT 'listed', part FROM f WHERE part IN (1, 2) UNION ALL SELECT 'both', part FROM f WHERE part IN (1, 3) UNION ALL SELECT 'nothing', -1)
+ SELECT mode, part, row_number() OVER (PARTITION BY mode ORDER BY part) - 1 AS place FROM m""")
+def s01_modes(t):
+    """A folder of folders of text files, found with all below it, in one folder alone, from a list of folders and from both; a folder
+    above the files finds nothing without recursion, which is an error."""
+    path = shared_folder(t.spark, "s01") + "/files"
+    docs = t("documents").select((F.col("doc_id") % 7).alias("part"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("part").write.partitionBy("part").text(path)
+    find = lambda mode, *args, **options: records.discover_files(t.spark, *args, extensions=("txt",), **options).select("path", F.lit(mode).alias("mode"))
+    found = find("all", path).unionByName(find("flat", f"{path}/part=3", recursive=False))
+    found = found.unionByName(find("listed", None, paths=[f"{path}/part={i}/*.txt" for i in (1, 2)])).unionByName(find("both", f"{path}/part=3", paths=[f"{path}/part=1/*.txt"]))
+    ranked = records.ranged_positional(found, ["mode", "path"])
+    first = ranked.groupBy("mode").agg(F.min("index").alias("first"))  # four rows
+    own = ranked.join(F.broadcast(first), "mode").select("mode", F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), (F.col("index") - F.col("first")).alias("place"))
+    try:
+        find("nothing", path, recursive=False)
+    except FileNotFoundError:
+        own = own.unionByName(t.spark.range(1).select(F.lit("nothing").alias("mode"), F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("place")))
+    return own
+
+
 @op("s02_read_records", "WITH l AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 4) ELSE props END AS line FROM events) SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(line, '$.k') AS INT) END AS k, event_id % 7 = 0 AS bad FROM l")
 def s02(t):
     lines = t("events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("line"))
@@ -102,6 +123,16 @@ def s09(t):
     return shards.check_shards(s, expected)
 
 
+@op("s09_check_folder", f"WITH {SEQS}, p AS (SELECT shard_id, count(*) AS expected, count(*) FILTER (shard_id % 5 <> 4 AND (shard_id % 3 > 0 OR seq_id % 64 > 0)) AS rows FROM s GROUP BY ALL) SELECT * FROM p WHERE rows <> expected")
+def s09_folder(t):
+    """A folder of shards whose manifest lists all sequences, of which every fifth shard and the first sequence of every third are lost."""
+    folder = shared_folder(t.spark, "s09")
+    s = written(seqs(t), "sequences")
+    shards.write_manifest_parts(s, f"{folder}/manifest", {"tokenizer_name": "white-space"}, L, SHARD)
+    shards.write_shards(s.where("shard_id % 5 <> 4 and (shard_id % 3 > 0 or seq_id % 64 > 0)"), f"{folder}/shards")
+    return shards.check_shard_folder(t.spark, f"{folder}/shards", f"{folder}/manifest")
+
+
 CUM = f"{SEQS}, p AS (SELECT shard_id % 2 AS dir, shard_id, count(*) AS sequence_count FROM s GROUP BY ALL), q AS (SELECT *, sum(sequence_count) OVER (ORDER BY dir, shard_id) AS e FROM p), cum AS (SELECT dir, shard_id, sequence_count, CAST(e - sequence_count AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM q)"
 
 

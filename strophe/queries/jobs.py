@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strophe.contracts import notes_view
+from strophe.functions.arrays import tokens_of
 from strophe.plans import jobs
-from strophe.queries import op
-from strophe.queries.corpus import HASH, TOKENS, U
+from strophe.queries import digest, digest_sql, op
+from strophe.queries.corpus import HASH, TOKENS, L, U
 from strophe.queries.features import SCORED, shown_report
 from strophe.queries.quality import BODIES, CONFIG, NOTES
+from strophe.sources import records, shards
+from strophe.sources.work import shared_folder
 
 PACK, SHARD = 256, 256 * 64
 SPLIT = f"CASE WHEN {U.format(seed=42, key='doc_id')} <= {int(0.95 * 4294967296)} THEN 'train' ELSE 'val' END"
@@ -39,3 +42,18 @@ def e01(t):
 def e03(t):
     d = t("embeddings").select("vec_id", F.col("embedding").alias("emb"), "label")
     return shown_report(jobs.probe_report(d, F.col("vec_id") % 5 == 0))
+
+
+@op("e04_pack_files_with_vectors", f"""WITH t AS (SELECT doc_id, {TOKENS} AS tok FROM documents), o AS (SELECT doc_id, tok, (len(tok) + {L - 1}) // {L} AS nw, sum((len(tok) + {L - 1}) // {L}) OVER (ORDER BY doc_id) - (len(tok) + {L - 1}) // {L} AS before FROM t WHERE len(tok) > 0),
+ w AS (SELECT doc_id, CAST(before + wi AS BIGINT) AS seq_id, tok[wi * {L} + 1:wi * {L} + {L}] AS s FROM (SELECT *, unnest(range(0, nw)) AS wi FROM o)), e AS (SELECT vec_id // 5 AS path, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1)
+ SELECT seq_id, seq_id // 64 AS shard_id, md5(array_to_string(s, ' ') || repeat(' <P>', {L} - len(s))) AS h, {digest_sql('embedding')} AS vector, (SELECT max(len(embedding)) FROM e) AS embedding_size, (SELECT count(*) FROM w) AS sequence_count FROM w JOIN e ON doc_id % 100 = path""")
+def e04(t):
+    """Documents as files, each with the vector of its path; the folder is read back with its manifest's header in each row."""
+    folder = shared_folder(t.spark, "e04") + "/set"
+    table = records.read_embedding_table(t("embeddings").select(F.expr("vec_id div 5").alias("path"), "vec_id", F.col("embedding").alias("emb")), "path", "vec_id")
+    docs = t("documents").select(F.col("doc_id").alias("id"), tokens_of(F.col("text")).alias("seq"))
+    vectors = docs.select("id", (F.col("id") % 100).alias("path")).join(table, "path").select("id", "emb")
+    jobs.write_packed_files(docs, folder, L, 64 * L, vectors=vectors)
+    header = t.spark.read.schema("embedding_size int, sequence_count bigint").json(f"{folder}/manifest/header")
+    rows = shards.read_shards(t.spark, f"{folder}/shards", vectors=True).crossJoin(F.broadcast(header))
+    return rows.select("seq_id", "shard_id", F.md5(F.array_join("seq", " ")).alias("h"), digest().alias("vector"), F.col("embedding_size").cast("long").alias("embedding_size"), "sequence_count")

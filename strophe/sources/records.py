@@ -16,6 +16,10 @@ def discover_files(spark: SparkSession, folder: str | None, recursive: bool = Tr
     sources = [(folder, {"pathGlobFilter": "*.{" + ",".join(extensions) + "}", "recursiveFileLookup": str(recursive).lower()})] if folder else []
     for path, options in [*sources, *((p, {}) for p in paths or [])]:
         own = spark.read.format("binaryFile").options(**options).load(path).select("path", "length")
+        if options and not recursive:  # Spark goes on into folders named key=value
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            whole = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+            own = own.where(F.regexp_extract("path", "^(.*)/[^/]*$", 1) == whole)
         out = own if out is None else out.unionByName(own)
     if out is None or out.isEmpty():
         raise FileNotFoundError(f"no files with extensions {', '.join(extensions)}")
@@ -96,6 +100,21 @@ def read_metrics(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(METRICS[kind]).option("header", True).csv(path)
 
 
+RESULTS = "run string, metadata_category string, dataset_size bigint, epoch_metrics array<struct<epoch:int,loss:double,accuracy:double>>, max_accuracy double"
+
+
+def write_results(epochs: DataFrame, runs: DataFrame, path: str) -> None:
+    """epochs(run, epoch, loss, accuracy) and runs(run, metadata_category, dataset_size) -> one JSON object a run: its epochs in their
+    order and the best accuracy, 0 where a run has no epochs. Refuses an existing path."""
+    by_run = epochs.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("int").alias("epoch"), "loss", "accuracy"))).alias("epoch_metrics"), F.max("accuracy").alias("best"))
+    out = runs.join(by_run, "run", "left").select("run", "metadata_category", "dataset_size", F.coalesce("epoch_metrics", F.array()).alias("epoch_metrics"), F.coalesce("best", F.lit(0.0)).alias("max_accuracy"))
+    write_records(out, path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return read_records(spark, path, RESULTS)
+
+
 def positional(df: DataFrame, order: list[str]) -> DataFrame:
     """df with its 0-based position in the order, whose first column is a whole number; nulls come first."""
     from strophe.operators.prefix import numbered_sum

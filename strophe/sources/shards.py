@@ -33,9 +33,9 @@ def write_shards(seqs: DataFrame, path: str, overwrite: bool = False) -> None:
     seqs.repartition("shard_id").sortWithinPartitions("shard_id", "seq_id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("shard_id").json(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The sequences of a folder of shards; a folder without shards has none."""
-    return spark.read.schema("seq_id bigint, seq array<string>, shard_id bigint").json(path)
+def read_shards(spark: SparkSession, path: str, vectors: bool = False) -> DataFrame:
+    """The sequences of a folder of shards, with the vectors of their files if asked for; a folder without shards has none."""
+    return spark.read.schema("seq_id bigint, seq array<string>, emb array<double>, shard_id bigint" if vectors else "seq_id bigint, seq array<string>, shard_id bigint").json(path)
 
 
 def scan_shard_dirs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -89,6 +89,12 @@ def check_shards(seqs: DataFrame, manifest_shards: DataFrame) -> DataFrame:
     return both.where("rows <> expected")
 
 
+def check_shard_folder(spark: SparkSession, folder: str, manifest: str) -> DataFrame:
+    """``check_shards`` of a folder of shards against a manifest in parts, both as written: (shard_id, rows, expected)."""
+    listed = read_manifest_parts(spark, manifest).select("shard_id", F.col("sequence_count").alias("expected"))
+    return check_shards(read_shards(spark, folder), listed)
+
+
 def cumulative_shards(shards: DataFrame, order: list[str]) -> DataFrame:
     """shards(..., sequence_count) with start and end sequence numbers over all, in the order of the columns: at most two, whole
     numbers from 0, of which the last is below 2**40. The counts are written first, as each use would count the shards' rows again;

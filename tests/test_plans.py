@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strophe import queries
 from strophe.functions import arrays as a
 from strophe.operators import corpus, packing, patches, probe
+from strophe.plans import jobs
 from strophe.sources import records, shards
 from strophe.sources.work import shared_folder
 
@@ -162,3 +163,53 @@ def test_sums_over_shards_meet_in_no_task(spark):
     out = shards.cumulative_shards(counts, ["dir", "shard_id"])
     assert out._jdf.queryExecution().executedPlan().toString().count("SinglePartition") <= 1
     assert [r.start for r in out.orderBy("dir", "shard_id").collect()] == [3 * i for i in range(5000)]
+
+
+def test_discovery_stays_in_its_folder(spark):
+    folder = shared_folder(spark, "found")
+    spark.createDataFrame([(1, "a"), (2, "b")], "part int, value string").write.partitionBy("part").text(folder)
+    names = lambda **o: [r.path.split("/")[-2] for r in records.discover_files(spark, extensions=("txt",), **o).collect()]
+    assert sorted(set(names(folder=folder))) == ["part=1", "part=2"]
+    for own in (f"{folder}/part=1", f"{folder}/part=1/"):
+        assert set(names(folder=own, recursive=False)) == {"part=1"}
+    with pytest.raises(FileNotFoundError):
+        names(folder=folder, recursive=False)
+    with pytest.raises(FileNotFoundError):
+        names(folder=None)
+
+
+def test_vectors_of_files_are_packed_with_them(spark):
+    files = spark.createDataFrame([(7, ["a"] * 5), (3, ["b"] * 4), (9, []), (11, None)], "id long, seq array<string>")
+    vectors = spark.createDataFrame([(3, [0.25, -0.5]), (7, [1.0, 2.0]), (9, [0.0, 0.0])], "id long, emb array<double>")
+    folder = shared_folder(spark, "packed")
+    jobs.write_packed_files(files, folder, 4, 8, vectors=vectors)
+    got = [tuple(r) for r in shards.read_shards(spark, f"{folder}/shards", vectors=True).orderBy("seq_id").collect()]
+    assert got == [(0, ["b"] * 4, [0.25, -0.5], 0), (1, ["a"] * 4, [1.0, 2.0], 0), (2, ["a", "<P>", "<P>", "<P>"], [1.0, 2.0], 1)]
+    header = spark.read.json(f"{folder}/manifest/header").first()
+    assert (header.separate_sequences, header.embedding_size, header.sequence_count, header.shard_count) == (True, 2, 3, 2)
+    assert shards.check_shard_folder(spark, f"{folder}/shards", f"{folder}/manifest").count() == 0
+    with pytest.raises(ValueError, match="separate"):
+        jobs.write_packed_files(files, folder, 4, 8, separate=False, vectors=vectors)
+    with pytest.raises(Exception, match="no embedding for 7"):
+        jobs.write_packed_files(files, shared_folder(spark, "packed"), 4, 8, vectors=vectors.where("id <> 7"))
+    with pytest.raises(Exception, match="exists"):
+        jobs.write_packed_files(files, folder, 4, 8)
+
+
+def test_files_in_one_run_and_none_at_all(spark):
+    files = spark.createDataFrame([(1, ["a"] * 5), (2, ["b"] * 4)], "id long, seq array<string>")
+    folder = shared_folder(spark, "packed")
+    jobs.write_packed_files(files, folder, 4, 8, separate=False)
+    seqs = [r.seq for r in shards.read_shards(spark, f"{folder}/shards").orderBy("seq_id").collect()]
+    assert len(seqs) == 3 and sorted(x for s in seqs for x in s) == ["<P>"] * 3 + ["a"] * 5 + ["b"] * 4
+
+
+def test_results_of_runs(spark):
+    epochs = spark.createDataFrame([("a", 2, 0.5, 0.9), ("a", 1, 0.7, 0.95)], "run string, epoch long, loss double, accuracy double")
+    path = shared_folder(spark, "results")
+    records.write_results(epochs, spark.createDataFrame([("a", "genre", 10), ("b", None, 0)], "run string, metadata_category string, dataset_size long"), path)
+    a, b = records.read_results(spark, path).orderBy("run").collect()
+    assert ([e.epoch for e in a.epoch_metrics], a.max_accuracy, a.dataset_size) == ([1, 2], 0.95, 10)
+    assert (b.epoch_metrics, b.max_accuracy, b.metadata_category) == ([], 0.0, None)
+    with pytest.raises(Exception, match="exists"):
+        records.write_results(epochs, epochs.select("run", F.lit("x").alias("metadata_category"), F.lit(1).alias("dataset_size")), path)
