@@ -3,9 +3,9 @@
 Only the histogram of lengths reaches the driver (at most ``capacity`` bins, each in SALTS parts). The program min sum x_p,
 sum_p a_pl x_p >= n_l is solved by multiplicative weights: a knapsack dynamic programme prices the best pattern under the
 present length weights, and each length's weight falls with what its patterns cover. Rounding the averaged solution down and
-taking its full patterns leaves a smaller program. That one is priced on: each further pattern is the longest length left and
-the best knapsack beside it, fixed as often as the counts allow, so that each uses a length up. The last hundredth goes by best
-fit. Pieces then find their place by their rank among the pieces of their length: ranks come from salted counts, so a length
+taking its full patterns leaves a smaller program, which is solved and rounded again, for as many passes as still fix a share of
+what is left. What they leave is priced on: each further pattern is the longest length left and the best knapsack beside it, fixed
+as often as the counts allow, so that each uses a length up. The last hundredth goes by best fit. Pieces then find their place by their rank among the pieces of their length: ranks come from salted counts, so a length
 that holds a third of all pieces is no single task's work.
 
 Defined results: null or empty text -> a piece with the end id alone; documents with null or equal doc_id are all packed,
@@ -26,10 +26,11 @@ from strophe.llm.common import materialise, work_dir
 from strophe.llm.tokenise import encoder
 
 SALTS = 64
-#: Lengths in one knapsack; a rounded pattern's least fill; what best fit gets.
-PRICED, FULL, REST = 96, 0.999, 0.01
-#: (rounds, tilt) that are tried, the fewest sequences win: more rounds give finer patterns, tilt makes longer pieces worth more.
-TRIES = [(600, 1.02), (300, 1.02), (300, 1.1)]
+#: Lengths in one knapsack; a rounded pattern's least fill; what best fit gets; the least share of what is left that a pass fixes.
+PRICED, FULL, REST, GAIN = 96, 0.999, 0.01, 0.03
+#: (rounds, tilt, passes) that are tried, the fewest sequences win, then those with the most from the program: more rounds give finer
+#: patterns, tilt makes longer pieces worth more, more passes leave less to be priced after rounding.
+TRIES = [(600, 1.02, 1), (300, 1.02, 1), (300, 1.1, 1), (300, 1.02, 3), (300, 1.02, 12)]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
@@ -95,7 +96,7 @@ def relaxed(left: np.ndarray, capacity: int, rounds: int, tilt: float, rng: np.r
     return [(p, x) for p, x in patterns.values()]
 
 
-def rounded(counts: np.ndarray, capacity: int, rounds: int, tilt: float) -> dict[str, list[tuple[np.ndarray, int]]]:
+def rounded(counts: np.ndarray, capacity: int, rounds: int, tilt: float, passes: int) -> dict[str, list[tuple[np.ndarray, int]]]:
     """Patterns (counts by length) and how often each is used; together they hold exactly the given counts. By origin: 'whole'
     (pieces of full length), 'rounded' (the program), 'residual' (priced after rounding), 'rest' (best fit)."""
     left = counts.astype(np.int64).copy()
@@ -111,10 +112,16 @@ def rounded(counts: np.ndarray, capacity: int, rounds: int, tilt: float) -> dict
     total = int(left @ size)
     if not total:
         return out
-    for p, x in sorted(relaxed(left, capacity, rounds, tilt, rng), key=lambda v: -int(v[0] @ size)):
-        n = int(min(np.floor(x), (left[p > 0] // p[p > 0]).min())) if p.any() else 0
-        if n > 0 and p @ size >= FULL * capacity:
-            fix("rounded", p, n)
+    for _ in range(passes):
+        before = int(left @ size)
+        if before <= REST * total:
+            break
+        for p, x in sorted(relaxed(left, capacity, rounds, tilt, rng), key=lambda v: -int(v[0] @ size)):
+            n = int(min(np.floor(x), (left[p > 0] // p[p > 0]).min())) if p.any() else 0
+            if n > 0 and p @ size >= FULL * capacity:
+                fix("rounded", p, n)
+        if before - int(left @ size) < GAIN * before:
+            break
     while int(left @ size) > REST * total:
         longest = int(np.flatnonzero(left)[-1])
         others = left[: capacity - longest + 1].copy()

@@ -82,6 +82,13 @@ def test_about_as_few_sequences_as_best_fit_alone(seed):
     assert n["rounded"] + n["residual"] >= 0.9 * (sum(n.values()) - n["whole"])
 
 
+def test_passes_of_the_program_leave_less_to_price():
+    counts = np.bincount(np.minimum(np.random.default_rng(4).lognormal(4.6, 1, 20_000).astype(int) + 1, 512), minlength=513)
+    n = [{kind: sum(n for _, n in p) for kind, p in best_fit.rounded(counts, 512, 300, 1.02, passes).items()} for passes in (1, 4)]
+    assert n[1]["rounded"] > n[0]["rounded"] and n[1]["residual"] < n[0]["residual"]
+    assert sum(n[1].values()) <= 1.003 * sum(n[0].values())
+
+
 def test_empty_histogram():
     assert not any(best_fit.solve(np.zeros(17, np.int64), 16).values())
 
