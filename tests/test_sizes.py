@@ -33,3 +33,18 @@ def events_of(folder, rows):
 def test_suite_values_between_two_thousandths(spark, tmp_path):
     events_of(tmp_path, [(7, 32.0 + (i < 39)) for i in range(80)])
     assert "mean_note_velocity=32.488" in same_as_sql(spark, "f01_quality_suite", tmp_path, "events")[0][1]
+
+
+def test_first_of_a_content_stays_with_many_files(spark, tmp_path):
+    """An arrival of more files than a micro-batch takes, written in any order of the ids."""
+    ids = spark.range(0, 60_000, 1, 60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 9973).alias("text"))
+    ids.repartitionByRange(60, F.desc("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert {r[1] for r in same_as_sql(spark, "r02_incremental_dedup", tmp_path, "documents")} == set(range(9973))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
