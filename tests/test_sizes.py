@@ -48,3 +48,13 @@ def test_first_of_a_content_stays_with_many_files(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_results_do_not_hang_on_the_order_of_sums(spark, tmp_path):
+    cents = F.pmod(F.xxhash64("id"), F.lit(20_000))
+    e = spark.range(0, 24_000, 1, 8).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") % 24 * 3600).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3000 + 1).alias("user_id"),
+        F.when(F.col("id") % 5 == 0, "click").otherwise("view").alias("event_type"), (cents / 100).alias("value"),
+    )
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    same_as_sql(spark, "s13_results", tmp_path, "events")
