@@ -1,10 +1,10 @@
 """Results that must not hang on the number of files, the order of sums or the length of lines."""
 
-
 import duckdb
 from pyspark.sql import functions as F
 
 from strophe import queries
+from strophe.operators import patches
 
 queries.load()
 
@@ -58,3 +58,12 @@ def test_results_do_not_hang_on_the_order_of_sums(spark, tmp_path):
     )
     e.write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, "s13_results", tmp_path, "events")
+
+
+def test_a_line_is_split_once(spark):
+    """However many bars it has: each use of a part would split the line again."""
+    df = spark.createDataFrame([("|:a|b|" + "c|" * 20_000,)], "text string").select(patches.bar_patches(F.col("text")).alias("p"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    got = df.first()["p"]
+    assert len(got) == 20_002 and got[:3] == ["|:a|", "b|", "c|"] and got[-1] == "c|\n"
