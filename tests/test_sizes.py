@@ -67,3 +67,20 @@ def test_a_line_is_split_once(spark):
     assert plan.count("split(") == 1
     got = df.first()["p"]
     assert len(got) == 20_002 and got[:3] == ["|:a|", "b|", "c|"] and got[-1] == "c|\n"
+
+
+def test_user_code_has_few_rows_before_it(spark):
+    """Pieces of an Arrow batch: all rows in order, as few at a time as their bytes ask for; rows reach the callback as Python values."""
+    import pyarrow as pa
+
+    from strophe.operators import embed
+
+    texts = ["x" * (400_000 if i % 50 == 7 else 10) for i in range(1000)]
+    parts = list(embed.parts_of(pa.RecordBatch.from_pydict({"i": list(range(1000)), "text": texts}), 256))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(1000))
+    assert max(p.num_rows for p in parts) <= 256 and all(p.num_rows == 1 or p.nbytes <= embed.PART_BYTES for p in parts)
+    df = spark.createDataFrame([(1, "a b"), (None, None), (3, "c")], "i long, text string")
+    got = embed.tokenise(df, lambda row: [repr(row["i"]), *row["text"].split()]).collect()
+    assert [r["seq"] for r in got] == [["1", "a", "b"], None, ["3", "c"]] and got[1]["error"].startswith("AttributeError") and got[0]["error"] is None
+    vectors = embed.embed(df.select("i", F.split("text", " ").alias("seq")), lambda: lambda batch: [[len(s), 1] for s in batch], 2)
+    assert [(r["i"], r["emb"]) for r in vectors.collect()] == [(1, [2.0, 1.0]), (None, [0.0, 1.0]), (3, [1.0, 1.0])]
