@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,53 +191,78 @@ def capture(stream: DataFrame, key: str, at: str, ident: str, stop: str, duratio
     return out.toDF(key, at, ident)
 
 
-class HoldFile(StatefulProcessor):
-    """One file's embedded slices, held until all have come, in whatever batches and order; a slice that comes again counts once."""
+class HoldFiles(StatefulProcessor):
+    """The embedded slices of a few files, each file's held until all have come, in whatever batches and order; a slice that comes again
+    counts once. A slice is one string here, so that few values are moved. The timer stands at the time at which the first file is given up."""
 
     def __init__(self, hold_ms: int):
         self.hold_ms = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "slice int, seq array<string>, emb array<float>, at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        have = {int(r[0]): r for r in self.held.get()} if self.held.exists() else {}
-        new, total = [], None
-        for part in rows:
-            for n, of, seq, emb, at in zip(part["slice"], part["slices"], part["seq"], part["emb"], part["at"], strict=True):
-                total = int(of)
-                if int(n) not in have:
-                    have[int(n)] = (int(n), [str(w) for w in seq], [float(x) for x in emb], int(at))
-                    new.append(have[int(n)])
-        if total is not None and len(have) >= total:
+        self.held = handle.getListState("held", "file string, slice int, part string, at long")
+
+    def waiting(self) -> tuple[dict, dict]:
+        have: dict[str | None, dict] = {}
+        last: dict[str | None, int] = {}
+        for row in self.held.get():
+            have.setdefault(row[0], {})[row[1]] = tuple(row)
+            last[row[0]] = max(last.get(row[0], row[3]), row[3])
+        return have, last
+
+    def keep(self, have: dict, last: dict, without: list, new: list, passed: int) -> None:
+        """Rewrites the state only where a file leaves it."""
+        left = [f for f in have if f not in without]
+        if not left:
             self.held.clear()
-            whole = [have[i] for i in sorted(have)]
-            mean = np.array([r[2] for r in whole], np.float64).mean(axis=0)
-            yield pd.DataFrame({"key": [key[0]], "seqs": [[list(r[1]) for r in whole]], "emb": [mean.tolist()]})
+        elif without:
+            self.held.put([row for f in left for row in have[f].values()])
         elif new:
             self.held.appendList(new)
-            self.handle.registerTimer(max(max(r[3] for r in new) + self.hold_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        if left:
+            self.handle.registerTimer(max(min(last[f] for f in left) + self.hold_ms, passed + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        have, last = self.waiting()
+        new, sizes = [], {}
+        for part in rows:
+            for file, n, of, text, at in zip(*(part[c].tolist() for c in ("file", "slice", "slices", "part", "at")), strict=True):
+                sizes[file] = of
+                if n not in have.setdefault(file, {}):
+                    have[file][n] = (file, n, text, at)
+                    last[file] = max(last.get(file, at), at)
+                    new.append(have[file][n])
+        whole = [f for f, of in sizes.items() if len(have[f]) >= of]
+        self.keep(have, last, whole, new, timerValues.getCurrentWatermarkInMs())
+        if whole:
+            yield pd.DataFrame({"file": whole, "parts": [[have[f][n][2] for n in sorted(have[f])] for f in whole]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists() and max(r[3] for r in self.held.get()) + self.hold_ms <= timerValues.getCurrentWatermarkInMs():
-            self.held.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        have, last = self.waiting()
+        self.keep(have, last, [f for f in have if last[f] + self.hold_ms <= passed], [], passed)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def embed_files(slices: DataFrame, load: Callable, key: str, ts: str, batch_size: int = 64, delay: str = "1 hour", hold: str = "7 days") -> DataFrame:
+def embed_files(slices: DataFrame, load: Callable, key: str, ts: str, batch_size: int = 64, delay: str = "1 hour", hold: str = "7 days", together: int = 1) -> DataFrame:
     """slices(key long, slice, slices, seq, ts), a stream -> (key, seqs, emb): one row for each file, when the last of its slices has come, with its
     sequences in order and the mean of their vectors. ``load`` makes the user's model, once for a worker's stream of a partition; the model gets at most
     batch_size sequences at a time. A file whose last slice is ``hold`` older than the watermark is given up, and slices later than the delay are dropped;
-    state is the unfinished files' slices. The slices of one file must fit a worker."""
+    state is the unfinished files' slices. Up to ``together`` files, those whose keys have the same quotient by it, share a state: Python takes
+    milliseconds for a state that has rows in a batch, however few they are. The slices of these files must fit a worker."""
     from strophe.operators.embed import embed
 
     hold_ms = int(pd.Timedelta(hold).total_seconds() * 1000)
     rows = slices.withWatermark(ts, delay).select(key, F.col("slice").cast("int").alias("slice"), F.col("slices").cast("int").alias("slices"), "seq", ts, F.unix_millis(ts).alias("at"))
-    return embed(rows, load, batch_size).groupBy(key).transformWithStateInPandas(HoldFile(hold_ms), "key long, seqs array<array<string>>, emb array<double>", "append", "eventTime").toDF(key, "seqs", "emb")
+    rows = embed(rows, load, batch_size).select(F.expr(f"{key} div {together}").alias("state"), F.col(key).cast("string").alias("file"), "slice", "slices", F.to_json(F.struct("seq", "emb")).alias("part"), ts, "at")
+    held = rows.groupBy("state").transformWithStateInPandas(HoldFiles(hold_ms), "file string, parts array<string>", "append", "eventTime")
+    whole = held.select("file", F.transform("parts", lambda p: F.from_json(p, "seq array<string>, emb array<float>")).alias("x"))
+    vectors = F.transform("x", lambda s: F.transform(s["emb"], lambda v: v.cast("double")))
+    total = F.aggregate(F.slice(vectors, F.lit(2), F.size("x")), vectors[0], lambda have, v: F.zip_with(have, v, lambda a, b: a + b))
+    return whole.select(F.col("file").cast("long").alias(key), F.transform("x", lambda s: s["seq"]).alias("seqs"), F.transform(total, lambda v: v / F.size("x")).alias("emb"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

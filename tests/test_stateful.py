@@ -162,3 +162,30 @@ def test_files_are_held_until_complete(spark):
     assert [tuple(r["key"]) for r in state(spark, folder, "held").select("key").distinct().collect()] == [(9,)]
     arrive(spark, source, [(3, 1, 2, ["d"], 401), (9, 1, 2, ["y"], 401)], schema)  # file 3 begins anew, without its first slice
     assert run() == [*want, (9, [["z"], ["y"]], [1.0, 1.0])]
+
+
+def test_files_that_share_a_state(spark):
+    """Neighbouring keys: each file is let out and given up for itself; the text of a slice and its null tokens come back as they were."""
+    source, folder = shared_folder(spark, "slices"), shared_folder(spark, "query")
+    schema = "id long, slice int, slices int, seq array<string>, minute long"
+    model = lambda: lambda batch: [[float(len(s)), 0.1] for s in batch]
+    run = lambda: sorted((r.id, r.seqs, [round(x, 6) for x in r.emb]) for r in live.drain(live.embed_files(live.stream_of(spark, source, 1), model, "id", "ts", 2, hold="2 hours", together=32), "files", folder=folder).collect())
+    arrive(spark, source, [(33, 1, 2, ["b", "\"\n\\"], 0), (34, 0, 2, ["c"], 0), (35, 0, 1, [None, "d"], 0), (36, 0, 2, ["early"], 0)], schema)
+    first = [(35, [[None, "d"]], [2.0, 0.1])]
+    assert run() == first
+    arrive(spark, source, [(34, 0, 2, ["again"], 60), (37, 0, 2, ["e"], 60), (33, 0, 2, [], 60)], schema)
+    assert run() == [(33, [[], ["b", "\"\n\\"]], [1.0, 0.1]), *first]
+    arrive(spark, source, [(99, 0, 2, ["z"], 200)], schema)  # the watermark passes the hold of 34 and 36, not that of 37
+    run()
+    arrive(spark, source, [(37, 1, 2, ["f"], 201), (34, 1, 2, ["late"], 201), (36, 1, 2, ["late"], 201)], schema)
+    assert [r[0] for r in run()] == [33, 35, 37]
+
+
+def test_slices_are_cut_from_a_text_that_is_split_once(spark):
+    """An explode adds a filter on the slices, which is pushed down to the text: it may not split the text again for each slice."""
+    from strophe.functions.arrays import fixed_chunks, tokens_of
+
+    df = spark.range(1).select("id", F.lit("a b c d e").alias("text")).localCheckpoint()
+    df = df.select("id", tokens_of(F.col("text")).alias("seq")).select("id", fixed_chunks(F.col("seq"), 2).alias("c")).select("id", F.posexplode("c").alias("slice", "seq")).where("slice >= 0")
+    assert "slice(filter(split" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["seq"] for r in df.orderBy("slice").collect()] == [["a", "b"], ["c", "d"], ["e"]]
