@@ -213,3 +213,28 @@ def test_results_of_runs(spark):
     assert (b.epoch_metrics, b.max_accuracy, b.metadata_category) == ([], 0.0, None)
     with pytest.raises(Exception, match="exists"):
         records.write_results(epochs, epochs.select("run", F.lit("x").alias("metadata_category"), F.lit(1).alias("dataset_size")), path)
+
+
+def test_shards_are_put_in_place_by_tasks_and_listed_by_few(spark):
+    """With many shards the driver may neither rename each one's file nor send a task to list each folder; a folder for each value of a column."""
+    from strophe.sources import shards
+    from strophe.sources.work import shared_folder
+
+    def jobs_of(group, run):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            out = run()
+        finally:
+            spark.sparkContext._jsc.sc().clearJobGroup()
+        tracker = spark.sparkContext.statusTracker()
+        infos = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+        return out, max((i.numTasks for i in infos if i), default=0)
+
+    path = shared_folder(spark, "many")
+    seqs = spark.range(400).select(F.col("id").alias("seq_id"), F.array(F.lit("a")).alias("seq"), F.expr("id div 2").alias("shard_id"))
+    shards.write_shards(seqs.withColumn("dir", F.col("shard_id") % 2), path, by=("dir",))
+    limit = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    even, tasks = jobs_of("list", lambda: shards.read_shards(spark, f"{path}/dir=0"))
+    assert 0 < tasks <= 4 * spark.sparkContext.defaultParallelism < 100
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == limit
+    assert sorted(r["shard_id"] for r in even.select("shard_id").distinct().collect()) == list(range(0, 200, 2)) and even.count() == 200
