@@ -37,14 +37,16 @@ def write_packed_files(files: DataFrame, folder: str, max_seq_len: int, shard_to
     if vectors is not None and not separate:
         raise ValueError("vectors of files need separate sequences")
     if separate:
-        # written, as the places are found in two passes over the files
-        placed = numbered_sum(written(files.where(F.size("seq") > 0).select("id", "seq"), "files"), ["id"], F.ceil(F.size("seq") / max_seq_len), "before")
-        rows = packing.pack_separate(placed, max_seq_len).select("id", (F.col("before") + F.col("window")).alias("seq_id"), "seq")
+        # written with their windows and numbers: places and vectors are found without the tokens, which are then dealt out by file once
+        own = files.where(F.size("seq") > 0).select("id", "seq", F.ceil(F.size("seq") / max_seq_len).alias("windows"), F.monotonically_increasing_id().alias("row"))
+        own = written(own, "files")
+        placed = numbered_sum(own.select("id", "row", "windows"), ["id"], F.col("windows"), "before")
         size = 0
         if vectors is not None:
             size = vectors.agg(F.max(F.size("emb"))).first()[0] or 0
-            rows = corpus.attach_embeddings(rows, vectors.select("id", "emb").hint("shuffle_hash"), "id")
-        rows = rows.drop("id")
+            placed = corpus.attach_embeddings(placed, vectors.select("id", "emb").hint("shuffle_hash"), "id")
+        rows = own.select("row", "seq").join(placed.drop("id", "windows").hint("merge"), "row")
+        rows = packing.pack_separate(rows, max_seq_len, "row").withColumn("seq_id", F.col("before") + F.col("window")).drop("row", "before", "window")
     else:
         rows, size = packing.pack_concatenated(written(files, "files"), max_seq_len, seed), 0
     shards.write_shards(shards.assign_shards(rows, max_seq_len, shard_tokens), f"{folder}/shards")

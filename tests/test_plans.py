@@ -238,3 +238,15 @@ def test_shards_are_put_in_place_by_tasks_and_listed_by_few(spark):
     assert 0 < tasks <= 4 * spark.sparkContext.defaultParallelism < 100
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == limit
     assert sorted(r["shard_id"] for r in even.select("shard_id").distinct().collect()) == list(range(0, 200, 2)) and even.count() == 200
+
+
+def test_places_of_files_are_found_without_their_tokens(spark, monkeypatch):
+    """The tokens are dealt out once by file and once by shard, not for the running sum as well; rows of one id keep their own tokens."""
+    seen = []
+    monkeypatch.setattr(jobs, "numbered_sum", lambda df, *args, f=jobs.numbered_sum: seen.append(df.columns) or f(df, *args))
+    files = spark.createDataFrame([(5, ["a"] * 5), (2, ["b"]), (5, ["c"] * 2)], "id long, seq array<string>")
+    folder = shared_folder(spark, "packed")
+    jobs.write_packed_files(files, folder, 4, 8)
+    assert seen and all("seq" not in columns for columns in seen)
+    got = {r.seq_id: [t for t in r.seq if t != a.PAD] for r in shards.read_shards(spark, f"{folder}/shards").collect()}
+    assert got[0] == ["b"] and sorted([got[1], got[2], got[3]]) in ([["a"], ["a"] * 4, ["c"] * 2],)
