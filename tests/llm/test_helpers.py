@@ -187,6 +187,26 @@ def test_language_judgement():
     assert language.Classifier({"xx": b"a"}).judge("a", 0.1) == ("xx", 0.0, False)
 
 
+def test_vocabulary_and_both_levels_are_normalised():
+    """More units than groups: each context's probabilities over all units sum to one, and equal the two levels by hand."""
+    n = 1000
+    unigram = 1 / np.arange(1, n + 1)
+    m = lm_score.LogBilinear(unigram)
+    rng = np.random.default_rng(9)
+    runs = np.stack((rng.integers(0, n + 1, 400), rng.integers(0, n + 1, 400), rng.integers(0, n, 400)), axis=1)
+    m.train(runs, np.ones(400), unigram, steps=40, batch=64)
+    every = np.arange(n)
+    for far, near in ((lm_score.BEGIN, lm_score.BEGIN), (n, 7), (3, 500)):
+        got = m.log10(np.full(n, far), np.full(n, near), every)
+        assert (10**got).sum() == pytest.approx(1, abs=1e-5)
+        rows, d = m.rows.astype(float), m.size
+        h = np.append(rows[near, :d] @ rows[-2 * d : -d, :d] + rows[far, :d] @ rows[-d:, :d], 1)
+        s = np.exp(rows[n + 1 : n + 1 + m.groups] @ h)
+        t = np.exp(rows[n + 1 + m.groups : -2 * d] @ h)
+        truth = [np.log10(s[g] / s.sum() * t[u] / t[m.starts[g] : m.ends[g]].sum()) for u, g in zip(every, m.group, strict=True)]
+        assert got == pytest.approx(np.array(truth), abs=1e-4)
+
+
 def test_model_is_normalised():
     m = lm_score.LogBilinear(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
     rng = np.random.default_rng(8)

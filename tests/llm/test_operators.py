@@ -413,6 +413,18 @@ def test_lm_counts_above_the_head(spark):
             assert r.score == pytest.approx(score.setdefault(r.doc_id, r.score))
 
 
+def test_lm_words_have_vectors_of_their_own(spark):
+    """Two words of the same ending and count, neither among the most frequent, each follow a word of their own."""
+    names = [f"n{i}" for i in range(80)]
+    train = [f"{' '.join(names)} left lokyy {' '.join(names)} right mirzyy {' '.join(names)}"] * 60
+    held = ["left lokyy", "left mirzyy", "right mirzyy", "right lokyy"]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:60] + [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    d = spark.createDataFrame(list(zip(ids, train + held, strict=True)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(d).collect()}
+    a, b, c, e = (got[i] for i in ids[-4:])
+    assert a > b + 1 and c > e + 1
+
+
 def test_quality_rules(spark):
     rng = random.Random(6)
     good = [". ".join(say(rng, 12) for _ in range(4)) for _ in range(60)]
