@@ -69,6 +69,19 @@ def test_encode_and_decode_edges(spark):
     assert corpus.encode_tokens(empty, vocabulary).count() == 0 and corpus.build_vocabulary(empty).count() == 0
 
 
+def test_encoding_shuffles_no_row_for_each_token(spark, monkeypatch):
+    """Blocks of few items and of one long row equal the plain lookup; only a block's distinct tokens are exploded and joined."""
+    monkeypatch.setattr(corpus, "BLOCK", 7)
+    seqs = [[f"w{(i * j) % 11}" for j in range(i % 9)] for i in range(60)] + [["w1", "w2"] * 400, None, [None, "w3"], ["gone"]]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, seq array<string>").coalesce(2)
+    vocabulary = corpus.build_vocabulary(rows).where("token <> 'gone'")
+    ids = {r.token: r.token_id for r in vocabulary.collect()}
+    encoded = corpus.encode_tokens(rows, vocabulary)
+    assert "posexplode(seq" not in encoded._jdf.queryExecution().toString() and "posexplode(items" in encoded._jdf.queryExecution().toString()
+    assert {r.id: r.ids for r in encoded.collect()} == {i: [ids.get(w, 0) for w in s or []] for i, s in enumerate(seqs)}
+    assert {r.id: r.seq for r in corpus.decode_tokens(encoded, vocabulary).collect()} == {i: [w for w in s or [] if w in ids] for i, s in enumerate(seqs)}
+
+
 def test_encoding_reads_its_rows_twice(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), a.tokens_of(F.col("text")).alias("seq"))
     plan = corpus.encode_tokens(docs, corpus.build_vocabulary(docs))._jdf.queryExecution().executedPlan().toString()
