@@ -30,8 +30,8 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     ends = moves.pop()
     while moves:
-        ends = moves.pop().join(ends.toDF("to", "end").hint("merge"), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    ends = materialise(ends, folder, f"{name}_ends")
+        chained = moves.pop().join(ends.toDF("to", "end").hint("merge"), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+        ends = materialise(chained, folder, f"{name}_ends_{len(moves)}")
     # written first: its rows are summed up before they are dealt out, and AQE can then split what joins them on a large component
     least = materialise(ends.groupBy("to").agg(F.min("node").alias("component")), folder, f"{name}_least")
     return materialise(ends.join(least.hint("merge"), "to").select("node", "component"), folder, f"{name}_components")

@@ -16,6 +16,9 @@
    rows a block pair, never all pairs.
 4. Components of the confirmed links, then of the rows.
 
+Each step of at most three joins is written and read back: Spark plans what is left of a query anew after each of its stages, so
+the driver's work on one query of all the joins grows with the square of their number.
+
 A pair of similarity 0.8 has MATCHES (34 of 64) collisions but for a chance below 1e-6.
 
 Defined results: null or empty text, or white space alone -> empty set, n_shingles 0, no link, kept, component of its own
@@ -108,15 +111,16 @@ def met(nodes: DataFrame, folder: str) -> DataFrame:
 
     short = prefix.where(F.col("size") <= SHORT).select("list", "node", "n_long").repartition(shuffle_parts(nodes.sparkSession), "list")
     pairs = short.toDF("list", "a", "long_a").join(short.toDF("list", "b", "long_b").hint("merge"), "list").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("long_a", "long_b")).alias("n_long")).where(F.col("n") + F.col("n_long") >= LEAST).select("a", "b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("long_a", "long_b")).alias("n_long")).where(F.col("n") + F.col("n_long") >= LEAST)
+    pairs = materialise(pairs.select("a", "b"), folder, "counted")
     own = nodes.select("node", "signature")
     pairs = pairs.join(own.toDF("a", "sig_a").hint("merge"), "a").join(own.toDF("b", "sig_b").hint("merge"), "b")
-    pairs = pairs.where(collisions("sig_a", "sig_b") >= MATCHES).select("a", "b")
+    pairs = materialise(pairs.where(collisions("sig_a", "sig_b") >= MATCHES).select("a", "b"), folder, "matched")
 
     # nodes that meet in long lists alone: each to the least head of its lists, and the heads of a node to one another
     long = prefix.where((F.col("size") > SHORT) & (F.col("n_long") >= LEAST)).select("list", "node")
     heads = materialise(long.groupBy("list").agg(F.min("node").alias("head")), folder, "heads")  # so that AQE can split a long list
-    headed = long.join(heads.hint("merge"), "list").select("node", "head").distinct()
+    headed = materialise(long.join(heads.hint("merge"), "list").select("node", "head").distinct(), folder, "headed")
     least = headed.groupBy("node").agg(F.min("head").alias("least"))
     tied = least.select(F.col("node").alias("a"), F.col("least").alias("b")).union(headed.join(least.hint("merge"), "node").select("head", "least").distinct())
     return pairs.union(tied.where("a <> b"))
@@ -175,10 +179,11 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, percent:
     sums = members.groupBy("candidates", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     sums = materialise(sums, folder, "sums")
     members = members.join(sums.hint("merge"), ["candidates", "band"]).withColumn("block", F.col("band") * 1_000_000_000 + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members = materialise(members.select("candidates", "block", "node", "key", "fp", "signature"), folder, "members")
     spans = sums.select("candidates", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("candidates", "band", (F.col("band") * 1_000_000_000 + F.col("i")).cast("long").alias("x"))
     other = spans.select("candidates", F.col("band").alias("other"), F.col("x").alias("y"))
     pairs = spans.join(other.hint("merge"), "candidates").where((F.col("y") >= F.col("x")) & (F.col("other") - F.col("band") <= 1))
-    pairs = pairs.select("candidates", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    pairs = materialise(pairs.select("candidates", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), folder, "block_pairs")
     # rows of a key with another text are told by their fingerprint
     texts = docs.select(F.expr(KEY).alias("key"), F.col("text").cast("string").alias("text"))
     texts = texts.join(members.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key", "text"])
@@ -189,15 +194,15 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, percent:
     return work.groupBy("candidates", "x", "y").applyInPandas(confirm(k, percent), "a long, b long")
 
 
-def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def judged(docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
     """Per row of docs: doc_id, key, n_shingles, component_id, kept."""
-    folder = work_dir(docs.sparkSession, "near_dedup")
     rows = materialise(features(docs, k), folder, "features")
     # a node is a set: named by the least key that it has or, where that key's least set is another, by its fingerprint's hash
     own = rows.where("fp is not null")
     sets = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("any_key")).withColumn("key", F.coalesce("doc_id", "any_key")).drop("any_key")
     first = own.groupBy("key").agg(F.min("fp").alias("first"))
     sets = sets.join(first.hint("merge"), "key").select("fp", "doc_id", "key", F.when(F.col("fp") == F.col("first"), F.col("key")).otherwise(F.xxhash64("fp")).alias("node"))
+    sets = materialise(sets, folder, "sets")
     # the signatures are dealt out once, by fingerprint
     bearers = own.select("fp", F.col("key").alias("row_key"), "n_shingles", "signature").join(sets.hint("merge"), "fp").where("row_key = key")
     nodes = materialise(bearers.drop("row_key").dropDuplicates(["fp"]), folder, "nodes")
@@ -214,12 +219,13 @@ def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    return judged(docs, k, percent).drop("key")
+    return judged(docs, k, percent, work_dir(docs.sparkSession, "near_dedup")).drop("key")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs of each component; of a doc_id that is kept, each of its texts once."""
-    kept = judged(docs, k, percent).where("kept").select(F.col("key").alias("_near_key")).distinct()
+    folder = work_dir(docs.sparkSession, "near_dedup")
+    kept = materialise(judged(docs, k, percent, folder).where("kept").select(F.col("key").alias("_near_key")).distinct(), folder, "kept")
     # by key alone, so that the texts are dealt out once
     own = docs.withColumn("_near_key", F.expr(KEY)).join(kept.hint("merge"), "_near_key", "left_semi")
     return own.dropDuplicates(["_near_key", "text"]).select(*docs.columns)

@@ -100,6 +100,23 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0 == near_dedup.deduplicate(table(spark, [])).count()
 
 
+def test_near_duplicates_run_as_short_queries(spark, monkeypatch):
+    """No query of the near-dedup has over three joins: the driver's memory goes with the longest."""
+    joins = {}
+
+    def count(df, name):
+        joins[name] = len(re.findall(r"\bJoin (?:Inner|Left)", df._jdf.queryExecution().optimizedPlan().toString()))
+
+    for module in (near_dedup, graph):
+        written = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, folder, name, written=written: (count(df, name), written(df, folder, name))[1])
+    chain = [" ".join(f"w{j}" for j in range(i, i + 80)) for i in range(0, 60, 3)]  # a path of links: several rounds
+    d = table(spark, near_copies(6, 60) + chain)
+    count(near_dedup.deduplicate(d, 5), "deduplicate")
+    count(near_dedup.near_duplicates(d, 4), "near_duplicates")
+    assert len([x for x in joins if "_ends" in x]) > 1 and 0 < max(joins.values()) <= 3, joins
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
