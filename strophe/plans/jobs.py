@@ -33,23 +33,24 @@ def build_packed_dataset(docs: DataFrame, max_seq_len: int, shard_tokens: int, s
 def write_packed_files(files: DataFrame, folder: str, max_seq_len: int, shard_tokens: int, separate: bool = True, vectors: DataFrame | None = None, seed=0) -> None:
     """files(id, seq) -> folder/shards and folder/manifest. Separate: each file alone in padded windows, in the order of the ids
     (whole numbers), with the vector of its file where vectors(id, emb) are given; else one run of tokens in the seeded order. A file
-    without a vector fails the job, vectors in one run are refused, and so is an existing folder."""
+    without a vector fails the job, vectors in one run are refused, and so is an existing folder. Separate files are read twice, for
+    their lengths and for their tokens, which are shuffled once."""
     if vectors is not None and not separate:
         raise ValueError("vectors of files need separate sequences")
+    size = 0
     if separate:
-        # written with their windows and numbers: places and vectors are found without the tokens, which are then dealt out by file once
-        own = files.where(F.size("seq") > 0).select("id", "seq", F.ceil(F.size("seq") / max_seq_len).alias("windows"), F.monotonically_increasing_id().alias("row"))
-        own = written(own, "files")
-        placed = numbered_sum(own.select("id", "row", "windows"), ["id"], F.col("windows"), "before")
-        size = 0
+        own = files.where(F.size("seq") > 0).select("id", "seq", F.ceil(F.size("seq") / max_seq_len).alias("windows"))
+        # places are found without the tokens, a row for each id
+        lengths = written(own.groupBy("id").agg(F.sum("windows").alias("windows")), "lengths")
+        places = written(numbered_sum(lengths, ["id"], F.col("windows"), "before"), "places")
+        marks = places
         if vectors is not None:
             size = vectors.agg(F.max(F.size("emb"))).first()[0] or 0
-            placed = corpus.attach_embeddings(placed, vectors.select("id", "emb").hint("shuffle_hash"), "id")
-        rows = own.select("row", "seq").join(placed.drop("id", "windows").hint("merge"), "row")
-        rows = packing.pack_separate(rows, max_seq_len, "row").withColumn("seq_id", F.col("before") + F.col("window")).drop("row", "before", "window")
+            marks = corpus.attach_embeddings(places, vectors.select("id", "emb").hint("shuffle_hash"), "id")
+        rows = packing.pack_by_range(own, places, marks, max_seq_len, shard_tokens // max_seq_len)
     else:
-        rows, size = packing.pack_concatenated(written(files, "files"), max_seq_len, seed), 0
-    shards.write_shards(shards.assign_shards(rows, max_seq_len, shard_tokens), f"{folder}/shards")
+        rows = packing.pack_concatenated(written(files, "files"), max_seq_len, seed)
+    shards.write_shards(shards.assign_shards(rows, max_seq_len, shard_tokens), f"{folder}/shards", dealt=separate)
     header = {"separate_sequences": separate, "embedding_size": size}
     shards.write_manifest_parts(shards.read_shards(files.sparkSession, f"{folder}/shards"), f"{folder}/manifest", header, max_seq_len, shard_tokens)
 

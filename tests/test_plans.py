@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import uuid
 
 import numpy as np
@@ -263,3 +264,27 @@ def test_places_of_files_are_found_without_their_tokens(spark, monkeypatch):
     assert seen and all("seq" not in columns for columns in seen)
     got = {r.seq_id: [t for t in r.seq if t != a.PAD] for r in shards.read_shards(spark, f"{folder}/shards").collect()}
     assert got[0] == ["b"] and sorted([got[1], got[2], got[3]]) in ([["a"], ["a"] * 4, ["c"] * 2],)
+
+
+def test_files_are_dealt_out_once_and_shards_are_compressed(spark):
+    """Many ranges of ids: places, vectors and shards as by hand, each shard one task's gzip file, and the tokens in no shuffle but that to their range."""
+    import glob
+
+    rows = [(i * i - 500 if i % 97 else 12, ["\\" * (i % 2) + f'"{i}\n', *(f"t{i}.{j}" for j in range(i * 7 % 11))]) for i in range(1000)]
+    files = spark.createDataFrame(rows, "id long, seq array<string>")
+    vectors = files.select("id", F.array(F.col("id") / 2, F.lit(0.5)).alias("emb")).distinct()
+    folder = shared_folder(spark, "packed")
+    jobs.write_packed_files(files, folder, 4, 28, vectors=vectors)
+    got = {r.seq_id: r for r in shards.read_shards(spark, f"{folder}/shards", vectors=True).collect()}
+    own = sorted((i, seq[at : at + 4]) for i, seq in rows for at in range(0, len(seq), 4))
+    assert sorted(got) == list(range(len(own)))
+    assert sorted((int(2 * r.emb[0]), [t for t in r.seq if t != a.PAD]) for r in got.values()) == own
+    assert [2 * got[i].emb[0] for i in range(len(own))] == [i for i, _ in own] and all(r.shard_id == i // 7 and len(r.seq) == 4 for i, r in got.items())
+    starts = {i: at for at, (i, _) in reversed(list(enumerate(own)))}
+    for i, seq in rows[1:97]:  # these ids have one file each
+        assert [t for k in range(-(-len(seq) // 4)) for t in got[starts[i] + k].seq if t != a.PAD] == seq
+    paths = glob.glob(f"{folder}/shards/shard_id=*/*")
+    assert len(paths) == -(-len(own) // 7) and all(p.endswith(".json.gz") for p in paths)
+    packed = packing.pack_by_range(files.withColumn("windows", F.expr("ceil(size(seq) / 4)")), *[spark.createDataFrame([(i, 1, i) for i in range(900)], "id long, windows long, before long")] * 2, 4, 7)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(part#\w+, \d+\), REPARTITION_BY_COL", plan)) == 2 and "SortMergeJoin" not in plan  # twice the same: it is reused
