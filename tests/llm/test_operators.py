@@ -553,3 +553,13 @@ def test_equals_sql(spark, name):
     cursor = con.execute(SQL[name])
     at = [[d[0] for d in cursor.description].index(c) for c in names]
     assert sorted(str([r[c] for c in names]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in cursor.fetchall())
+
+
+def test_lm_training_draws_every_run_of_a_large_corpus(spark):
+    """At 400 million training tokens as at 4 million a task draws each of its runs: here all units are groups of their own, with one step a draw."""
+    d = spark.createDataFrame([(i, "a b c d " * 50) for i in range(40)], "doc_id long, text string")
+    size = 4 + lm_score.ENDINGS + lm_score.REST
+    unigram = np.full(size, 1 / size)
+    for n_all in (4_000_000, 400_000_000):
+        m = lm_score.fit(d, lm_score.LogBilinear(unigram), unigram, ([b"a", b"b", b"c", b"d"], []), n_all)
+        assert m.used[-1] >= 40 * 201
