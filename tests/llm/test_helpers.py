@@ -263,3 +263,21 @@ def test_held_out_layouts(page_model):
         guess = page_model.viterbi(html_text.features(found))
         right, total = right + int((guess == np.array(marks)).sum()), total + len(marks)
     assert right / total > 0.97
+
+
+def test_texts_are_cut_in_words_by_pieces(monkeypatch):
+    """The words and ends of every text, in its order, whatever the piece it is cut in and whatever white space it has."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    letters = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 AÄßabcÉZz€\0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(600)]
+    for own in (texts, [None, "", " ", *texts]):
+        for piece in (1, 9000, 1 << 22):
+            monkeypatch.setattr(lm_score, "PIECE", piece)
+            got = []
+            for first, distinct, codes, sizes in lm_score._coded(pa.array(own)):
+                assert first == len(got)
+                names, ends = distinct.to_pylist(), np.cumsum(sizes)
+                got += [[names[c] for c in codes[end - n : end]] for end, n in zip(ends, sizes, strict=True)]
+            assert got == [[*words(t), lm_score.END] for t in own]

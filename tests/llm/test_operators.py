@@ -556,10 +556,10 @@ def test_equals_sql(spark, name):
 
 
 def test_lm_training_draws_every_run_of_a_large_corpus(spark):
-    """At 400 million training tokens as at 4 million a task draws each of its runs: here all units are groups of their own, with one step a draw."""
-    d = spark.createDataFrame([(i, "a b c d " * 50) for i in range(40)], "doc_id long, text string")
-    size = 4 + lm_score.ENDINGS + lm_score.REST
+    """At 400 million training tokens as at 4 million a task draws each of its runs: a draw is used among the groups, and among the units of a group of several."""
+    d = spark.createDataFrame([(i, np.arange(201, dtype=np.uint16).tobytes()) for i in range(40)], "doc_id long, units binary")
+    size = 256  # 64 groups of one unit, 64 of three
     unigram = np.full(size, 1 / size)
     for n_all in (4_000_000, 400_000_000):
-        m = lm_score.fit(d, lm_score.LogBilinear(unigram), unigram, ([b"a", b"b", b"c", b"d"], []), n_all)
-        assert m.used[-1] >= 40 * 201
+        m = lm_score.fit(d, lm_score.LogBilinear(unigram), unigram, n_all)
+        assert m.used[-1] >= 40 * (201 + 137)
